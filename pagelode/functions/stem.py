@@ -33,7 +33,6 @@ STEP_4 = (
 ).split()
 
 _PLAIN_WORD = re.compile("[a-z]{3,}")
-_VOWEL = re.compile("[aeiou]|(?<=[^aeiou])y")
 _MEASURE = re.compile("v+c+")
 
 

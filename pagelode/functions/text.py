@@ -38,7 +38,7 @@ COMMON_ENTITIES = {
     "&quot;": '"',
     "&apos;": "'",
     "&#39;": "'",
-    "&nbsp;": " ",
+    "&nbsp;": "\u00a0",
     "&copy;": "©",
     "&reg;": "®",
     "&middot;": "·",
