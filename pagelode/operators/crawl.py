@@ -10,19 +10,23 @@ from ..session import stage
 from .joins import join_small
 
 
-def extract_raw_links(pages: DataFrame) -> DataFrame:
+def extract_raw_links(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Absolute http(s) links of raw pages: (url, pos, link), duplicates kept.
 
-    ``pos`` is the place among the kept links of the page, from 0.
+    ``pos`` is the place among the kept links of the page, from 0. Page columns
+    named in ``keep`` come along.
     """
     hrefs = pages.select(
-        "url", url_parts("url").alias("base"), H.raw_hrefs(H.quiet_html("content")).alias("hrefs")
+        "url",
+        *keep,
+        url_parts("url").alias("base"),
+        H.raw_hrefs(H.quiet_html("content")).alias("hrefs"),
     )
     links = F.filter(
         F.transform("hrefs", lambda h: resolve_against(F.col("base"), h)),
         lambda l: F.startswith(l, F.lit("http://")) | F.startswith(l, F.lit("https://")),
     )
-    return hrefs.select("url", F.posexplode(links).alias("pos", "link"))
+    return hrefs.select("url", *keep, F.posexplode(links).alias("pos", "link"))
 
 
 def html_only(fetches: DataFrame) -> DataFrame:
@@ -71,12 +75,11 @@ def link_edges(pages: DataFrame, visited: DataFrame) -> DataFrame:
     A link many pages share is one key with many rows on the left; ``visited`` is
     one row per url, so it can be copied to the salts of that key.
     """
-    depth = pages.select("url", F.col("depth").alias("_depth"))
-    links = extract_raw_links(pages.select("url", "content")).join(depth, "url")
+    links = extract_raw_links(pages, keep=("depth",))
     seen = visited.select(F.col("url").alias("link")).distinct()
     open_links = join_small(links, seen, ["link"], how="left_anti", spread=["url"])
     return open_links.select(
-        F.col("url").alias("src_url"), "pos", "link", (F.col("_depth") + 1).alias("link_depth")
+        F.col("url").alias("src_url"), "pos", "link", (F.col("depth") + 1).alias("link_depth")
     )
 
 

@@ -59,18 +59,21 @@ def with_corpus(candidates: DataFrame, queries: DataFrame) -> DataFrame:
 
 def term_figures(candidates: DataFrame, queries: DataFrame) -> DataFrame:
     """Per candidate and query term: tf, df, idf and tf-idf."""
+    pairs = F.zip_with(
+        "terms", "dfs", lambda t, d: F.struct(t.alias("term"), d.alias("df"))
+    )
     per_term = with_corpus(candidates, queries).select(
         "query_id",
         "url",
         "content",
         "n_docs",
-        F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("dfs").alias("df"))),
+        # a word repeated in the query has one figure
+        F.inline(F.array_distinct(pairs)),
     )
     tf = F.coalesce(S.term_frequency(F.col("content"), F.col("term")), F.lit(0.0))
     idf = S.inverse_document_frequency(F.col("n_docs"), F.col("df"))
     return (
-        per_term.distinct()  # a word repeated in the query has one figure
-        .select("query_id", "url", "term", tf.alias("tf"), "df", idf.alias("idf"))
+        per_term.select("query_id", "url", "term", tf.alias("tf"), "df", idf.alias("idf"))
         .withColumn("tf_idf", F.col("tf") * F.col("idf"))
     )
 
