@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import html as H, scores as S, text as T
+from ..functions.shards import align_shards
 from ..functions.urls import resolve_url
 from ..operators import analyze as A, crawl as C, documents as D, match as M
 from ..operators import rank as R, score as B, serve as V, suggest as G
@@ -17,7 +18,6 @@ from ..sources import document_log as L
 from ..sources.pages import page_records, seeds_from_text
 from ..streaming.ingest import ingest_stream
 from . import views
-from .index import build_index
 from .search import search as run_search
 from .views import AS_OF, PLAIN
 
@@ -33,8 +33,9 @@ def _seconds(column="crawl_time"):
     return F.unix_seconds(column).alias("crawl_seconds")
 
 
-def _postings(spark, folder, fields=A.TEXT_FIELDS):
-    return A.build_postings(views.text_documents(spark, folder), PLAIN, fields)
+def _postings(spark, folder, fields=None):
+    postings = views.text_index(spark, folder).postings
+    return postings.filter(F.col("field").isin(fields)) if fields else postings
 
 
 def _query_terms(spark, folder, fields=A.TEXT_FIELDS):
@@ -42,8 +43,7 @@ def _query_terms(spark, folder, fields=A.TEXT_FIELDS):
 
 
 def _bm25(spark, folder, require_all=True):
-    docs = views.text_documents(spark, folder)
-    index = build_index(docs, PLAIN)
+    index = views.text_index(spark, folder)
     return B.bm25(
         index.postings,
         _query_terms(spark, folder),
@@ -55,10 +55,11 @@ def _bm25(spark, folder, require_all=True):
 
 def _candidates(spark, folder):
     """Every document that matches any term of a query, as a hit."""
-    docs = views.text_documents(spark, folder)
-    hits = _bm25(spark, folder, require_all=False)
+    docs = views.text_index(spark, folder).documents
+    hits, shard = align_shards(docs, _bm25(spark, folder, require_all=False), "url")
     fields = [T.snippet("content").alias(f) if f == "content" else f for f in B.HIT_FIELDS]
-    return shuffle_join(docs, hits, ["url"]).select("query_id", "score", *fields)
+    short = docs.select(*shard, *fields)  # snippets travel, not whole texts
+    return shuffle_join(short, hits, [*shard, "url"]).select("query_id", "score", *B.HIT_FIELDS)
 
 
 def _worded(spark, folder):
@@ -86,7 +87,7 @@ def page_scan(spark, folder):
 
 @query
 def seed_scan(spark, folder):
-    text = views.table(spark, folder, "documents").select("doc_id", "text")
+    text = views.spread_table(spark, folder, "documents", "doc_id").select("doc_id", "text")
     return seeds_from_text(text, "text")
 
 
@@ -156,7 +157,7 @@ def crawl_frontier(spark, folder):
 
 @query
 def clean_text(spark, folder):
-    docs = views.table(spark, folder, "documents")
+    docs = views.spread_table(spark, folder, "documents", "doc_id")
     return docs.select("doc_id", F.md5(T.clean_text("text")).alias("text_md5"))
 
 
@@ -240,14 +241,16 @@ def stem_terms(spark, folder):
 @query
 def postings(spark, folder):
     places = F.array_join(F.col("positions").cast("array<string>"), " ")
-    return _postings(spark, folder).select(
+    built = A.build_postings(views.text_documents(spark, folder), PLAIN)
+    return built.select(
         "field", "term", "url", "tf", "field_len", F.md5(places).alias("positions_md5")
     )
 
 
 @query
 def field_terms(spark, folder):
-    return A.field_terms(_postings(spark, folder, ["content"]), "content")
+    docs = views.text_documents(spark, folder)
+    return A.field_terms(A.build_postings(docs, PLAIN, ["content"]), "content")
 
 
 @query
@@ -286,7 +289,7 @@ def document_compact(spark, folder):
 
 @query
 def query_clean(spark, folder):
-    docs = views.table(spark, folder, "documents")
+    docs = views.spread_table(spark, folder, "documents", "doc_id")
     return docs.select("doc_id", F.md5(T.clean_query("text")).alias("query_md5"))
 
 
@@ -352,9 +355,8 @@ def search_topk(spark, folder):
 @query
 def hit_projection(spark, folder):
     hits = B.top_k(_bm25(spark, folder, require_all=False), 10)
-    found = B.project_hits(
-        views.text_documents(spark, folder), hits, views.queries(spark, folder), 10
-    )
+    docs = views.text_index(spark, folder).documents
+    found = B.project_hits(docs, hits, views.queries(spark, folder), 10)
     return found.withColumn("crawl_time", _seconds()).withColumnRenamed(
         "crawl_time", "crawl_seconds"
     )
@@ -362,15 +364,13 @@ def hit_projection(spark, folder):
 
 @query
 def suggest(spark, folder):
-    docs = views.text_documents(spark, folder)
-    index = A.build_postings(docs, PLAIN, ["title"])
-    return G.suggest(docs, index, views.prefixes(spark, folder), 5)
+    index = views.text_index(spark, folder)
+    return G.suggest(index.documents, index.postings, views.prefixes(spark, folder), 5)
 
 
 @query
 def popular_terms(spark, folder):
-    index = build_index(views.text_documents(spark, folder), PLAIN)
-    return G.popular_terms(index.term_stats, 10)
+    return G.popular_terms(views.text_index(spark, folder).term_stats, 10)
 
 
 def _with_parts(ranked: DataFrame) -> DataFrame:
@@ -384,7 +384,7 @@ def _with_parts(ranked: DataFrame) -> DataFrame:
 
 @query
 def search(spark, folder):
-    index = build_index(views.text_documents(spark, folder), PLAIN)
+    index = views.text_index(spark, folder)
     return _with_parts(run_search(index, views.queries(spark, folder), AS_OF, 10))
 
 

@@ -5,9 +5,9 @@ Layout, chosen for reads that touch few terms and few documents:
 * ``documents``: directories by hash of the url, sorted by url. Fetching hits
   prunes directories at run time and row groups by url.
 * ``postings``: directories by field and hash of the term, sorted by term. A
-  query reads the directories of its own terms. Files are cut by range over
-  (field, shard, term, url), so a very common term fills many files instead of
-  one task.
+  query reads the directories of its own terms. Rows are rebalanced before they
+  are written: adaptive execution splits a directory that holds a very common
+  term over several tasks and files.
 * ``term_stats``, ``field_stats``: document frequencies and field lengths.
 """
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.shards import add_shard
 from ..operators.analyze import Analyzer, build_postings, field_stats, term_stats
@@ -65,15 +65,20 @@ def write_index(
     )
     written = spark.read.parquet(f"{path}/postings")
     term_stats(written).write.mode("overwrite").parquet(f"{path}/term_stats")
-    field_stats(stored, analyzer).write.mode("overwrite").parquet(f"{path}/field_stats")
+    n_docs = stored.count()
+    lengths = written.groupBy("field").agg(
+        F.lit(n_docs).alias("n_docs"), (F.sum("tf") / n_docs).alias("avg_len")
+    )
+    lengths.write.mode("overwrite").parquet(f"{path}/field_stats")
     return read_index(spark, path, analyzer)
 
 
-def _write_sharded(df: DataFrame, directories: list[str], order: list[str], path: str) -> None:
-    keys = directories + order
+def _write_sharded(
+    df: DataFrame, directories: list[str], order: list[str], path: str
+) -> None:
     (
-        df.repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
+        df.hint("rebalance", *directories)
+        .sortWithinPartitions(*directories, *order)
         .write.mode("overwrite")
         .partitionBy(*directories)
         .parquet(path)

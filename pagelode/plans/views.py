@@ -8,7 +8,9 @@ from ..functions.text import clean_text
 from ..functions.urls import origin
 from ..operators.analyze import Analyzer
 from ..operators.parse import parse_pages, to_documents
+from ..session import scratch_path, use_all_cores
 from ..sources.pages import page_records
+from .index import SearchIndex, write_index
 
 AS_OF = 1735689600.0  # 2025-01-01T00:00:00Z, the fixed clock of freshness
 FIRST_CRAWL = 1704067200  # 2024-01-01T00:00:00Z
@@ -19,10 +21,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
+    """A table whose rows are costly to process, spread if it is small."""
+    return use_all_cores(table(spark, folder, name), key)
+
+
 def fetches(spark: SparkSession, folder: str) -> DataFrame:
     """Pages with the status, type, depth and time a fetch would add."""
     url = F.col("url")
-    return table(spark, folder, "pages").select(
+    return spread_table(spark, folder, "pages", "page_id").select(
         "page_id",
         "url",
         F.col("html").alias("content"),
@@ -67,7 +74,7 @@ def text_documents(spark: SparkSession, folder: str) -> DataFrame:
     doc_id = F.col("doc_id").cast("string")
     lines = F.split("text", "\n")
     content = clean_text("text")
-    return table(spark, folder, "documents").select(
+    return spread_table(spark, folder, "documents", "doc_id").select(
         F.concat(
             F.lit("https://"), "source", F.lit(".example.com/"), "lang", F.lit("/"), doc_id
         ).alias("url"),
@@ -171,3 +178,15 @@ def crawl_graph(spark: SparkSession, folder: str) -> dict:
         .select(address(F.col("seed_order")).alias("url"), "seed_order")
     )
     return {"seeds": seeds, "edges": edges, "pages": pages, "max_pages": total * 2 // 3}
+
+
+_INDEXES: dict[tuple[str, str], SearchIndex] = {}
+
+
+def text_index(spark: SparkSession, folder: str) -> SearchIndex:
+    """Stored index of the text documents; a session writes it once per folder."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _INDEXES:
+        docs = text_documents(spark, folder)
+        _INDEXES[key] = write_index(docs, scratch_path(spark, "index"), PLAIN)
+    return _INDEXES[key]

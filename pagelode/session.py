@@ -57,3 +57,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def use_all_cores(df: DataFrame, key: str) -> DataFrame:
+    """Spread an input that arrives in fewer splits than there are cores.
+
+    A large input has more splits than cores and is left alone. The check only
+    plans the scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
