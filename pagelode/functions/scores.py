@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import let, split_words
+from .text import let, split_words, word_count
 
 # Default weights of the ranking factors.
 DEFAULT_WEIGHTS = {
@@ -48,7 +48,7 @@ def occurrences(lowered: Column, term: Column) -> Column:
 
 def term_frequency(content: Column, term: Column) -> Column:
     """Occurrences per white-space separated word."""
-    words = F.nullif(F.size(split_words(content)), F.lit(0))
+    words = F.nullif(word_count(content), F.lit(0))
     return occurrences(F.lower(content), F.lower(term)) / words
 
 
@@ -104,7 +104,7 @@ def content_score(
     bound = F.struct(
         F.lower(text).alias("lowered"),
         F.length(text).alias("length"),
-        F.nullif(F.size(split_words(text)), F.lit(0)).alias("words"),
+        F.nullif(word_count(text), F.lit(0)).alias("words"),
     )
     return let(
         bound,

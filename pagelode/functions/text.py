@@ -15,6 +15,13 @@ WHITESPACE = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
 
+# The rest of Unicode but for the plain space; frequent ranges first.
+NOT_WHITESPACE = (
+    r"\x{21}-\x{7E}\x{A1}-\x{167F}\x{1681}-\x{1FFF}\x{200B}-\x{2027}"
+    r"\x{202A}-\x{202E}\x{2030}-\x{205E}\x{2060}-\x{2FFF}\x{3001}-\x{10FFFF}"
+    r"\x{00}-\x{08}\x{0E}-\x{1B}\x{7F}-\x{84}\x{86}-\x{9F}"
+)
+
 # The characters that make up a word.
 WORD = r"\p{L}\p{N}_"
 
@@ -82,6 +89,20 @@ def split_words(text: Column | str) -> Column:
     return F.filter(F.split(text, rf"[{WHITESPACE}]+"), lambda w: w != "")
 
 
+def word_count(text: Column) -> Column:
+    """Number of white-space separated words.
+
+    In clean text the words are one more than the spaces; only other text is split.
+    """
+    unclean = rf"[^\x{{20}}{NOT_WHITESPACE}]|\x{{20}}\x{{20}}|^\x{{20}}|\x{{20}}$"
+    spaces = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
+    return (
+        F.when(text == "", 0)
+        .when(text.rlike(unclean), F.size(split_words(text)))
+        .otherwise(spaces + 1)
+    )
+
+
 def clean_query(query: Column | str) -> Column:
     """Keep words, white space and ``" ' + - * ( )``; blank out the rest."""
     kept = rf"[^{WORD}{WHITESPACE}{QUERY_OPERATORS}]"

@@ -7,6 +7,8 @@ part of the big side.
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import DataFrame, functions as F
 
 BROADCAST_ROWS = 500_000
@@ -14,17 +16,27 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
 
 
+_SIZES: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def _bounded_size(df: DataFrame):
+    """Rows and bytes of ``df``, reading at most one row more than the bound."""
+    if df not in _SIZES:
+        _SIZES[df] = (
+            df.limit(BROADCAST_ROWS + 1)
+            .select(F.octet_length(F.to_json(F.struct("*"))).alias("n"))
+            .agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("size"))
+            .first()
+        )
+    return _SIZES[df]
+
+
 def fits_broadcast(df: DataFrame, times: int = 1) -> bool:
     """True if ``times`` copies of ``df`` are few enough rows and bytes.
 
-    Reads at most one row more than the bound.
+    A frame is measured once; later calls with the same frame reuse the figures.
     """
-    size = (
-        df.limit(BROADCAST_ROWS + 1)
-        .select(F.octet_length(F.to_json(F.struct("*"))).alias("n"))
-        .agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("size"))
-        .first()
-    )
+    size = _bounded_size(df)
     return (
         size["rows"] * times <= BROADCAST_ROWS and size["size"] * times <= BROADCAST_BYTES
     )

@@ -60,7 +60,7 @@ def write_index(
     _write_sharded(
         add_shard(build_postings(stored, analyzer), "term", shards),
         ["field", shard],
-        ["term", "url"],
+        ["term"],
         f"{path}/postings",
     )
     written = spark.read.parquet(f"{path}/postings")
