@@ -72,12 +72,12 @@ def robots_filter(urls: DataFrame, rules: DataFrame) -> DataFrame:
 def link_edges(pages: DataFrame, visited: DataFrame) -> DataFrame:
     """Links not visited yet: (src_url, pos, link, link_depth).
 
-    A link many pages share is one key with many rows on the left; ``visited`` is
-    one row per url, so it can be copied to the salts of that key.
+    ``visited`` may be as large as the crawl, so it is not copied to salts: where
+    one link holds many rows, adaptive execution splits the left side of the join.
     """
     links = extract_raw_links(pages, keep=("depth",))
     seen = visited.select(F.col("url").alias("link")).distinct()
-    open_links = join_small(links, seen, ["link"], how="left_anti", spread=["url"])
+    open_links = join_small(links, seen, ["link"], how="left_anti")
     return open_links.select(
         F.col("url").alias("src_url"), "pos", "link", (F.col("depth") + 1).alias("link_depth")
     )
@@ -122,18 +122,20 @@ def crawl_frontier(
     first-in-first-out queue would reach it: by its earliest parent, then by link
     position. The visit ends after ``max_depth`` levels or ``max_pages`` pages.
 
-    One job per level; every level is written to the shared folder, so lineage
-    does not grow with depth.
+    A few jobs per level; every level is written to the shared folder, so lineage
+    does not grow with depth. The edges are read once per level.
     """
-    spark = seeds.sparkSession
-    fetchable = pages.select("url").distinct()
-    found = seeds.groupBy("url").agg(F.min("seed_order").alias("_order"))
-    found = found.withColumn("_pos", F.lit(0).cast("long"))
+    fetchable = pages.select("url")
+    found = seeds.groupBy("url").agg(
+        F.min("seed_order").alias("_order"), F.lit(0).cast("long").alias("_pos")
+    )
     levels, visited, count = [], None, 0
     for depth in range(max_depth + 1):
-        candidates = found.join(fetchable, "url", "left_semi")
+        # written once: the probe, the joins and the range sample all read it
+        found = stage(found, f"found-{depth}")
         if visited is not None:
-            candidates = candidates.join(visited, "url", "left_anti")
+            found = found.join(visited, "url", "left_anti")
+        candidates = join_small(fetchable, found, ["url"]).dropDuplicates(["url"])
         level, size = _number_rows(
             candidates, ["_order", "_pos", "url"], count + 1, f"level-{depth}"
         )
@@ -146,17 +148,15 @@ def crawl_frontier(
             break
         reached = level.select("url")
         visited = reached if visited is None else visited.unionByName(reached)
-        # a page may have very many links: its edges are spread by target
+        # where a page has very many links, adaptive execution splits its edges
         parents = level.select(F.col("url").alias("src"), F.col("crawl_seq").alias("_order"))
-        links = join_small(edges, parents, ["src"], spread=["dst"])
+        links = join_small(edges, parents, ["src"])
         # a popular target is reduced to its first link before the shuffle
         found = (
             links.groupBy(F.col("dst").alias("url"))
             .agg(F.min(F.struct("_order", F.col("pos").alias("_pos"))).alias("_first"))
             .select("url", "_first._order", "_first._pos")
         )
-    if not levels:
-        return spark.createDataFrame([], "url string, depth int, crawl_seq long")
     result = levels[0]
     for level in levels[1:]:
         result = result.unionByName(level)

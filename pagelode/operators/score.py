@@ -13,6 +13,9 @@ from .match import covers_all_terms, match_terms
 # depend on the order in which partial sums arrive.
 SCORE_DECIMALS = 6
 
+# Largest rank limit that Spark also applies before the shuffle.
+_RANK_LIMIT_KEY = "spark.sql.optimizer.windowGroupLimitThreshold"
+
 HIT_FIELDS = [
     "url",
     "title",
@@ -47,7 +50,10 @@ def weigh_terms(
         .withColumn("idf", idf * weight)
         .select("field", "term", "idf", "avg_len")
     )
-    return query_terms.join(stats, ["field", "term"])
+    # a word that very many queries share spreads over the salts
+    return join_small(
+        query_terms, stats, ["field", "term"], spread=["query_id"], bound=query_terms
+    )
 
 
 def posting_scores(
@@ -94,6 +100,9 @@ def top_k(scored: DataFrame, k: int, order: list | None = None) -> DataFrame:
     rows per query, so a query that matches most of the corpus stays cheap.
     """
     order = order or [F.col("score").desc(), F.col("url")]
+    conf = scored.sparkSession.conf
+    if k > int(conf.get(_RANK_LIMIT_KEY, "1000")):
+        conf.set(_RANK_LIMIT_KEY, str(k))  # keep the limit below the shuffle
     window = Window.partitionBy("query_id").orderBy(*order)
     return scored.withColumn("rank", F.row_number().over(window)).filter(
         F.col("rank") <= k
