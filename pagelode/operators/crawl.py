@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import html as H
 from ..functions.urls import origin, resolve_against, url_parts
 from ..session import stage
-from .joins import join_small
+from .joins import fits_broadcast, join_small
 
 
 def extract_raw_links(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -83,8 +83,8 @@ def link_edges(pages: DataFrame, visited: DataFrame) -> DataFrame:
     )
 
 
-def _number_rows(df: DataFrame, order: list[str], start: int, name: str) -> tuple:
-    """``df`` written with a dense number in sort order, and its row count.
+def _number_rows(df: DataFrame, order: list[str], start: int, name: str) -> DataFrame:
+    """``df`` written with ``crawl_seq``, a dense number in sort order from ``start``.
 
     Range partitioning sorts the rows over all tasks; the number of a row is its
     place in its partition plus the sizes of the partitions before. Only those
@@ -101,11 +101,16 @@ def _number_rows(df: DataFrame, order: list[str], start: int, name: str) -> tupl
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     numbered = placed.join(F.broadcast(offsets), "_part").withColumn(
         "crawl_seq", F.col("_before") + F.col("_at") + start
     )
-    return numbered.drop("_id", "_part", "_at", "_n", "_before"), total
+    return numbered.drop("_id", "_part", "_at", "_n", "_before")
+
+
+def _number_few_rows(df: DataFrame, order: list[str], start: int, name: str) -> DataFrame:
+    """The same for rows known to be few: one task sorts and numbers them."""
+    place = F.row_number().over(Window.orderBy(*order)) + F.lit(start - 1)
+    return stage(df.withColumn("crawl_seq", place), name)
 
 
 def crawl_frontier(
@@ -132,13 +137,15 @@ def crawl_frontier(
     levels, visited, count = [], None, 0
     for depth in range(max_depth + 1):
         # written once: the probe, the joins and the range sample all read it
-        found = stage(found, f"found-{depth}")
         if visited is not None:
             found = found.join(visited, "url", "left_anti")
+        found = stage(found, f"found-{depth}")
+        number = _number_few_rows if fits_broadcast(found) else _number_rows
         candidates = join_small(fetchable, found, ["url"]).dropDuplicates(["url"])
-        level, size = _number_rows(
+        level = number(
             candidates, ["_order", "_pos", "url"], count + 1, f"level-{depth}"
         )
+        size = level.count()
         level = level.select(
             "url", F.lit(depth).alias("depth"), F.col("crawl_seq").cast("long")
         ).filter(F.col("crawl_seq") <= max_pages)
@@ -150,7 +157,7 @@ def crawl_frontier(
         visited = reached if visited is None else visited.unionByName(reached)
         # where a page has very many links, adaptive execution splits its edges
         parents = level.select(F.col("url").alias("src"), F.col("crawl_seq").alias("_order"))
-        links = join_small(edges, parents, ["src"])
+        links = join_small(edges, parents, ["src"], bound=found)
         # a popular target is reduced to its first link before the shuffle
         found = (
             links.groupBy(F.col("dst").alias("url"))

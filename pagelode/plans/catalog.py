@@ -13,7 +13,7 @@ from ..functions.urls import resolve_url
 from ..operators import analyze as A, crawl as C, documents as D, match as M
 from ..operators import rank as R, score as B, serve as V, suggest as G
 from ..operators.joins import shuffle_join
-from ..session import scratch_path
+from ..session import scratch_path, stage
 from ..sources import document_log as L
 from ..sources.pages import page_records, seeds_from_text
 from ..streaming.ingest import ingest_stream
@@ -59,7 +59,8 @@ def _candidates(spark, folder):
     hits, shard = align_shards(docs, _bm25(spark, folder, require_all=False), "url")
     fields = [T.snippet("content").alias(f) if f == "content" else f for f in B.HIT_FIELDS]
     short = docs.select(*shard, *fields)  # snippets travel, not whole texts
-    return shuffle_join(short, hits, [*shard, "url"]).select("query_id", "score", *B.HIT_FIELDS)
+    found = shuffle_join(short, hits, [*shard, "url"])
+    return stage(found.select("query_id", "score", *B.HIT_FIELDS), "candidates")
 
 
 def _worded(spark, folder):

@@ -5,7 +5,7 @@ from collections import deque
 
 import pytest
 
-from pagelode.operators import crawl as C
+from pagelode.operators import crawl as C, joins
 
 
 def visit(seeds, edges, fetchable, max_pages, max_depth):
@@ -53,8 +53,13 @@ def test_small_graphs(spark, seeds, max_pages, max_depth, missing):
     assert frontier(spark, *args) == visit(*args)
 
 
-def test_random_graph_with_a_hub(spark):
-    """One page holds a third of all links and is the target of another third."""
+@pytest.mark.parametrize("broadcast_rows", [joins.BROADCAST_ROWS, 0])
+def test_random_graph_with_a_hub(spark, monkeypatch, broadcast_rows):
+    """One page holds a third of all links and is the target of another third.
+
+    Without broadcasts the levels are numbered over many tasks.
+    """
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", broadcast_rows)
     rng = random.Random(3)
     names = [f"n{i}" for i in range(60)]
     edges = {n: [rng.choice(names) for _ in range(3)] + ["n0", "n0"] for n in names}
