@@ -37,34 +37,3 @@ def sha256(column: str | Column) -> Column:
 def fold(column: str | Column, parts: int) -> Column:
     """crc32 of an id written as text, modulo ``parts``; null ids count as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % parts
-
-
-_ASCII_LOWER = {ord(a): b for a, b in zip(UPPER, LOWER, strict=True)}
-_SPACES = {c: " " for c in (9, 10, 11, 12, 13)}
-
-
-def lower_az(text: str) -> str:
-    """``ascii_lower`` for one Python string; most texts take the fast path."""
-    if text.isascii():
-        return text.lower()
-    low = text.lower()
-    # lower() also folds letters outside A-Z; usable only if it changed none of them
-    if len(low) == len(text) and not any(ord(c) > 127 for c in set(text) - set(low)):
-        return low
-    return text.translate(_ASCII_LOWER)
-
-
-def split_words(text: str) -> list[str]:
-    """``words`` for one Python string."""
-    if text.isascii() and "\x1c" > max(text, default=" ") :
-        return text.split()
-    return [w for w in text.translate(_SPACES).split(" ") if w] if _odd_space(text) else text.split()
-
-
-def _odd_space(text: str) -> bool:
-    """True if ``str.split`` would break at characters that are no white space here."""
-    return bool(_ODD.intersection(text))
-
-
-#: White space for ``str.split`` but not for the contracts' word pattern.
-_ODD = frozenset(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \t\n\x0b\x0c\r")

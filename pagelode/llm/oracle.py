@@ -1,3 +1,96 @@
 """SQL beside the queries of this subpackage, where SQL can express them."""
 
 ORACLES: dict[str, str] = {}
+
+
+def oracle(name: str):
+    def add(sql: str) -> None:
+        ORACLES[name] = sql
+
+    return add
+
+
+oracle("op10_decontaminate")(
+    r"""
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), item AS (
+  SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS n,
+    array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS g
+  FROM item, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS t(i) WHERE len(w) > 0
+), sizes AS (SELECT DISTINCT n FROM win
+), place AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM doc, sizes, unnest(range(1, len(w) - n + 2)) AS t(i)
+), hit AS (
+  SELECT p.doc_id, p.i, p.n, win.item_id FROM place p JOIN win ON p.n = win.n AND p.g = win.g
+), covered AS (
+  SELECT doc_id, count(DISTINCT k) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hit) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id
+)
+SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+  CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+)
+
+oracle("op6_quality_rules")(
+    r"""
+WITH doc AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)),
+      lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g
+  FROM doc, unnest(range(1, len(w) - 3)) AS t(i)
+), twice AS (
+  SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1
+), rep AS (
+  SELECT doc_id, count(DISTINCT k) AS n
+  FROM (SELECT doc_id, unnest(range(i, i + 5)) AS k FROM twice) GROUP BY doc_id
+), line AS (
+  SELECT doc_id, k, l[k] AS x, len(regexp_extract_all(l[k], '[^\x20\x09-\x0D]+')) AS n,
+    length(l[k]) - length(regexp_replace(l[k], '[#*$%&|<>]', '', 'g')) AS symbols,
+    len(regexp_extract_all(l[k], '!!+([\x20\x09-\x0D]|$)')) AS exclaims,
+    len(regexp_extract_all(l[k], '[|»•›]')) AS separators
+  FROM doc, unnest(range(1, len(l) + 1)) AS t(k)
+), clean AS (
+  SELECT doc_id, sum(n) AS n, string_agg(x, chr(10) ORDER BY k) AS cleaned FROM line
+  WHERE NOT (
+    100 * symbols > 30 * n OR 100 * exclaims > 30 * n
+    OR n > 200 AND NOT regexp_matches(x, '[.!?。！？…:;]')
+    OR separators >= 3 AND 100 * separators > 25 * n
+    OR n <= 30 AND regexp_matches(lower(x), '(all rights reserved|accept cookies|cookie policy|enable javascript|privacy policy|terms of use|terms of service|subscribe to our newsletter|click here to|lorem ipsum|skip to content|share on facebook|share on twitter)')
+  ) GROUP BY doc_id
+), figures AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+    CAST(coalesce(clean.n, 0) AS BIGINT) AS n_kept_words, coalesce(cleaned, '') AS c
+  FROM doc LEFT JOIN rep USING (doc_id) LEFT JOIN clean USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
+    AND 100 * n_kept_words >= 50 * n_words AS kept,
+  n_kept_words, sha256(c) AS cleaned_sha256
+FROM figures
+"""
+)

@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import bpe
+from .decontaminate import decontaminate
+from .quality_rules import quality_rules
 from .common import sha256, table, text_or_empty
 
 QUERIES: dict = {}
@@ -31,3 +33,29 @@ def op3_bpe(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", text_or_empty().alias("text"))
     coded = bpe.bpe_round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
     return bpe_digests(coded)
+
+
+@query
+def op6_quality_rules(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return quality_rules(docs).select(
+        "doc_id",
+        *[F.col(f"quality.{f}") for f in [*fields, "base_failed", "kept", "n_kept_words"]],
+        sha256("quality.cleaned").alias("cleaned_sha256"),
+    )
+
+
+@query
+def op10_decontaminate(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    judged = decontaminate(docs.select("doc_id", "text"), table(spark, folder, "benchmark"))
+    found = F.col("contamination")
+    return judged.select(
+        "doc_id",
+        found["n_words"].alias("n_words"),
+        found["n_hit"].alias("n_hit"),
+        F.size(found["items"]).cast("long").alias("n_items"),
+        sha256(F.array_join(found["items"], ",")).alias("items_sha256"),
+        found["contaminated"].alias("contaminated"),
+    )
