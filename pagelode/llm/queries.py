@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from .decontaminate import decontaminate
+from .pii import KINDS, find_pii
 from .quality_rules import quality_rules
 from .common import sha256, table, text_or_empty
 
@@ -59,3 +60,19 @@ def op10_decontaminate(spark, folder):
         sha256(F.array_join(found["items"], ",")).alias("items_sha256"),
         found["contaminated"].alias("contaminated"),
     )
+
+
+@query
+def op9_pii(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    named = lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])
+    base = F.filter("pii", lambda x: x["kind"] != "term")
+    kinds = F.transform("pii", lambda x: x["kind"])
+    others = lambda k: F.size(F.array_remove(kinds, k))
+    counts = [(F.size(kinds) - others(k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return find_pii(docs).select(
+        "doc_id",
+        *counts,
+        sha256(F.array_join(F.transform(base, named), ",")).alias("base_sha256"),
+        F.array_join(F.transform("pii", named), ",").alias("spans"),
+    )
