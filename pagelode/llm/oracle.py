@@ -52,6 +52,7 @@ oracle("op6_quality_rules")(
 WITH doc AS (
   SELECT doc_id, coalesce(text, '') AS t,
     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    string_split(coalesce(text, ''), chr(10)) AS al,
     list_filter(string_split(coalesce(text, ''), chr(10)),
       lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
   FROM documents
@@ -64,14 +65,14 @@ WITH doc AS (
   SELECT doc_id, count(DISTINCT k) AS n
   FROM (SELECT doc_id, unnest(range(i, i + 5)) AS k FROM twice) GROUP BY doc_id
 ), line AS (
-  SELECT doc_id, k, l[k] AS x, len(regexp_extract_all(l[k], '[^\x20\x09-\x0D]+')) AS n,
-    length(l[k]) - length(regexp_replace(l[k], '[#*$%&|<>]', '', 'g')) AS symbols,
-    len(regexp_extract_all(l[k], '!!+([\x20\x09-\x0D]|$)')) AS exclaims,
-    len(regexp_extract_all(l[k], '[|»•›]')) AS separators
-  FROM doc, unnest(range(1, len(l) + 1)) AS t(k)
+  SELECT doc_id, k, al[k] AS x, len(regexp_extract_all(al[k], '[^\x20\x09-\x0D]+')) AS n,
+    length(al[k]) - length(regexp_replace(al[k], '[#*$%&|<>]', '', 'g')) AS symbols,
+    len(regexp_extract_all(al[k], '!!+([\x20\x09-\x0D]|$)')) AS exclaims,
+    len(regexp_extract_all(al[k], '[|»•›]')) AS separators
+  FROM doc, unnest(range(1, len(al) + 1)) AS t(k)
 ), clean AS (
   SELECT doc_id, sum(n) AS n, string_agg(x, chr(10) ORDER BY k) AS cleaned FROM line
-  WHERE NOT (
+  WHERE n = 0 OR NOT (
     100 * symbols > 30 * n OR 100 * exclaims > 30 * n
     OR n > 200 AND NOT regexp_matches(x, '[.!?。！？…:;]')
     OR separators >= 3 AND 100 * separators > 25 * n

@@ -255,16 +255,16 @@ def find_pii(
     whole = (
         staged.select("key", "spans")
         .join(marked, "key", "left")
-        .select("key", F.when(F.col("terms").isNull(), F.col("spans")).otherwise(F.concat("spans", extra)).alias("all"))
+        .select(F.col("key").alias("_pii_key"), F.when(F.col("terms").isNull(), F.col("spans")).otherwise(F.concat("spans", extra)).alias("_pii_all"))
     )
     names = F.array(*map(F.lit, [*KINDS, "term"]))
     listed = F.transform(
-        F.coalesce("all", F.array().cast("array<struct<rank:int,start:int,end:int,value:string>>")),
+        F.coalesce("_pii_all", F.array().cast("array<struct<rank:int,start:int,end:int,value:string>>")),
         lambda s: F.struct(F.get(names, s["rank"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")),
     )
     return (
-        docs.select(*kept, identity.alias("_key"))
-        .join(whole, F.col("_key") == F.col("key"), "left")
+        docs.select(*kept, identity.alias("_pii_key"))
+        .join(whole, "_pii_key", "left")
         .select(*kept, listed.alias("pii"))
     )
 

@@ -116,7 +116,7 @@ def quality_rules(
 
     Its fields: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long),
     base_failed and kept (boolean), n_kept_words (long) and cleaned, the text without
-    the failed lines. Null and empty texts have no words, so they fail the base rules;
+    the failed lines; blank lines stay. Null and empty texts have no words, so they fail the base rules;
     ``cleaned`` is then empty. Repeated rows get the same verdict each; lines are
     compared as they stand, and the first of equal lines is no duplicate.
     """
@@ -142,7 +142,7 @@ def quality_rules(
                 ),
             ).otherwise(F.array().cast("array<bigint>")),
             "_lines": F.filter("_l", has_word),
-            "_good": F.filter("_l", lambda x: has_word(x) & ~line_fails(x, rules)),
+            "_good": F.filter("_l", lambda x: ~has_word(x) | ~line_fails(x, rules)),
         }
     )
     n_words = F.size("_w")

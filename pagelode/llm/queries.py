@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from .decontaminate import decontaminate
+from .ngram_join import ngram_components
 from .pii import KINDS, find_pii
 from .quality_rules import quality_rules
 from .common import sha256, table, text_or_empty
@@ -19,13 +20,14 @@ def query(fn):
     return fn
 
 
-def bpe_digests(encoded):
-    """Digest columns of encoded documents."""
+def bpe_digests(encoded, *more):
+    """Digest columns of encoded documents, and ``more`` of theirs."""
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         sha256(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
         sha256("decoded").alias("decoded_sha256"),
+        *more,
     )
 
 
@@ -76,3 +78,8 @@ def op9_pii(spark, folder):
         sha256(F.array_join(F.transform(base, named), ",")).alias("base_sha256"),
         F.array_join(F.transform("pii", named), ",").alias("spans"),
     )
+
+
+@query
+def op5_ngram_join(spark, folder):
+    return ngram_components(table(spark, folder, "documents"))
