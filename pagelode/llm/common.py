@@ -29,6 +29,15 @@ def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(column, F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, computed once for each row.
+
+    A column used inside a lambda may be replaced by its expression when a filter moves
+    below the projection, and then runs for every element; a lambda's variable cannot.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def sha256(column: str | Column) -> Column:
     """Lower-case hex of the UTF-8 bytes."""
     return F.sha2(column, 256)

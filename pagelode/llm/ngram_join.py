@@ -411,4 +411,4 @@ def one_of_each(
     numbered = docs.withColumn("_ngram_id", F.col(doc_id).cast("long"))
     named = numbered.join(keep, "_ngram_id", "left_semi").dropDuplicates(["_ngram_id"])
     unnamed = numbered.filter("_ngram_id is null")
-    return named.union(unnamed).drop("_ngram_id")
+    return named.unionByName(unnamed).drop("_ngram_id")

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE, text_or_empty
+from .common import SPACE, let, text_or_empty
 
 #: Fixed value of the contract: characters counted as symbols.
 SYMBOLS = "[#*$%&|<>]+"
@@ -83,20 +83,27 @@ def line_fails(line: Column, rules: LineRules) -> Column:
     return punctuation | navigation | (phrase & (n <= rules.boilerplate_words))
 
 
-def _places(hashes: str) -> Column:
-    """Windows as (hash, place), sorted, so that equal ones stand side by side."""
+def _window_hashes(words: Column, window: int) -> Column:
+    """One hash for each window of consecutive words."""
+    starts = F.sequence(F.lit(1), F.size(words) - (window - 1))
+    return F.transform(
+        starts, lambda i: F.xxhash64(*[F.element_at(words, i + k) for k in range(window)])
+    )
+
+
+def _repeated(hashes: Column) -> Column:
+    """Places of windows whose hash occurs twice or more, in order of the text."""
     at = F.sequence(F.lit(0), F.size(hashes) - 1)
-    return F.sort_array(F.arrays_zip(F.col(hashes).alias("h"), at.alias("i")))
 
+    def marked(places):  # equal windows stand side by side
+        same = lambda x, k: F.coalesce(F.get(places, k)["h"] == x["h"], F.lit(False))
+        found = F.filter(places, lambda x, k: same(x, k - 1) | same(x, k + 1))
+        return F.sort_array(F.transform(found, lambda x: x["i"]))
 
-def _repeated(places: str) -> Column:
-    """Places of windows that equal a neighbour, in order of the text."""
-    same = lambda x, k: F.coalesce(F.get(places, k)["h"] == x["h"], F.lit(False))
-    found = F.filter(places, lambda x, k: same(x, k - 1) | same(x, k + 1))
-    return F.sort_array(F.transform(found, lambda x: x["i"]))
+    return let(F.sort_array(F.arrays_zip(hashes.alias("h"), at.alias("i"))), marked)
 
 
-def _covered(starts: str, window: int) -> Column:
+def _covered(starts: Column, window: int) -> Column:
     """Words inside windows that begin at sorted ``starts``."""
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     return F.aggregate(
@@ -109,6 +116,18 @@ def _covered(starts: str, window: int) -> Column:
     )["n"]
 
 
+def repeated_words(words: Column, window: int) -> Column:
+    """How many words stand inside windows that occur twice or more."""
+    repeats = lambda h: F.size(F.array_distinct(h)) < F.size(h)
+    count = lambda h: F.when(repeats(h), _covered(_repeated(h), window)).otherwise(0)
+    return let(
+        words,
+        lambda w: F.when(
+            F.size(w) >= window, let(_window_hashes(w, window), count)
+        ).otherwise(0),
+    )
+
+
 def quality_rules(
     df: DataFrame, text: str = "text", rules: LineRules = LineRules()
 ) -> DataFrame:
@@ -131,35 +150,20 @@ def quality_rules(
             "_symbols": _count(F.col("_t"), SYMBOLS),
         }
     )
-    starts = F.sequence(F.lit(1), F.size("_w") - (w - 1))
-    hashed = split.withColumns(
+    lined = split.withColumns(
         {
-            "_h": F.when(
-                F.size("_w") >= w,
-                F.transform(
-                    starts,
-                    lambda i: F.xxhash64(*[F.element_at("_w", i + k) for k in range(w)]),
-                ),
-            ).otherwise(F.array().cast("array<bigint>")),
             "_lines": F.filter("_l", has_word),
             "_good": F.filter("_l", lambda x: ~has_word(x) | ~line_fails(x, rules)),
         }
     )
     n_words = F.size("_w")
-    none = F.array().cast("array<int>")
-    # each array is a column of its own: lambdas then look it up instead of sorting anew
-    repeats = F.size(F.array_distinct("_h")) < F.size("_h")
-    placed = hashed.withColumn("_m", F.when(repeats, _places("_h")))
-    marked = placed.withColumn(
-        "_r", F.when(F.col("_m").isNotNull(), _repeated("_m")).otherwise(none)
-    )
-    figures = marked.select(
+    figures = lined.select(
         *kept,
         n_words.cast("long").alias("_n"),
         F.length(F.array_join("_w", "")).cast("long").alias("_chars"),
         F.col("_symbols").cast("long").alias("_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("_dup"),
-        _covered("_r", w).cast("long").alias("_rep"),
+        repeated_words(F.col("_w"), w).cast("long").alias("_rep"),
         F.array_join("_good", "\n").alias("_clean"),
     )
     judged = figures.withColumns(
