@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from .decontaminate import decontaminate
+from .html_extract import extract_text
 from .ngram_join import ngram_components
 from .pii import KINDS, find_pii
 from .quality_rules import quality_rules
@@ -83,3 +84,10 @@ def op9_pii(spark, folder):
 @query
 def op5_ngram_join(spark, folder):
     return ngram_components(table(spark, folder, "documents"))
+
+
+@query
+def op8_html_extract(spark, folder):
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    found = extract_text(pages)
+    return found.withColumn("n_chars", F.length("text").cast("long"))
