@@ -8,8 +8,10 @@ that link share at least ``k`` shingles within their first ``n - overlap + k``.
 such prefixes are compared, and rare shingles come first in the order.
 
 1. Equal sets fall together by a digest, so copies are one class from here on.
-2. A first order by hashed frequency classes gives short prefixes; classes that share
-   a prefix shingle with another class are candidates. All others link with nothing.
+2. A first order by hashed frequency classes gives prefixes of two fifths of a set. A
+   class that links with another shares at least as many of them as reach beyond the
+   shingles that it may miss; classes that share fewer link with nothing. What remains
+   are candidates.
 3. Among the candidates the exact frequencies decide the order. A shingle that no other
    candidate holds comes before all others and uses up prefix places, so heavily
    changed copies soon have no prefix left that could reach the threshold.
@@ -43,6 +45,8 @@ BUCKET_BITS, CHUNKS = 18, 8
 FAN_IN = 256
 #: Shingles of more candidate classes than this are frequent.
 FREQUENT = 32
+#: Percent of a set that the first prefixes hold.
+REACH = 40
 KEPT_HASHES = 400_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -78,11 +82,21 @@ def digest(shingles: np.ndarray) -> bytes:
     return hashlib.md5(shingles.tobytes()).digest()
 
 
+def class_of(sig: bytes) -> int:
+    """A class as one number, for the index; classes are told apart by the digest."""
+    return int.from_bytes(sig[:8], "little", signed=True)
+
+
 def need(n, percent: int):
     """Least overlap with any set that links to one of ``n`` shingles."""
     return -(-percent * n // 100)
 
 
+def reach(n: int, percent: int) -> int:
+    """Length of the first prefix: more than the shingles that a link may miss."""
+    return max(n - need(n, percent) + 1, -(-REACH * n // 100))
+
+
 def _sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
@@ -92,7 +106,9 @@ def _sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def _describe(texts: DataFrame, size: int) -> DataFrame:
     """One pass: a row (doc_id, n, sig) for each document, and counts by bucket."""
-    schema = "doc_id long, n long, sig binary, task long, chunk int, counts binary"
+    schema = "doc_id long, n long, sig binary, class long, task long, chunk int, counts binary"
+
+    names = ["doc_id", "n", "sig", "class", "task", "chunk", "counts"]
 
     def run(batches):
         shingler = Shingler(size)
@@ -105,16 +121,18 @@ def _describe(texts: DataFrame, size: int) -> DataFrame:
                     (np.concatenate(sets) >> shift).astype(np.int64), minlength=len(counts)
                 )
             k = len(sets)
+            sigs = [digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([digest(s) for s in sets], pa.binary()),
+                    pa.array(sigs, pa.binary()),
+                    pa.array(map(class_of, sigs), pa.int64()),
                     pa.nulls(k, pa.int64()),
                     pa.nulls(k, pa.int32()),
                     pa.nulls(k, pa.binary()),
                 ],
-                names=["doc_id", "n", "sig", "task", "chunk", "counts"],
+                names=names,
             )
         from pyspark import TaskContext
 
@@ -124,11 +142,12 @@ def _describe(texts: DataFrame, size: int) -> DataFrame:
                 pa.nulls(CHUNKS, pa.int64()),
                 pa.nulls(CHUNKS, pa.int64()),
                 pa.nulls(CHUNKS, pa.binary()),
+                pa.nulls(CHUNKS, pa.int64()),
                 pa.array([TaskContext.get().partitionId()] * CHUNKS, pa.int64()),
                 pa.array(range(CHUNKS), pa.int32()),
                 pa.array([p.tobytes() for p in parts], pa.binary()),
             ],
-            names=["doc_id", "n", "sig", "task", "chunk", "counts"],
+            names=names,
         )
 
     return texts.mapInArrow(run, schema)
@@ -166,15 +185,15 @@ def _prefixes(texts: DataFrame, size: int, percent: int, counts: np.ndarray) ->
                 n = len(s)
                 if need(n, percent) < 4:  # such a set links only with its equals
                     continue
-                length = n - need(n, percent) + 1
+                length = reach(n, percent)
                 best = np.lexsort((s, order[(s >> shift).astype(np.int64)]))[:length]
                 tokens.append(s[best])
-                classes.append(np.full(length, int.from_bytes(digest(s)[:8], "little"), np.uint64))
+                classes.append(np.full(length, class_of(digest(s)), np.int64))
             if tokens:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate(tokens).view(np.int64)),
-                        pa.array(np.concatenate(classes).view(np.int64)),
+                        pa.array(np.concatenate(classes)),
                     ],
                     names=["token", "class"],
                 )
@@ -182,29 +201,46 @@ def _prefixes(texts: DataFrame, size: int, percent: int, counts: np.ndarray) ->
     return texts.mapInArrow(run, "token long, class long")
 
 
-def _sharing(prefixes: DataFrame) -> DataFrame:
-    """Classes that share a token with another class."""
+def shared_counts(batches):
+    """Rows (class, m) from sorted batches (token, class): shared tokens of each class.
+
+    A run of one token may span batches. Its first class is told as soon as another one
+    turns up; of equal rows one counts. Only the end of a batch is kept.
+    """
+    last = (None, None)  # row before this batch
+    first, told = None, False  # of the run that the row belongs to
+    for batch in batches:
+        t, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(t):
+            continue
+        goes_on = last[0] is not None and t[0] == last[0]
+        begins = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        lengths = np.diff(np.append(begins, len(t)))
+        starters = c[begins].copy()
+        known = np.zeros(len(begins), bool)
+        if goes_on:
+            starters[0], known[0] = first, told
+        fresh = np.concatenate(
+            [[not (goes_on and c[0] == last[1])], (t[1:] != t[:-1]) | (c[1:] != c[:-1])]
+        )
+        other = fresh & (c != np.repeat(starters, lengths))
+        shared = np.add.reduceat(other, begins) > 0
+        found = np.concatenate([c[other], starters[shared & ~known]])
+        last, first, told = (t[-1], c[-1]), starters[-1], bool(shared[-1] or known[-1])
+        if len(found):
+            classes, m = np.unique(found, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(classes), pa.array(m)], names=["class", "m"])
 
-    def run(batches):
-        token = first = None  # of the run that the last batch ended in
-        for batch in batches:
-            t = batch.column(0).to_numpy()
-            c = batch.column(1).to_numpy()
-            if not len(t):
-                continue
-            begins = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-            starters = c[begins]
-            if token is not None and t[0] == token:
-                starters = np.concatenate([[first], starters[1:]])
-            firsts = np.repeat(starters, np.diff(np.append(begins, len(t))))
-            token, first = t[-1], firsts[-1]
-            other = c != firsts
-            found = np.unique(np.concatenate([c[other], firsts[other]]))
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(found)], names=["class"])
 
+def _sharing(prefixes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Classes that share enough prefix tokens with others to link with one."""
     dealt = prefixes.repartition("token").sortWithinPartitions("token", "class")
-    return dealt.mapInArrow(run, "class long").distinct()
+    counted = dealt.mapInArrow(shared_counts, "class long, m long")
+    counted = counted.groupBy("class").agg(F.sum("m").alias("m"))
+    sizes = rows.groupBy("class").agg(F.min("n").alias("n"))
+    missed = F.expr(f"n - ceil({percent} * n / 100)")
+    length = F.greatest(missed + 1, F.expr(f"ceil({REACH} * n / 100)"))
+    return counted.join(sizes, "class").filter(F.col("m") >= length - missed).select("class")
 
 
 def _candidate_sets(texts: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
@@ -217,7 +253,7 @@ def _candidate_sets(texts: DataFrame, size: int, wanted: DataFrame) -> DataFrame
             sigs = [digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([int.from_bytes(g[:8], "little", signed=True) for g in sigs], pa.int64()),
+                    pa.array(map(class_of, sigs), pa.int64()),
                     pa.array(sigs, pa.binary()),
                     pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
                 ],
@@ -380,9 +416,10 @@ def ngram_components(
     """
     texts = _sets(docs, doc_id, text)
     described = stage(_describe(texts, size), "ngram-sets")
-    rows = described.filter("sig is not null").select("doc_id", "n", "sig")
+    rows = described.filter("sig is not null").select("doc_id", "n", "sig", "class")
     counts = _bucket_counts(described)
-    wanted = stage(_sharing(_prefixes(texts, size, percent, counts)), "ngram-candidates")
+    prefixes = _prefixes(texts, size, percent, counts)
+    wanted = stage(_sharing(prefixes, rows, percent), "ngram-candidates")
     sets = stage(_candidate_sets(texts, size, wanted), "candidate-sets")
     roots = stage(components(class_links(sets, percent)), "ngram-components")
 
