@@ -11,7 +11,8 @@ from .html_extract import extract_text
 from .ngram_join import ngram_components
 from .pii import KINDS, find_pii
 from .quality_rules import quality_rules
-from .common import sha256, table, text_or_empty
+from .toxicity import score_toxicity
+from .common import fold, sha256, table, text_or_empty
 
 QUERIES: dict = {}
 
@@ -91,3 +92,11 @@ def op8_html_extract(spark, folder):
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
     found = extract_text(pages)
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op4_toxicity(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = fold("doc_id", 4) == 2
+    scored = score_toxicity(docs, table(spark, folder, "labels"), held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
