@@ -95,3 +95,42 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM figures
 """
 )
+
+oracle("op1_url_filters")(
+    r"""
+WITH page AS (
+  SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) AS host,
+    list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1), '/'),
+      lambda x: x <> '') AS parts,
+    CAST(to_timestamp(1704067200 + page_id * 7919 % 2592000) AT TIME ZONE 'UTC' AS TIMESTAMP) AS t
+  FROM pages
+), entry AS (
+  SELECT CASE WHEN event_id % 5 = 0 THEN 'allow' ELSE 'block' END AS list,
+    CASE event_id % 3 WHEN 0 THEN 'domain' WHEN 1 THEN 'host' ELSE 'prefix' END AS kind,
+    CASE event_id % 3 WHEN 0 THEN regexp_extract(host, '([^.]+\.[^.]+)$', 1) WHEN 1 THEN host
+      ELSE host || regexp_extract(url, '^[a-z]+://[^/]+(/[^/?#]+)', 1) END AS pattern,
+    ts, event_type NOT IN ('view', 'error') AS adds, event_id
+  FROM events JOIN page ON user_id = page_id
+), dated AS (
+  SELECT *, lead(ts) OVER (PARTITION BY list, kind, pattern ORDER BY ts, event_id) AS until FROM entry
+), interval AS (
+  SELECT * FROM dated WHERE adds AND (until IS NULL OR until > ts)
+), key AS (
+  SELECT page_id, t, 'host' AS kind, host AS pattern FROM page
+  UNION ALL
+  SELECT page_id, t, 'domain', array_to_string(string_split(host, '.')[i:], '.')
+  FROM page, unnest(range(1, len(string_split(host, '.')))) AS r(i)
+  UNION ALL
+  SELECT page_id, t, 'prefix', host || '/' || array_to_string(parts[1:i], '/')
+  FROM page, unnest(range(1, len(parts) + 1)) AS r(i)
+), best AS (
+  SELECT page_id, list, kind, pattern, ts FROM key JOIN interval USING (kind, pattern)
+  WHERE ts <= t AND (until IS NULL OR t < until)
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY
+    CASE kind WHEN 'prefix' THEN 3 WHEN 'host' THEN 2 ELSE 1 END DESC, length(pattern) DESC,
+    list = 'allow' DESC, ts DESC, list DESC, pattern DESC) = 1
+)
+SELECT page.page_id, url, coalesce(list <> 'block', true) AS kept, list, kind, pattern, ts AS since
+FROM page LEFT JOIN best USING (page_id)
+"""
+)

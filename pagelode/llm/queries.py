@@ -11,7 +11,9 @@ from .html_extract import extract_text
 from .ngram_join import ngram_components
 from .pii import KINDS, find_pii
 from .quality_rules import quality_rules
+from .quality_model import score_quality
 from .toxicity import score_toxicity
+from .url_filters import filter_urls, host_of
 from .common import fold, sha256, table, text_or_empty
 
 QUERIES: dict = {}
@@ -100,3 +102,41 @@ def op4_toxicity(spark, folder):
     held_out = fold("doc_id", 4) == 2
     scored = score_toxicity(docs, table(spark, folder, "labels"), held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def dated_lists(spark, folder):
+    """List entries that events hand out: each names the page of its user's number."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    events = table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type")
+    host, part = host_of("url"), F.regexp_extract("url", "^[a-z]+://[^/]+(/[^/?#]+)", 1)
+    kind = F.col("event_id") % 3
+    named = events.join(pages, F.col("user_id") == F.col("page_id"))
+    return named.select(
+        F.when(F.col("event_id") % 5 == 0, "allow").otherwise("block").alias("list"),
+        F.when(kind == 0, "domain").when(kind == 1, "host").otherwise("prefix").alias("kind"),
+        F.when(kind == 0, F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1))
+        .when(kind == 1, host)
+        .otherwise(F.concat(host, part))
+        .alias("pattern"),
+        F.col("ts").alias("time"),
+        F.when(F.col("event_type").isin("view", "error"), "remove").otherwise("add").alias("action"),
+        F.col("event_id").alias("seq"),
+    )
+
+
+@query
+def op1_url_filters(spark, folder):
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    seconds = F.lit(1704067200) + F.col("page_id") * 7919 % 2592000
+    captures = pages.withColumn("fetch_time", F.timestamp_seconds(seconds).cast("timestamp_ntz"))
+    found = filter_urls(captures, dated_lists(spark, folder))
+    fields = ["kept", "list", "kind", "pattern", "since"]
+    return found.select("page_id", "url", *[f"url_filter.{f}" for f in fields])
+
+
+@query
+def op7_quality_model(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source", "lang")
+    held_out = fold("doc_id", 4) == 2
+    scored = score_quality(docs, table(spark, folder, "labels"), held_out)
+    return scored.withColumn("held_out", held_out)
