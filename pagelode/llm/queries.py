@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import bpe
 from .decontaminate import decontaminate
 from .html_extract import extract_text
+from .lm_score import read_ranks, score_texts
 from .ngram_join import ngram_components
 from .pii import KINDS, find_pii
 from .quality_rules import quality_rules
@@ -140,3 +141,12 @@ def op7_quality_model(spark, folder):
     held_out = fold("doc_id", 4) == 2
     scored = score_quality(docs, table(spark, folder, "labels"), held_out)
     return scored.withColumn("held_out", held_out)
+
+
+@query
+def op2_lm_score(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    held_out = fold("doc_id", 5) == 1
+    scored = score_texts(docs, held_out, read_ranks(path, public_tokenizers.PATTERN))
+    return scored.withColumn("held_out", held_out)
