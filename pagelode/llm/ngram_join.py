@@ -238,9 +238,10 @@ def _sharing(prefixes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     counted = dealt.mapInArrow(shared_counts, "class long, m long")
     counted = counted.groupBy("class").agg(F.sum("m").alias("m"))
     sizes = rows.groupBy("class").agg(F.min("n").alias("n"))
-    missed = F.expr(f"n - ceil({percent} * n / 100)")
-    length = F.greatest(missed + 1, F.expr(f"ceil({REACH} * n / 100)"))
-    return counted.join(sizes, "class").filter(F.col("m") >= length - missed).select("class")
+    # Of two linked prefixes, the one that ends earlier in the order lacks only what
+    # its set may miss: REACH - (100 - percent) percent of the smaller set are shared.
+    least = F.greatest(F.lit(1), F.expr(f"ceil({REACH + percent - 100} * n / 100)"))
+    return counted.join(sizes, "class").filter(F.col("m") >= least).select("class")
 
 
 def _candidate_sets(texts: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
