@@ -32,7 +32,6 @@ STEP_4 = (
     "ive ize"
 ).split()
 
-_PLAIN_WORD = re.compile("[a-z]{3,}")
 _MEASURE = re.compile("v+c+")
 
 
@@ -111,8 +110,11 @@ def _tidy(word: str) -> str:
 
 
 def stem_word(word: str) -> str:
-    """Stem of a lower-case word; words with other characters stay as they are."""
-    if not _PLAIN_WORD.fullmatch(word):
+    """Stem of a lower-case word of three characters or more.
+
+    Letters outside a-z and digits count as consonants.
+    """
+    if len(word) < 3:
         return word
     word = _past_and_gerund(_plural(word))
     if word.endswith("y") and _has_vowel(word[:-1]):

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import html as H
 from ..functions.urls import origin, resolve_against, url_parts
 from ..session import stage
-from .joins import fits_broadcast, join_small
+from .joins import join_small
 
 
 def extract_raw_links(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -107,12 +107,6 @@ def _number_rows(df: DataFrame, order: list[str], start: int, name: str) -> Data
     return numbered.drop("_id", "_part", "_at", "_n", "_before")
 
 
-def _number_few_rows(df: DataFrame, order: list[str], start: int, name: str) -> DataFrame:
-    """The same for rows known to be few: one task sorts and numbers them."""
-    place = F.row_number().over(Window.orderBy(*order)) + F.lit(start - 1)
-    return stage(df.withColumn("crawl_seq", place), name)
-
-
 def crawl_frontier(
     seeds: DataFrame,
     edges: DataFrame,
@@ -140,9 +134,8 @@ def crawl_frontier(
         if visited is not None:
             found = found.join(visited, "url", "left_anti")
         found = stage(found, f"found-{depth}")
-        number = _number_few_rows if fits_broadcast(found) else _number_rows
         candidates = join_small(fetchable, found, ["url"]).dropDuplicates(["url"])
-        level = number(
+        level = _number_rows(
             candidates, ["_order", "_pos", "url"], count + 1, f"level-{depth}"
         )
         size = level.count()

@@ -14,7 +14,6 @@ from .match import covers_all_terms, match_terms
 SCORE_DECIMALS = 6
 
 # Largest rank limit that Spark also applies before the shuffle.
-_RANK_LIMIT_KEY = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 HIT_FIELDS = [
     "url",
@@ -96,13 +95,11 @@ def bm25(
 def top_k(scored: DataFrame, k: int, order: list | None = None) -> DataFrame:
     """Best ``k`` rows per query with their ``rank`` from 1; ties by url.
 
-    The rank limit also works before the shuffle: each task sends at most ``k``
-    rows per query, so a query that matches most of the corpus stays cheap.
+    Up to Spark's own limit (1000 rows by default) the rank limit also works before
+    the shuffle: each task sends at most ``k`` rows per query, so a query that matches
+    most of the corpus stays cheap.
     """
     order = order or [F.col("score").desc(), F.col("url")]
-    conf = scored.sparkSession.conf
-    if k > int(conf.get(_RANK_LIMIT_KEY, "1000")):
-        conf.set(_RANK_LIMIT_KEY, str(k))  # keep the limit below the shuffle
     window = Window.partitionBy("query_id").orderBy(*order)
     return scored.withColumn("rank", F.row_number().over(window)).filter(
         F.col("rank") <= k

@@ -8,11 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import html as H, scores as S, text as T
-from ..functions.shards import align_shards
 from ..functions.urls import resolve_url
 from ..operators import analyze as A, crawl as C, documents as D, match as M
 from ..operators import rank as R, score as B, serve as V, suggest as G
-from ..operators.joins import shuffle_join
 from ..session import scratch_path, stage
 from ..sources import document_log as L
 from ..sources.pages import page_records, seeds_from_text
@@ -22,6 +20,7 @@ from .search import search as run_search
 from .views import AS_OF, PLAIN
 
 QUERIES = {}
+LIMIT = 10
 
 
 def query(fn):
@@ -54,12 +53,12 @@ def _bm25(spark, folder, require_all=True):
 
 
 def _candidates(spark, folder):
-    """Every document that matches any term of a query, as a hit."""
-    docs = views.text_index(spark, folder).documents
-    hits, shard = align_shards(docs, _bm25(spark, folder, require_all=False), "url")
-    fields = [T.snippet("content").alias(f) if f == "content" else f for f in B.HIT_FIELDS]
-    short = docs.select(*shard, *fields)  # snippets travel, not whole texts
-    found = shuffle_join(short, hits, [*shard, "url"])
+    """The candidates that a search for any term ranks: twice the limit per query."""
+    hits = B.top_k(_bm25(spark, folder, require_all=False), 2 * LIMIT)
+    found = B.project_hits(
+        views.text_index(spark, folder).documents, hits,
+        queries=views.queries(spark, folder), per_query=2 * LIMIT,
+    )
     return stage(found.select("query_id", "score", *B.HIT_FIELDS), "candidates")
 
 

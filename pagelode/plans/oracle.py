@@ -151,8 +151,7 @@ _CTES = {
         '' AS headings, length({_clean('text')}) AS content_length,
         {FIRST_CRAWL} + doc_id % 365 * 86400 AS crawl_seconds, doc_id % 5 AS depth
         FROM documents""",
-    "queries": """SELECT item_id AS query_id,
-        array_to_string(str_split(text, ' ')[1:2], ' ') AS query FROM benchmark""",
+    "queries": "SELECT item_id AS query_id, text AS query FROM benchmark",
     "prefixes": "SELECT item_id AS query_id, lower(substr(text, 1, 3)) AS prefix FROM benchmark",
     "updates": f"""SELECT * REPLACE ('Updated ' || title AS title) FROM text_docs
         WHERE contains(url, '/en/')
@@ -200,6 +199,8 @@ _CTES = {
     "top_any": """SELECT *, row_number() OVER (PARTITION BY query_id
         ORDER BY score DESC, url) AS rank FROM bm25_any
         QUALIFY rank <= 10""",
+    "cand_any": """SELECT * FROM bm25_any QUALIFY row_number() OVER (
+        PARTITION BY query_id ORDER BY score DESC, url) <= 20""",
     "top_all": """SELECT *, row_number() OVER (PARTITION BY query_id
         ORDER BY score DESC, url) AS rank FROM bm25_all
         QUALIFY rank <= 20""",
@@ -265,6 +266,7 @@ _NEEDS = {
     "bm25_any": ["shares"],
     "bm25_all": ["shares"],
     "top_any": ["bm25_any"],
+    "cand_any": ["bm25_any"],
     "top_all": ["bm25_all"],
     "raw_words": ["queries"],
 }
@@ -281,7 +283,7 @@ def _sql(needs: str, select: str, extra: str = "") -> str:
     for name in needs.split():
         add(name)
     # scored postings are read several times: compute them once
-    stored = {"postings", "field_tokens", "bm25_any", "bm25_all", "page_docs"}
+    stored = {"postings", "field_tokens", "bm25_any", "bm25_all", "cand_any", "page_docs"}
     parts = [
         f"{name} AS {'MATERIALIZED ' if name in stored else ''}({body})"
         for name, body in _CTES.items()
@@ -292,7 +294,7 @@ def _sql(needs: str, select: str, extra: str = "") -> str:
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + select
 
 
-def _rank_sql(select: str, source: str = "bm25_any", weights: dict | None = None) -> str:
+def _rank_sql(select: str, source: str = "cand_any", weights: dict | None = None) -> str:
     return _sql(f"{source} text_docs raw_words", select, _ranking(source, weights))
 
 

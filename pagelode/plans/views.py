@@ -91,10 +91,9 @@ def text_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, folder: str) -> DataFrame:
-    """First two words of each benchmark text."""
-    words = F.slice(F.split("text", " "), 1, 2)
+    """Each benchmark text, whole."""
     return table(spark, folder, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query")
+        F.col("item_id").alias("query_id"), F.col("text").alias("query")
     )
 
 

@@ -1,12 +1,15 @@
 """Documents as a log of batches in plain Parquet.
 
-Each batch is one ``batch_id=N`` directory. Writing a batch again replaces it, so a
-replay changes nothing, and a batch appears as a whole when its job commits. A
-deletion is a row too. The current documents are a view over the log.
+Each batch is one ``batch_id=N/stream=S`` directory; what is not appended by a stream
+belongs to the stream ``main``. Writing a batch again replaces it, so a replay changes
+nothing, and a batch appears as a whole when its job commits. Writers with different
+stream names never touch each other's batches. A deletion is a row too. The current
+documents are a view over the log.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators.parse import DOCUMENT_FIELDS
@@ -14,19 +17,38 @@ from ..operators.parse import DOCUMENT_FIELDS
 LOG_SCHEMA = (
     "url string, title string, content string, meta_description string, "
     "headings string, content_length int, crawl_time timestamp, depth int, "
-    "deleted boolean, row_id bigint, batch_id bigint"
+    "deleted boolean, row_id bigint, batch_id bigint, stream string"
 )
+MAIN = "main"
 
 
-def _append(rows: DataFrame, log: str, batch_id: int) -> None:
+def _append(rows: DataFrame, log: str, batch_id: int, stream: str = MAIN) -> None:
     rows.withColumn("row_id", F.monotonically_increasing_id()).write.mode(
         "overwrite"
-    ).parquet(f"{log}/batch_id={batch_id}")
+    ).parquet(f"{log}/batch_id={batch_id}/stream={stream}")
 
 
-def append_documents(docs: DataFrame, log: str, batch_id: int) -> None:
+def append_documents(docs: DataFrame, log: str, batch_id: int, stream: str = MAIN) -> None:
     """Add documents as one batch, as they are: copies of a url stay."""
-    _append(docs.select(*DOCUMENT_FIELDS, F.lit(False).alias("deleted")), log, batch_id)
+    rows = docs.select(*DOCUMENT_FIELDS, F.lit(False).alias("deleted"))
+    _append(rows, log, batch_id, stream)
+
+
+def batch_for(spark: SparkSession, log: str, stream: str) -> int:
+    """Batch id for a stream's batch: the one it has, or the next after all others.
+
+    Reads only the log's partition values. A batch that is run again finds the id that
+    its first run took, also after other writers went on or the log was compacted.
+    """
+    try:
+        rows = read_log(spark, log)
+    except AnalysisException:  # no batch yet
+        return 0
+    own = F.max(F.when(F.col("stream") == stream, F.col("batch_id")))
+    found = rows.agg(own.alias("own"), F.max("batch_id").alias("last")).first()
+    if found["own"] is not None:
+        return found["own"]
+    return 0 if found["last"] is None else found["last"] + 1
 
 
 def append_deletions(urls: DataFrame, log: str, batch_id: int) -> None:
@@ -46,10 +68,13 @@ def read_log(spark: SparkSession, log: str) -> DataFrame:
 def latest_documents(log: DataFrame) -> DataFrame:
     """Current documents: the last row of each url, unless it is a deletion.
 
+    Within one batch the latest crawl wins, then the later row.
+
     The rank limit also works before the shuffle, so a url with very many copies
     sends one row per task.
     """
-    last = Window.partitionBy("url").orderBy(F.col("batch_id").desc(), F.col("row_id").desc())
+    newest = ("batch_id", "stream", "crawl_time", "row_id")
+    last = Window.partitionBy("url").orderBy(*[F.col(c).desc_nulls_last() for c in newest])
     return (
         log.withColumn("_n", F.row_number().over(last))
         .filter("_n = 1 AND NOT deleted")

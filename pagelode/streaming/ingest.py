@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators.parse import parse_pages, to_documents
-from ..sources.document_log import append_documents
+from ..sources.document_log import append_documents, batch_for
 from ..sources.pages import page_records
 
 
@@ -18,21 +20,25 @@ def ingest_stream(
     log: str,
     checkpoint: str,
     content: str = "content",
-    first_batch_id: int = 0,
+    name: str | None = None,
     options: dict[str, str] | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Start a query that parses page files and appends them to the log.
 
-    Every micro-batch replaces its own directory of the log, so a batch run again
-    after a failure leaves one copy. Without ``trigger`` it takes all files present
-    and stops.
+    A micro-batch takes the next free batch of the log and keeps it: run again after a
+    failure it replaces its own directory and no other. Streams are told apart by
+    ``name``, by default one made from source and checkpoint, so several sources can
+    feed one log, one after the other or at once. Without ``trigger`` the query takes
+    all files present and stops.
     """
+    name = name or hashlib.md5(f"{source}\n{checkpoint}".encode()).hexdigest()[:12]
     pages = spark.readStream.schema(schema).options(**(options or {})).parquet(source)
 
     def index_batch(batch: DataFrame, batch_id: int) -> None:
         documents = to_documents(parse_pages(page_records(batch, content)))
-        append_documents(documents, log, first_batch_id + batch_id)
+        stream = f"{name}-{batch_id}"
+        append_documents(documents, log, batch_for(batch.sparkSession, log, stream), stream)
 
     return (
         pages.writeStream.foreachBatch(index_batch)

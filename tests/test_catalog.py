@@ -5,10 +5,11 @@ import importlib
 import pytest
 
 import __spark_entry__ as entry_point
+from pagelode.plans.catalog import QUERIES
+from pagelode.plans.oracle import ORACLES
 
 from .check_oracle import compare, connect
 
-QUERIES, ORACLES = entry_point.queries(), entry_point.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -43,5 +44,10 @@ def test_stemmed_terms_equal_stemmed_words(spark, tiny_dir):
     assert got == dict(expected)
 
 
+def test_entry_registers_all(spark):
+    assert set(QUERIES) <= set(entry_point.queries())
+    assert set(ORACLES) <= set(entry_point.oracle_sql()) <= set(entry_point.queries())
+
+
 def test_entry_runs(spark):
     assert importlib.reload(entry_point).entry(spark).columns

@@ -112,7 +112,7 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, tiny_dir, tmp_pat
     def run(checkpoint):
         ingest_stream(
             spark, source, pages.schema, log, str(tmp_path / checkpoint), content="html",
-            options={"maxFilesPerTrigger": "1"},
+            options={"maxFilesPerTrigger": "1"}, name="pages",
         ).awaitTermination()
         return L.latest_documents(L.read_log(spark, log))
 
@@ -128,6 +128,32 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, tiny_dir, tmp_pat
     assert L.read_log(spark, log).count() == pages.count()
 
 
+def test_streams_never_replace_each_other(spark, tmp_path):
+    schema, log = "url string, content string", str(tmp_path / "log")
+
+    def feed(source, url, text, checkpoint):
+        page = spark.createDataFrame([(url, f"<html><body>{text}</body></html>")], schema)
+        page.write.mode("append").parquet(str(tmp_path / source))
+        ingest_stream(
+            spark, str(tmp_path / source), schema, log, str(tmp_path / checkpoint)
+        ).awaitTermination()
+
+    def current():
+        rows = L.latest_documents(L.read_log(spark, log)).collect()
+        return sorted((r.url, r.content) for r in rows)
+
+    feed("one", "http://a/", "old", "cp-1")
+    feed("two", "http://b/", "b", "cp-2")  # its own checkpoint starts at batch 0 again
+    assert current() == [("http://a/", "old"), ("http://b/", "b")]
+    feed("two", "http://a/", "new", "cp-2")
+    assert current() == [("http://a/", "new"), ("http://b/", "b")]
+    out = str(tmp_path / "compact")
+    L.compact_documents(spark, log, out)
+    log = out
+    feed("three", "http://a/", "newest", "cp-3")
+    assert current() == [("http://a/", "newest"), ("http://b/", "b")]
+
+
 def test_staged_table_is_cut_off_from_its_source(spark):
     staged = stage(spark.range(5), "numbers")
     assert "Range" not in staged._jdf.queryExecution().optimizedPlan().toString()
