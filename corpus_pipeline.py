@@ -30,7 +30,9 @@ def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules, without the lines that fail them."""
-    kept = quality_rules(docs).filter("quality.kept")
+    # a row number keeps the filter above the rules, which then run once for each row
+    judged = quality_rules(docs).withColumn("_row", F.monotonically_increasing_id())
+    kept = judged.filter("quality.kept AND _row >= 0")
     return _with_text(kept.withColumn("text", F.col("quality.cleaned")), docs.columns)
 
 
