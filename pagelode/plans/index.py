@@ -3,23 +3,30 @@
 Layout, chosen for reads that touch few terms and few documents:
 
 * ``documents``: directories by hash of the url, sorted by url. Fetching hits
-  prunes directories at run time and row groups by url.
+  prunes directories at run time.
 * ``postings``: directories by field and hash of the term, sorted by term. A
   query reads the directories of its own terms. Rows are rebalanced before they
   are written: adaptive execution splits a directory that holds a very common
   term over several tasks and files.
 * ``term_stats``, ``field_stats``: document frequencies and field lengths.
+
+Every build writes a new version beside the old ones and is published by one row that
+is appended last. A build that fails leaves the published index as it was; readers
+that hold an older version keep its files.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.shards import add_shard
 from ..operators.analyze import Analyzer, build_postings, field_stats, term_stats
 
+
 @dataclass(frozen=True)
 class SearchIndex:
     """Tables of one index; lazy when built, scans when read."""
@@ -46,12 +53,13 @@ def build_index(documents: DataFrame, analyzer: Analyzer = Analyzer()) -> Search
 def write_index(
     documents: DataFrame, path: str, analyzer: Analyzer = Analyzer(), shards: int = 16
 ) -> SearchIndex:
-    """Write the index tables below ``path`` and return them as scans.
+    """Write the index tables as a new version below ``path``; return them as scans.
 
     ``shards`` is the number of hash directories of documents and of each field's
     postings; take more for more data.
     """
-    spark = documents.sparkSession
+    spark, root, version = documents.sparkSession, path, uuid.uuid4().hex
+    path = f"{root}/version-{version}"
     shard = f"shard_{shards}"
     _write_sharded(
         add_shard(documents, "url", shards), [shard], ["url"], f"{path}/documents"
@@ -70,7 +78,26 @@ def write_index(
         F.lit(n_docs).alias("n_docs"), (F.sum("tf") / n_docs).alias("avg_len")
     )
     lengths.write.mode("overwrite").parquet(f"{path}/field_stats")
-    return read_index(spark, path, analyzer)
+    _publish(spark, root, version)
+    return read_index(spark, root, analyzer)
+
+
+def _published(spark: SparkSession, path: str):
+    """Number and name of the newest version, or None."""
+    try:
+        rows = spark.read.schema("number long, version string").parquet(f"{path}/published")
+    except AnalysisException:  # nothing is published yet
+        return None
+    return rows.agg(F.max(F.struct("number", "version")).alias("last")).first()["last"]
+
+
+def _publish(spark: SparkSession, path: str, version: str) -> None:
+    last = _published(spark, path)
+    row = spark.range(1).select(
+        F.lit(last["number"] + 1 if last else 0).cast("long").alias("number"),
+        F.lit(version).alias("version"),
+    )
+    row.write.mode("append").parquet(f"{path}/published")
 
 
 def _write_sharded(
@@ -88,8 +115,12 @@ def _write_sharded(
 def read_index(
     spark: SparkSession, path: str, analyzer: Analyzer = Analyzer()
 ) -> SearchIndex:
+    """The newest published version below ``path``."""
+    last = _published(spark, path)
+    if last is None:
+        raise FileNotFoundError(f"no index is published in {path}")
     tables = [
-        spark.read.parquet(f"{path}/{name}")
+        spark.read.parquet(f"{path}/version-{last['version']}/{name}")
         for name in ("documents", "postings", "term_stats", "field_stats")
     ]
     return SearchIndex(*tables, analyzer)

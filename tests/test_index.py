@@ -257,3 +257,18 @@ def test_salting_keeps_anti_and_left_joins_whole(spark, monkeypatch):
         plain = big.join(small, ["k"], how)
         assert salted.columns == plain.columns
         assert sorted(map(str, salted.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_a_failed_build_leaves_the_published_index(spark, tmp_path):
+    path = str(tmp_path / "index")
+    fields = "title string, content string, meta_description string, headings string, url string"
+    docs = lambda *urls: spark.createDataFrame([("t", "fox", "", "", u) for u in urls], fields)
+    with pytest.raises(FileNotFoundError):
+        read_index(spark, path)
+    write_index(docs("a"), path, PLAIN, shards=2)
+    broken = docs("b").withColumn("title", F.raise_error(F.lit("broken")).cast("string"))
+    with pytest.raises(Exception, match="broken"):
+        write_index(broken, path, PLAIN, shards=2)
+    assert [r.url for r in read_index(spark, path).documents.collect()] == ["a"]
+    write_index(docs("b", "c"), path, PLAIN, shards=2)
+    assert read_index(spark, path).documents.count() == 2
