@@ -47,13 +47,21 @@ class ToxicityRules:
     threshold: float = 0.3
 
 
+def _shorter(word: str) -> list[str]:
+    """The word with each of its letters left out."""
+    return [word[:k] + word[k + 1 :] for k in range(len(word))]
+
+
 class Trie:
     """Lexicon of terms with weights; stems also match longer words."""
 
     def __init__(self, terms: dict[str, float], fuzzy_length: int):
         self.root: dict = {}
         self.fuzzy_length = fuzzy_length
+        self.near: set[str] = set()  # terms, and terms with one letter left out
         for term, weight in terms.items():
+            if len(term) >= fuzzy_length:
+                self.near.update([term, *_shorter(term)])
             node = self.root
             for letter in term:
                 node = node.setdefault(letter, {})
@@ -74,11 +82,14 @@ class Trie:
 
         The automaton has read some letters without an error and follows the trie; at
         every place it may spend its one error on a letter too many, too few or changed,
-        and the rest must then agree.
+        and the rest must then agree. Two words within one edit are equal once a letter
+        of one or both is left out, so most words need no walk.
         """
         best = 0.0
         if len(word) + 1 < self.fuzzy_length:
             return best
+        if word not in self.near and self.near.isdisjoint(_shorter(word)):
+            return best
         node, at = self.root, 0
         while node is not None:
             best = max(best, self._rest(node, word, at + 1))
