@@ -210,3 +210,25 @@ def test_windows_score_each_token_once_and_look_back_only():
         other[-1] = 1 + c[-1] % (M.CLASSES - 1)
         a, b = (M.log_probs(w, M.windows(z)).ravel()[: n - 1] for z in (c, other))
         assert np.allclose(a, b, atol=1e-5)
+
+
+def test_trie_equals_edit_distance():
+    import random
+
+    def within_one(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1] <= 1
+
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abc") for _ in range(r.randint(3, 8)))
+    terms = {word(): float(k + 1) for k in range(60)}
+    trie = Trie(terms, 5)
+    for _ in range(3000):
+        w = word()
+        wanted = max([x for t, x in terms.items() if len(t) >= 5 and within_one(w, t)], default=0.0)
+        assert trie.fuzzy(w) == wanted, w
