@@ -26,10 +26,14 @@ _INSIDE = r"""(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+"""
 _END_OF_NAME = r"(?=[\s/>])"
 
 # Elements that never hold page text.
-BOILERPLATE = "script style nav header footer aside".split()
+BOILERPLATE = [
+    "script", "style", "nav", "header", "footer", "aside",
+]
 
 # Class-name parts that mark a main-content element.
-CONTENT_CLASSES = "content main article body".split()
+CONTENT_CLASSES = [
+    "content", "main", "article", "body",
+]
 
 _SILENT = rf"(?is)<!--.*?-->|<(script|style){_END_OF_NAME}{_INSIDE}>.*?</\1\s*+>"
 _BOILERPLATE = (

@@ -22,10 +22,11 @@ PARSED = (
 )
 
 # Elements without an end tag.
-VOID = set(
-    "area base basefont bgsound br col command embed frame hr image img input "
-    "isindex keygen link menuitem meta nextid param source spacer track wbr".split()
-)
+VOID = {
+    "area", "base", "basefont", "bgsound", "br", "col", "command", "embed", "frame", "hr",
+    "image", "img", "input", "isindex", "keygen", "link", "menuitem", "meta", "nextid",
+    "param", "source", "spacer", "track", "wbr",
+}
 _CONTENT_CLASS = re.compile("|".join(CONTENT_CLASSES), re.I)
 _SPACE = re.compile(r"\s+")
 

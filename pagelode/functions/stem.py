@@ -27,10 +27,10 @@ STEP_3 = {
     "icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic",
     "ful": "", "ness": "",
 }
-STEP_4 = (
-    "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous "
-    "ive ize"
-).split()
+STEP_4 = [
+    "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent",
+    "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize",
+]
 
 _MEASURE = re.compile("v+c+")
 

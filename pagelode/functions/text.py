@@ -30,10 +30,11 @@ WORD = r"\p{L}\p{N}_"
 TOKEN_PATTERN = rf"[{WORD}]++(?:\.[{WORD}]++)*+"
 
 # Default English stop list of the analyzer.
-STOP_WORDS = (
-    "a an and are as at be by can for from have if in is it may not of on or "
-    "tbd that the this to us we when will with yet you your"
-).split()
+STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "can", "for", "from", "have", "if",
+    "in", "is", "it", "may", "not", "of", "on", "or", "tbd", "that", "the", "this",
+    "to", "us", "we", "when", "will", "with", "yet", "you", "your",
+]
 
 # Characters a query keeps besides words and white space.
 QUERY_OPERATORS = "\"'+\\-*()"

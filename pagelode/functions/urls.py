@@ -7,10 +7,10 @@ from pyspark.sql import Column, functions as F
 from .text import let
 
 # Schemes under which a relative reference is resolved.
-RELATIVE_SCHEMES = (
-    "ftp http gopher nntp imap wais file https shttp mms prospero rtsp rtsps "
-    "rtspu sftp svn svn+ssh ws wss"
-).split()
+RELATIVE_SCHEMES = [
+    "ftp", "http", "gopher", "nntp", "imap", "wais", "file", "https", "shttp", "mms",
+    "prospero", "rtsp", "rtsps", "rtspu", "sftp", "svn", "svn+ssh", "ws", "wss",
+]
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 

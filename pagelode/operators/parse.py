@@ -9,6 +9,7 @@ from ..functions.htmltree import read_tree
 from ..functions.text import crawl_timestamp, headings_text
 from ..functions.urls import url_parts
 
+# The stored fields of a document.
 DOCUMENT_FIELDS = [
     "url",
     "title",

@@ -13,8 +13,7 @@ from .match import covers_all_terms, match_terms
 # depend on the order in which partial sums arrive.
 SCORE_DECIMALS = 6
 
-# Largest rank limit that Spark also applies before the shuffle.
-
+# The fields of a hit.
 HIT_FIELDS = [
     "url",
     "title",

@@ -86,5 +86,6 @@ def to_envelope(results: DataFrame, queries: DataFrame) -> DataFrame:
         clean_text("query").alias("query"),
         "results",
         F.when(~blank, F.coalesce(F.size("results"), F.lit(0))).alias("total"),
+        # fixed value: the answer to an empty query
         F.when(blank, F.lit("Query parameter is required")).alias("error"),
     )
