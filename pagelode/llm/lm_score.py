@@ -4,14 +4,15 @@ Words are written as subword ids of a given tokenizer. Three passes over the tex
 
 1. Count words and ids of all training texts. Words give the base score, ids give the
    classes of the attention model and each id's share of its class.
-2. Every task trains the model on windows spread evenly over its part of the training
-   texts; the tasks' weights are averaged by the tokens they saw.
+2. Every task trains the model on all windows of its part of the training texts; the
+   tasks' weights are averaged by the tokens they saw.
 3. Every text is scored whole, in batches of overlapping windows. A word's probability
-   is that of its subword ids, mixed with the word's own share if the word is common.
+   is that of its subword ids, mixed with the word's own share of the training words.
 
-The base score needs the count of each word. Words above a fixed rank travel to the
-tasks as a table of bounded size; all others meet their counts in a shuffle join, as
-one row for each text and word. Nothing that grows with the corpus reaches the driver.
+Both scores need the count of each word. Words above a fixed rank travel to the tasks
+as a table of bounded size; all others meet their counts in a shuffle join, as one row
+for each text and word that carries what the model gave each of its occurrences.
+Nothing that grows with the corpus reaches the driver.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stage
 from .common import text_or_empty
@@ -40,11 +41,10 @@ STEP, BATCH = 64, 1024
 
 @dataclass(frozen=True)
 class LmRules:
-    """Every ``stride``-th window of a training text trains the model."""
+    """Shape of the model's classes and of the mixture."""
 
-    stride: int = 8
     own_classes: int = 96  # ids that are a class of their own
-    word_share: float = 0.5  # of the common words' own shares in a word's probability
+    word_share: float = 0.5  # of the words' own shares in a word's probability
 
 
 class Subwords:
@@ -165,29 +165,27 @@ class Classes:
         self.log_prior = np.log(totals / totals.sum())
 
 
-def _trained(train: DataFrame, coder, shared, start: dict, rules: LmRules) -> dict:
+def _trained(train: DataFrame, coder, shared, start: dict) -> dict:
     """Weights that every task trains on its part, averaged by tokens."""
 
     def run(batches):
         subwords, classes = _subwords(coder), shared.value
         trainer = Trainer({k: w.copy() for k, w in start.items()})
         waiting: list[np.ndarray] = []
-        held = tokens = seen = 0
+        held = tokens = 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 ids, _ = subwords(split_lower(text))
                 x = windows(np.append(classes.of[ids] if ids else [], END).astype(np.int64))
-                picked = x[(np.arange(len(x)) + seen) % rules.stride == 0]
-                seen += len(x)
-                if len(picked):
-                    waiting.append(picked)
-                    held += len(picked)
+                waiting.append(x)
+                held += len(x)
                 if held >= STEP:
                     x = np.concatenate(waiting)
-                    for at in range(0, len(x), STEP):
+                    whole = len(x) - len(x) % STEP  # the rest waits for the next step
+                    for at in range(0, whole, STEP):
                         trainer.step(x[at : at + STEP])
-                    tokens += len(x) * CONTEXT
-                    waiting, held = [], 0
+                    tokens += whole * CONTEXT
+                    waiting, held = [x[whole:]], len(x) - whole
         if held:
             trainer.step(np.concatenate(waiting))
             tokens += held * CONTEXT
@@ -238,7 +236,7 @@ def score_texts(
     size = 1 + max(vocabulary[1].values())
     shared = sc.broadcast(Classes(ids, size, ends, rules))
     start = start_weights(shared.value.log_prior)
-    model = sc.broadcast(_trained(train, coder, shared, start, rules))
+    model = sc.broadcast(_trained(train, coder, shared, start))
 
     sums = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total = (sums["n"] or 0) + ends
@@ -260,19 +258,23 @@ def score_texts(
         for batch in batches:
             rows, waiting, held = [], [], 0
             model_score = np.zeros(batch.num_rows)
+            asked: list[dict[bytes, list[float]]] = [{} for _ in range(batch.num_rows)]
 
             def flush():
                 x = np.concatenate([windows(c) for _, c, *_ in waiting])
                 logs = [log_probs(w, x[at : at + BATCH]) for at in range(0, len(x), BATCH)]
                 logs = np.concatenate(logs).astype(np.float64)
                 row = 0
-                for k, c, shares, starts, seen_often in waiting:
+                for k, c, shares, starts, seen_often, unmet in waiting:
                     below = row + -(-len(c) // CONTEXT)
                     own = logs[row:below].ravel()[: len(c)] + shares
                     row = below
                     by_word = np.add.reduceat(own, starts)  # the end is the last word
                     mixed = np.logaddexp(by_word + log_rest, seen_often + log_share)
+                    mixed[list(unmet)] = 0.0  # mixed below, when they have met their counts
                     model_score[k] = mixed.sum()
+                    for place, word in unmet.items():
+                        asked[k].setdefault(word, []).append(float(by_word[place]))
 
             numbers, all_texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for k, (number, text) in enumerate(zip(numbers, all_texts, strict=True)):
@@ -285,7 +287,8 @@ def score_texts(
                 counts = np.array([*map(known.get, words, repeat(0)), ends], dtype=np.float64)
                 with np.errstate(divide="ignore"):
                     often = np.log(counts / max(1, total))
-                waiting.append((k, c, shares, starts, often))
+                unmet = {place: word for place, word in enumerate(words) if word not in known}
+                waiting.append((k, c, shares, starts, often, unmet))
                 held += -(-len(c) // CONTEXT)
                 if held >= BATCH:
                     flush()
@@ -303,39 +306,37 @@ def score_texts(
                     pa.array([r[2] for r in rows], pa.int64()),
                     pa.array([float(r[3]) for r in rows], pa.float64()),
                     pa.array(model_score / np.log(10), pa.float64()),
+                    pa.array([list(a) for a in asked], pa.list_(pa.binary())),
+                    pa.array([list(a.values()) for a in asked], pa.list_(pa.list_(pa.float64()))),
                 ],
-                names=["doc_id", "key", "n_tokens", "hot_known", "hot", "score"],
-            )
-
-    def rare(batches):
-        known = common.value
-        for batch in batches:
-            keys, names, n = [], [], []
-            for number, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = Counter(x for x in split_lower(text) if x not in known)
-                if found:
-                    keys += [key_of(number, text)] * len(found)
-                    names += found
-                    n += found.values()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(names, pa.binary()), pa.array(n, pa.int64())],
-                names=["key", "word", "k"],
+                names=["doc_id", "key", "n_tokens", "hot_known", "hot", "score", "word", "logs"],
             )
 
     kind = docs.schema[doc_id].dataType.simpleString()
     plain = texts.select("doc_id", "_text")
     scored = stage(
         plain.mapInArrow(
-            score, f"doc_id {kind}, key long, n_tokens long, hot_known long, hot double, score double"
+            score,
+            f"doc_id {kind}, key long, n_tokens long, hot_known long, hot double, score double, "
+            "word array<binary>, logs array<array<double>>",
         ),
         "lm-scores",
     )
-    asked = plain.mapInArrow(rare, "key long, word binary, k long")
-    met = asked.join(words, "word", "left")
-    c = F.coalesce("c", F.lit(0))
+    asked = scored.select("key", F.explode(F.arrays_zip("word", "logs")).alias("a")).select("key", "a.word", "a.logs")
+    met = asked.join(words, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    own = F.when(F.col("c") > 0, F.log(F.col("c") / max(1, total)) + log_share)
+
+    def mixed(log: Column) -> Column:
+        """Log of the sum of both shares; an unknown word has the model's alone."""
+        model_log = log + log_rest
+        both = F.greatest(model_log, own) + F.log1p(F.exp(-F.abs(model_log - own)))
+        return F.coalesce(both, model_log)
+
+    k = F.size("logs").cast("long")
     cold = met.groupBy("key").agg(
-        F.sum(F.col("k") * F.log10(c + 0.5)).alias("cold"),
-        F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("cold_known"),
+        F.sum(k * F.log10(F.col("c") + 0.5)).alias("cold"),
+        F.sum(F.when(F.col("c") > 0, k).otherwise(0)).alias("cold_known"),
+        F.sum(F.aggregate("logs", F.lit(0.0), lambda sum_, log: sum_ + mixed(log))).alias("cold_score"),
     )
     # rows that are repeated asked once each: their sums are divided by their number
     copies = scored.groupBy("key").agg(F.count("*").alias("copies"))
@@ -343,6 +344,7 @@ def score_texts(
         "key",
         (F.col("cold") / F.col("copies")).alias("cold"),
         (F.col("cold_known") / F.col("copies")).cast("long").alias("cold_known"),
+        (F.col("cold_score") / F.col("copies") / float(np.log(10))).alias("cold_score"),
     )
     zero = lambda name, z: F.coalesce(name, F.lit(z))
     return scored.join(cold, "key", "left").select(
@@ -351,5 +353,5 @@ def score_texts(
         (F.col("hot_known") + zero("cold_known", 0)).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("hot") + zero("cold", 0.0) - F.col("n_tokens") * log_total).alias("base_score"),
-        "score",
+        (F.col("score") + zero("cold_score", 0.0)).alias("score"),
     )

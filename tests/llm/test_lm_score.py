@@ -58,3 +58,24 @@ def test_training_makes_texts_likelier(spark, tiny_dir, vocabulary):
     )
     alone = lm_score.LmRules(word_share=1e-9)
     assert total(alone, held) > 0.9 * total(alone, F.lit(True))
+
+
+def test_rare_words_enter_the_score_with_their_counts(spark, vocabulary, monkeypatch):
+    rows = [(i, f"the zebra{i % 3} met a {'long' * 20} word twice{i} twice{i}") for i in range(9)] + [(1, None), (20, "unseen zebra1")]
+    docs = spark.createDataFrame(rows + rows[:1], "doc_id long, text string")
+    total = {}
+    for common, size in ((50_000, 1000), (50_000, 48), (2, 48), (0, 48)):
+        monkeypatch.setattr(lm_score, "COMMON_WORDS", common)
+        monkeypatch.setattr(lm_score, "COMMON_BYTES", size)
+        got = lm_score.score_texts(docs, F.col("doc_id") == 20, vocabulary).collect()
+        total[common, size] = sorted((r.doc_id, r.n_known, round(r.score, 6)) for r in got)
+    assert len({str(x) for x in total.values()}) == 1
+
+
+def test_every_window_trains(spark, vocabulary):
+    def scores(third):
+        texts = ["one two three"] * 2 + [third] + ["one two three"] * 5 + ["blue red", "red blue"]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        return sorted((r.doc_id, r.score) for r in lm_score.score_texts(docs, F.col("doc_id") >= 8, vocabulary).collect())[8:]
+
+    assert scores("red blue green") != scores("green blue red")  # equal counts
