@@ -1,17 +1,21 @@
 """Personal data: patterns first, then terms that give a protected entity away.
 
 The patterns find e-mail addresses, IP addresses, card numbers and telephone numbers.
-Each distinct value is a protected entity. Words near its mentions may reveal it even
-when the value itself is gone: co-occurrence over the corpus says how much. A term
-discloses an entity by the share of the entity's information that it carries,
+Each distinct value is a protected entity. Other words of its documents may reveal it
+even when the value itself is gone: co-occurrence over the corpus says how much. A term
+discloses an entity by the share of the entity's information that it carries for sure,
 
-    PMI(entity, term) / IC(entity) = log(n_et * N / (n_e * n_t)) / log(N / n_e)
+    (PMI(entity, term) - z / sqrt(n_et)) / IC(entity),
+    PMI(entity, term) = log(n_et * N / (n_e * n_t)), IC(entity) = log(N / n_e)
 
-with documents counted over the whole corpus. Terms at or above the threshold are
-marked near the entity's mentions and generalised in the sanitised text.
+where z / sqrt(n_et) is the error of a logarithm of so few meetings. All four counts are
+of whole documents over the whole corpus, copies folded into one. Terms at or above the
+threshold are marked wherever they stand in a document that holds the entity, and
+generalised in the sanitised text.
 
-Built-in column functions only. Documents are scanned once for patterns and once for
-term counts; what moves are mentions and counts, never a group of texts.
+Built-in column functions only. Entities that stand in the same documents have the same
+counts, and so have such terms: pairs are formed of those classes, so many entities and
+many words of one document do not meet one by one.
 """
 
 from __future__ import annotations
@@ -43,9 +47,10 @@ TERM = r"\p{L}[\p{L}\p{M}'-]+"
 class Disclosure:
     """Limits of the method."""
 
-    reach: int = 64  # characters on either side of a mention
-    min_contexts: int = 3  # distinct surroundings in which term and entity meet
+    reach: int = 64  # characters on either side of a mention that tell copies of a passage
+    min_contexts: int = 1  # documents, copies folded, in which term and entity meet
     threshold: float = 0.8  # share of the entity's information
+    z: float = 0.84  # one-sided normal quantile of the PMI's lower bound (80 %)
 
 
 def _valid(kind: str, hit: Column) -> Column:
@@ -71,8 +76,11 @@ def _tagged(first: Column, name: str):
     )
 
 
-def _located(hits: Column, gaps: Column) -> Column:
-    """Matches as (start, end, value): lengths of gaps and matches add up to places."""
+def _located(hits: Column, gaps: Column, wanted=None) -> Column:
+    """Matches as (start, end, value): lengths of gaps and matches add up to places.
+
+    ``wanted`` tells of a match whether it is listed.
+    """
     first = F.struct(
         F.lit(0).alias("at"),
         F.array().cast("array<struct<start:int,end:int,value:string>>").alias("found"),
@@ -83,7 +91,10 @@ def _located(hits: Column, gaps: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
         span = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(span)).alias("found"))
+        more = F.concat(acc["found"], F.array(span))
+        if wanted is not None:
+            more = F.when(wanted(x["hit"]), more).otherwise(acc["found"])
+        return F.struct(end.alias("at"), more.alias("found"))
 
     return F.aggregate(both, first, step)["found"]
 
@@ -120,93 +131,61 @@ def pattern_spans(df: DataFrame, text: str) -> DataFrame:
     return df.withColumns(located).drop(*hits, *spans)
 
 
-def _context_terms(mentions: DataFrame) -> DataFrame:
-    """Rows (key, entity, surroundings, term, start, end) of the words near mentions."""
-    sides = mentions.withColumn(
-        "side",
-        F.explode(
-            F.array(
-                F.struct(F.col("left_at").alias("at"), F.col("left").alias("s")),
-                F.struct(F.col("end").alias("at"), F.col("right").alias("s")),
-            )
-        ),
-    ).withColumn("_hits", F.regexp_extract_all(F.col("side.s"), F.lit(TERM), F.lit(0)))
-    placed = sides.withColumn(
-        "t", F.explode(_located(F.col("_hits"), F.split(F.col("side.s"), TERM, -1)))
-    )
-    return placed.select(
-        "key",
-        "entity",
-        "surroundings",
-        F.lower("t.value").alias("term"),
-        (F.col("side.at") + F.col("t.start")).alias("start"),
-        (F.col("side.at") + F.col("t.end")).alias("end"),
-    )
+def _terms(text: str) -> Column:
+    """Words of a text in lower case, in order."""
+    return F.transform(F.regexp_extract_all(F.col(text), F.lit(TERM), F.lit(0)), F.lower)
 
 
-def _mentions(found: DataFrame, reach: int) -> DataFrame:
-    """One row per valid span with the text on both sides, broken words cut off."""
-    tagged = F.concat(
-        *[
-            F.transform(f"_{k}", _tagged(F.lit(k), "kind"))
-            for k in KINDS
-        ]
+def _unit(reach: int) -> Column:
+    """What copies share: the surroundings of all mentions, or the text without any."""
+    around = F.expr(
+        f"transform(spans, s -> xxhash64(substring(_text, greatest(s.start - {reach}, 0) + 1,"
+        f" s.end - greatest(s.start - {reach}, 0) + {reach})))"
     )
-    rows = found.select("key", "_text", F.explode(tagged).alias("m")).select(
-        "key",
-        F.concat_ws(":", "m.kind", F.lower("m.value")).alias("entity"),
-        F.col("m.end").alias("end"),
-        F.greatest(F.col("m.start") - reach, F.lit(0)).alias("from"),
-        F.expr(f"substring(_text, greatest(m.start - {reach}, 0) + 1, least(m.start, {reach}))").alias("l"),
-        F.expr(f"substring(_text, m.end + 1, {reach})").alias("r"),
-    )
-    # a word that the reach cuts in two counts neither left nor right
-    left = F.when(F.col("from") > 0, F.regexp_replace("l", r"^[^\x20\x09-\x0D]*", "")).otherwise(F.col("l"))
-    right = F.when(F.length("r") == reach, F.regexp_replace("r", r"[^\x20\x09-\x0D]*$", "")).otherwise(F.col("r"))
-    return rows.select(
-        "key",
-        "entity",
-        "end",
-        left.alias("left"),
-        right.alias("right"),
-        (F.col("from") + F.length("l") - F.length(left)).alias("left_at"),
-        F.xxhash64("l", "r").alias("surroundings"),
+    return F.when(F.size("spans") > 0, F.xxhash64(F.array_sort(F.array_distinct(around)))).otherwise(
+        F.xxhash64("_text")
     )
 
 
-def disclosing_terms(terms: DataFrame, texts: DataFrame, limits: Disclosure) -> DataFrame:
-    """Pairs (entity, term) at or above the threshold.
+def _classes(rows: DataFrame, name: str, label: str) -> DataFrame:
+    """Rows (``name``, n, class) of distinct rows (unit, ``name``).
 
-    ``terms`` holds the words near mentions, ``texts`` one column ``_text`` of all
-    documents. Copies of a passage are one surrounding, so copying reveals nothing.
+    Names that stand in the same units have one class; n counts the units.
     """
-    pairs = (
-        terms.groupBy("entity", "term")
-        .agg(
-            F.count_distinct("surroundings").alias("contexts"),
-            F.count_distinct("key").alias("n_et"),
-        )
-        .filter(F.col("contexts") >= limits.min_contexts)
+    counted = rows.groupBy(name).agg(
+        F.count("*").alias("n"), F.bit_xor("unit").alias("x"), F.bit_xor(F.xxhash64("unit", F.lit(1))).alias("y")
     )
-    entities = terms.groupBy("entity").agg(F.count_distinct("key").alias("n_e"))
-    vocabulary = (
-        texts.select(
-            F.explode(
-                F.array_distinct(
-                    F.regexp_extract_all(F.lower("_text"), F.lit(TERM), F.lit(0))
-                )
-            ).alias("term")
-        )
-        .groupBy("term")
-        .agg(F.count("*").alias("n_t"))
-    )
-    total = texts.agg(F.count("*").alias("n"))  # one row
-    counted = pairs.join(entities, "entity").join(vocabulary, "term")
-    counted = counted.join(F.broadcast(total))
+    return counted.select(name, F.col("n").alias(f"n_{label}"), F.xxhash64("n", "x", "y").alias(f"{label}_class"))
+
+
+def disclosing_terms(
+    entities: DataFrame, own_terms: DataFrame, unit_terms: DataFrame, total: DataFrame, limits: Disclosure
+) -> DataFrame:
+    """Rows (unit, term): terms that disclose an entity of the unit.
+
+    Inputs are distinct: ``entities`` (unit, entity), ``own_terms`` (unit, term) of units
+    with an entity, ``unit_terms`` of all. A unit is a document with its copies; ``total``
+    has their number n.
+    """
+    by_entity = _classes(entities, "entity", "e")
+    unit_entities = entities.join(by_entity, "entity").select("unit", "e_class", "n_e").distinct()
+    # n_et <= n_e bounds the share: terms in more units than this disclose nothing
+    most = unit_entities.groupBy("unit").agg(F.max("n_e").alias("most"))
+    by_term = _classes(unit_terms, "term", "t")
+    may = F.log("n_t") <= (1 - limits.threshold) * F.log("n") + limits.threshold * F.log("most") + 1e-9
+    near = (
+        own_terms.join(most, "unit").join(by_term, "term").join(F.broadcast(total)).filter(may)
+        .select("unit", "term", "t_class", "n_t", "n")
+    )
+    near = stage(near, "pii-near")
+    pairs = near.select("unit", "t_class", "n_t", "n").distinct().join(unit_entities, "unit")
+    counted = pairs.groupBy("e_class", "t_class", "n_e", "n_t", "n").agg(F.count("*").alias("n_et"))
     pmi = F.log(F.col("n_et") * F.col("n") / (F.col("n_e") * F.col("n_t")))
     information = F.log(F.col("n") / F.col("n_e"))
-    share = F.when(F.col("n_e") < F.col("n"), pmi / information)
-    return counted.filter(share >= limits.threshold).select("entity", "term")
+    share = F.when(F.col("n_e") < F.col("n"), (pmi - limits.z / F.sqrt("n_et")) / information)
+    good = counted.filter((F.col("n_et") >= limits.min_contexts) & (share >= limits.threshold))
+    told = pairs.join(good.select("e_class", "t_class"), ["e_class", "t_class"]).select("unit", "t_class").distinct()
+    return near.join(told, ["unit", "t_class"]).select("unit", "term")
 
 
 def find_pii(
@@ -227,30 +206,33 @@ def find_pii(
         F.concat_ws("\x01", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), text_or_empty(text))
     )
     texts = docs.select(identity.alias("key"), text_or_empty(text).alias("_text"))
-    found = pattern_spans(texts, "_text").filter(
-        " or ".join(f"size(_{k}) > 0" for k in KINDS)
-    )
     spans = F.concat(
         *[
             F.transform(f"_{k}", _tagged(F.lit(i), "rank"))
             for i, k in enumerate(KINDS)
         ]
     )
-    # Only documents with a hit, each once; their text is read again nowhere below.
-    staged = stage(found.withColumn("spans", spans).dropDuplicates(["key"]), "pii-found")
-    terms = stage(_context_terms(_mentions(staged, limits.reach)), "pii-terms")
-    pairs = disclosing_terms(terms, texts.select("_text"), limits)
+    scanned = pattern_spans(texts, "_text").withColumn("spans", spans).withColumn("unit", _unit(limits.reach))
+    scanned = scanned.select("key", "_text", "spans", "unit")
+    # Only documents with a hit, each once
+    staged = stage(scanned.filter("size(spans) > 0").dropDuplicates(["key"]), "pii-found")
+    entity = lambda s: F.concat_ws(":", s["rank"], F.lower(s["value"]))
+    entities = staged.select("unit", F.explode(F.transform("spans", entity)).alias("entity")).distinct()
+    worded = lambda df: df.select("unit", F.explode(F.array_distinct(_terms("_text"))).alias("term")).distinct()
+    own_terms, unit_terms = worded(staged), worded(scanned)
+    total = scanned.agg(F.count_distinct("unit").alias("n"))  # one row
+    told = disclosing_terms(entities, own_terms, unit_terms, total, limits).groupBy("unit").agg(F.collect_set("term").alias("told"))
+    hits = F.regexp_extract_all(F.col("_text"), F.lit(TERM), F.lit(0))
+    chosen = lambda hit: F.array_contains("told", F.lower(hit))
     marked = (
-        terms.join(pairs, ["entity", "term"])
-        .groupBy("key")
-        .agg(F.collect_set(F.struct("start", "end", F.col("term").alias("value"))).alias("terms"))
+        staged.join(told, "unit")
+        .withColumn("terms", _located(hits, F.split("_text", TERM, -1), chosen))
+        .select("key", "terms")
     )
     overlaps = lambda t, s: (t["start"] < s["end"]) & (s["start"] < t["end"])
     extra = F.transform(
-        F.filter(
-            F.sort_array("terms"), lambda t: ~F.exists("spans", lambda s: overlaps(t, s))
-        ),
-        _tagged(F.lit(len(KINDS)), "rank"),
+        F.filter("terms", lambda t: ~F.exists("spans", lambda s: overlaps(t, s))),
+        lambda t: _tagged(F.lit(len(KINDS)), "rank")(t).withField("value", F.lower(t["value"])),
     )
     whole = (
         staged.select("key", "spans")

@@ -84,3 +84,21 @@ def test_no_python_on_the_main_path(named):
 def test_threshold_is_a_parameter(named):
     strict = find_pii(named, limits=Disclosure(min_contexts=5))
     assert all("term" not in str(s) for s in spans(strict).values())
+
+
+def test_single_mention_discloses_in_the_whole_document(spark):
+    far = "some plain words of no weight " * 12
+    texts = [f"Zorblat sold it. {far} Write to zq@x.org now. {far} So said ZORBLAT again."]
+    texts += [f"some plain words of no weight sold it now, write to so said again {i}" for i in range(120)]
+    found = find_pii(frame(spark, texts))
+    (row,) = [r for r in found.collect() if r.doc_id == 0]
+    assert [s.value for s in row.pii if s.kind == "term"] == ["zorblat", "zorblat"]
+    clean = {r.doc_id: r.text for r in sanitise(found).collect()}
+    assert "zorblat" not in clean[0].lower() and clean[0].count("[TERM]") == 2
+    assert clean[5] == texts[5]
+
+
+def test_all_entities_of_a_document_meet_its_terms_as_one_class(spark):
+    texts = [" ".join(f"m{i}@x.org Name{chr(97 + i)}" for i in range(26))] + [f"plain text {i}" for i in range(120)]
+    (row,) = [r for r in find_pii(frame(spark, texts)).collect() if r.doc_id == 0]
+    assert sum(s.kind == "term" for s in row.pii) == sum(s.kind == "email" for s in row.pii) == 26
