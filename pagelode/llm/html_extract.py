@@ -5,7 +5,10 @@ it. Length and punctuation are added up per path and divided by its blocks, link
 counts against the path, and the two ratios are fused into one score. Scores are
 smoothed with the scores of the containers above, so a heading or a one-word paragraph beside
 long ones stands with them. Paths at or above a share of the best one are content.
-Elements that by name, class, id or role are no article text never enter.
+Elements that by name, class, id or role are no article text never enter; the page, its
+body, main and article elements are never left out by a class, id or role. A name that
+only has such a word as a part lowers the score of what it holds. Text inside and
+outside of article elements is scored alike; headings right before content go with it.
 
 Each page is read alone inside a map, so nothing is shuffled and pages of any length,
 host or number of copies cost what their length costs.
@@ -34,7 +37,7 @@ BLOCKS = [
     "td", "tfoot", "th", "thead", "tr", "ul",
 ]
 NOT_TEXT = ["aside", "button", "dialog", "footer", "form", "head", "input", "menu", "nav", "object", "search", "select", "option"]
-#: Parts of class, id and role names that mark notices, menus and the like.
+#: Whole words of class, id and role that mark notices, menus and the like.
 NOT_TEXT_NAMES = [
     "ad", "ads", "adbox", "adslot", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb",
     "breadcrumbs", "comment", "comments", "commentlist", "consent", "contentinfo", "cookie", "cookies", "discussion",
@@ -62,6 +65,8 @@ _MARKUP = re.compile(
 )
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+#: Elements that hold the story: their class, id or role tells nothing against it.
+_KEPT = frozenset(["html", "body", "main", "article"])
 _PART = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
 _PUNCTUATION = re.compile(r"[.,;:!?。，；：！？…]")
 
@@ -72,15 +77,16 @@ class PathRules:
 
     smooth: float = 0.7  # what is left of a container's score one level below it
     threshold: float = 0.2  # share of the best path's smoothed score
+    suspect: float = 0.15  # what is left of a score below a name with a part from NOT_TEXT_NAMES
     link_share: float = 0.6  # paths with more of their text in links are no content
 
 
 @dataclass
 class Block:
     path: int
-    article: bool
     text: str
     links: int
+    heading: str = ""  # h1 to h6
 
 
 def _excluded(name: str, attributes: str, inside_article: bool) -> bool:
@@ -88,31 +94,41 @@ def _excluded(name: str, attributes: str, inside_article: bool) -> bool:
         return True
     if not attributes:
         return False
-    if _HIDDEN.search(attributes):
+    if _HIDDEN.search(_NAMED.sub("", attributes) if name in _KEPT else attributes):
         return True
+    if name in _KEPT:
+        return False
     for kind, *values in _NAMED.findall(attributes):
         for word in "".join(values).split():
-            parts = [p.lower() for p in _PART.findall(word)]
-            if any(p in _NAMES for p in parts):
+            if word.lower() in _NAMES:
                 return True
             if word.lower() in ("header", "site-header", "page-header") and not inside_article:
                 return True
     return False
 
 
+def _suspect(name: str, attributes: str) -> bool:
+    """Whether a class, id or role has a part that marks notices, menus and the like."""
+    if not attributes or name in _KEPT:
+        return False
+    words = (word for _, *values in _NAMED.findall(attributes) for word in values)
+    return any(part.lower() in _NAMES for word in words for part in _PART.findall(word))
+
+
 class Paths:
     """Tag paths as numbers: each is its container's number and one more label."""
 
     def __init__(self):
-        self.numbers, self.above, self.top = {}, [-1], [True]
+        self.numbers, self.above, self.top, self.suspect = {}, [-1], [True], [False]
 
-    def below(self, container: int, label: str) -> int:
-        key = (container, label)
+    def below(self, container: int, label: str, suspect: bool = False) -> int:
+        key = (container, label, suspect)
         found = self.numbers.get(key)
         if found is None:
             found = self.numbers[key] = len(self.above)
             self.above.append(container)
             self.top.append(label.split(".")[0] in ("html", "body"))
+            self.suspect.append(suspect or self.suspect[container])
         return found
 
     def containers(self, path: int):
@@ -139,7 +155,9 @@ def read_blocks(page: str) -> tuple[list[Block], Paths]:
         nonlocal linked
         text = " ".join(html.unescape("".join(pieces)).split())
         if text:
-            blocks.append(Block(at_path[-1] if at_path else 0, articles > 0, text, min(linked, len(text))))
+            heading = next((n for n in reversed(open_names) if n in _BLOCKS), "")
+            heading = heading if heading in HEADINGS else ""
+            blocks.append(Block(at_path[-1] if at_path else 0, text, min(linked, len(text)), heading))
         pieces.clear()
         linked = 0
 
@@ -212,7 +230,7 @@ def read_blocks(page: str) -> tuple[list[Block], Paths]:
         if name in _BLOCKS:
             named = _NAMED.search(attributes) if attributes else None
             label = f"{name}.{''.join(filter(None, named.groups()[1:]))}" if named else name
-            path = paths.below(path, label)
+            path = paths.below(path, label, _suspect(name, attributes))
         at_path.append(path)
     finish()
     close(0)
@@ -221,8 +239,6 @@ def read_blocks(page: str) -> tuple[list[Block], Paths]:
 
 def choose(blocks: list[Block], paths: Paths, rules: PathRules) -> list[str]:
     """Texts of the blocks on content paths."""
-    if any(b.article for b in blocks):
-        blocks = [b for b in blocks if b.article]
     own = defaultdict(lambda: [0, 0, 0, 0])
     for b in blocks:
         figures = (len(b.text), len(_PUNCTUATION.findall(b.text)), b.links, 1)
@@ -241,14 +257,21 @@ def choose(blocks: list[Block], paths: Paths, rules: PathRules) -> list[str]:
         for up in paths.containers(path):
             weight *= rules.smooth
             score = max(score, weight * fused(*inside[up]))
-        scores[path] = score
+        scores[path] = score * rules.suspect if paths.suspect[path] else score
     best = max(scores.values(), default=0)
     good = {
         p
         for p, score in scores.items()
         if score >= rules.threshold * best and own[p][2] <= rules.link_share * own[p][0]
     }
-    return [b.text for b in blocks if b.path in good]
+    kept = [b.path in good for b in blocks]
+    first = next((k for k, x in enumerate(kept) if x), 0)
+    titles = [k for k in range(first) if blocks[k].heading == "h1" and not paths.suspect[blocks[k].path]]
+    if titles and not any(blocks[k].heading == "h1" and kept[k] for k in range(len(blocks))):
+        kept[titles[-1]] = True  # the headline, whatever stands between
+    for k in range(len(blocks) - 2, -1, -1):
+        kept[k] = kept[k] or bool(blocks[k].heading and kept[k + 1] and not paths.suspect[blocks[k].path])
+    return [b.text for b, x in zip(blocks, kept, strict=True) if x]
 
 
 def main_text(page: str | None, rules: PathRules = PathRules()) -> str:

@@ -96,6 +96,25 @@ def test_main_text():
     assert main_text(page) == "Head & more\n\nSome bold text, long enough.\n\nSecond line.\n\none\n\ntwo"
 
 
+STORY = "A long story, told in full. " * 20
+
+
+@pytest.mark.parametrize("page", [
+    f'<body class="no-sidebar"><p>{STORY}</p></body>', f'<article class="post has-comments"><p>{STORY}</p></article>',
+    f'<main id="search-history"><p>{STORY}</p></main>', f'<div class="share-price-report"><p>{STORY}</p></div>',
+    f'<div class="story"><p>{STORY}</p></div><article><p>Teaser, short.</p></article>',
+    f'<div><p>{STORY}</p></div><div class="left-sidebar"><p>{"Words beside it. " * 20}</p></div>',
+])
+def test_stories_stay_whole(page):
+    assert main_text(page) == STORY.strip()
+
+
+@pytest.mark.parametrize("between", ["", "<p>By A. B.</p>"])
+def test_headline_before_the_article(between):
+    got = main_text(f"<body><h1>The headline</h1>{between}<article><p>{STORY}</p></article></body>")
+    assert got.startswith("The headline\n\n") and got.endswith(STORY.strip())
+
+
 @pytest.mark.parametrize("page", ["", None, "<", "<p", "<!-- x", "<div>" * 5000 + "x", "<p>a" * 5000, '<a "' * 5000, "&#0;&#99999999;"])
 def test_odd_pages(page):
     assert isinstance(main_text(page), str)
