@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..operators.joins import join_small
 from ..session import stage
-from .common import SPACE, let, text_or_empty
+from .common import sha256, text_or_empty
 
 _WORD = re.compile(r"[^\W\d_]+")
 _QUOTES = frozenset("\"'“”„«»‘’‹›")
@@ -184,19 +184,12 @@ def _training(docs, labels, doc_id, text, fold):
 
 
 def _different(rows: DataFrame) -> DataFrame:
-    """``rows`` without near copies: two smallest hashes of word triples tell them.
+    """``rows`` with each text once for each label.
 
-    Counted once each, copies of one text cannot make all its words telling.
+    Counted once each, copies of one text cannot make all its words telling; texts that
+    differ anywhere all count.
     """
-    triples = lambda w: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))),
-        lambda i: F.xxhash64(*[F.get(w, i + k - 1) for k in range(3)]),
-    )
-    least = lambda w: let(
-        triples(w), lambda h: F.concat_ws(":", F.array_min(h), F.array_min(F.transform(h, lambda x: F.xxhash64(x))))
-    )
-    marked = rows.withColumn("_mark", let(F.split("_text", SPACE), least))
-    return marked.dropDuplicates(["_mark", "toxic"]).select("_id", "_text", "toxic")
+    return rows.withColumn("_mark", sha256("_text")).dropDuplicates(["_mark", "toxic"]).select("_id", "_text", "toxic")
 
 
 def _lexicon(rows: DataFrame, sizes: dict, rules: ToxicityRules) -> dict[str, float]:

@@ -13,6 +13,7 @@ from pagelode.llm.oracle import ORACLES
 from pagelode.llm.quality_model import score_quality
 from pagelode.llm.quality_rules import quality_rules
 from pagelode.llm.queries import QUERIES
+from pagelode.llm import toxicity
 from pagelode.llm.toxicity import Trie, score_toxicity
 from pagelode.llm.url_filters import filter_urls, validity_intervals
 
@@ -176,6 +177,13 @@ def test_toxicity_learns_and_bears_odd_rows(spark):
     assert len(none) == len(got) and all(r.predicted == 0 for r in none)
 
 
+def test_only_equal_texts_are_one_training_row(spark):
+    shared = "a passage that many texts share word for word and that is half of each of them"
+    texts = [f"{shared} {' '.join(f'w{i}x{k}' for k in range(16))}" for i in range(60)]
+    rows = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts + texts[:7])], "_id long, _text string, toxic int")
+    assert toxicity._different(rows).count() == 60
+
+
 def test_held_out_toxicity(spark):
     d = "/root/testdata/sf0.01"
     got = QUERIES["op4_toxicity"](spark, d)
