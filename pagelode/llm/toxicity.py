@@ -4,7 +4,9 @@ Training counts, over all labelled rows of the training folds, in how many toxic
 other documents each beginning of a word stands. Beginnings that are telling become
 the lexicon: whole words, and stems that stand for all words that begin with them. It
 is kept as a trie. A word of a text is looked up in the trie while a Levenshtein
-automaton of the word runs along, so terms within one edit are found too.
+automaton of the word runs along, so words that begin with a term but for one edit are
+found too. What such a form weighs is learned: one that stands in other documents as
+often as in toxic ones is no misspelling.
 
 Every hit is weighed by its context window: the log-odds of the words beside hits in
 toxic and in other documents tell abuse from quotation. A logistic model of hit
@@ -39,29 +41,22 @@ class ToxicityRules:
     min_stem: int = 3
     min_documents: int = 5  # toxic documents that a term must stand in
     min_odds: float = 2.0  # log-odds of a term
-    lexicon: int = 5_000  # best terms kept
-    fuzzy_length: int = 5  # shorter terms match only as they are
+    lexicon: int = 5_000  # best terms kept, none the beginning of another
+    fuzzy_length: int = 3  # shorter terms match only as they are; no term is shorter
     window: int = 4  # words on either side
     context_words: int = 5_000
     sample: int = 40_000  # labelled rows that the last model is fitted on
     threshold: float = 0.3
 
 
-def _shorter(word: str) -> list[str]:
-    """The word with each of its letters left out."""
-    return [word[:k] + word[k + 1 :] for k in range(len(word))]
-
-
 class Trie:
     """Lexicon of terms with weights; stems also match longer words."""
 
-    def __init__(self, terms: dict[str, float], fuzzy_length: int):
+    def __init__(self, terms: dict[str, float], fuzzy_length: int, learned: dict[str, float] | None = None):
         self.root: dict = {}
         self.fuzzy_length = fuzzy_length
-        self.near: set[str] = set()  # terms, and terms with one letter left out
+        self.learned = learned or {}  # weights of misspelled forms
         for term, weight in terms.items():
-            if len(term) >= fuzzy_length:
-                self.near.update([term, *_shorter(term)])
             node = self.root
             for letter in term:
                 node = node.setdefault(letter, {})
@@ -78,45 +73,47 @@ class Trie:
         return best
 
     def fuzzy(self, word: str) -> float:
-        """Best weight of a term that is the whole word with one letter wrong.
+        """Best weight of a term that is the whole word with one letter wrong."""
+        return self.forms(word).get(word, 0.0)
+
+    def misspelled(self, word: str) -> float:
+        """Best weight of a form of the word, a learned one where there is one."""
+        return max((self.learned.get(form, weight) for form, weight in self.forms(word).items()), default=0.0)
+
+    def forms(self, word: str) -> dict[str, float]:
+        """Beginnings of the word within one edit of a term, with the best such term's weight.
 
         The automaton has read some letters without an error and follows the trie; at
         every place it may spend its one error on a letter too many, too few or changed,
-        and the rest must then agree. Two words within one edit are equal once a letter
-        of one or both is left out, so most words need no walk.
+        and must then agree up to a term's end. What follows there is a longer form.
         """
-        best = 0.0
-        if len(word) + 1 < self.fuzzy_length:
-            return best
-        if word not in self.near and self.near.isdisjoint(_shorter(word)):
-            return best
+        found: dict[str, float] = {}
         node, at = self.root, 0
         while node is not None:
-            best = max(best, self._rest(node, word, at + 1))
+            self._ends(node, word, at + 1, found)
             for letter, below in node.items():
                 if letter:
-                    best = max(best, self._rest(below, word, at), self._rest(below, word, at + 1))
+                    self._ends(below, word, at, found)
+                    self._ends(below, word, at + 1, found)
             node = node.get(word[at]) if at < len(word) else None
             at += 1
-        return best
+        return found
 
-    def _rest(self, node: dict, word: str, at: int) -> float:
-        """Weight of the term that ends where the word does, read from ``at`` on."""
-        if at > len(word):
-            return 0.0
-        for letter in word[at:]:
-            node = node.get(letter)
-            if node is None:
-                return 0.0
-        weight, length = node.get("", (0.0, 0))
-        return weight if length >= self.fuzzy_length else 0.0
+    def _ends(self, node: dict, word: str, at: int, found: dict[str, float]) -> None:
+        """Add the terms that end on the way, read from ``at`` on."""
+        while node is not None and at <= len(word):
+            weight, length = node.get("", (0.0, 0))
+            if length and length >= self.fuzzy_length:
+                found[word[:at]] = max(weight, found.get(word[:at], 0.0))
+            node = node.get(word[at]) if at < len(word) else None
+            at += 1
 
 
 class Scorer:
     """Hit figures of texts; looked-up words are kept between texts."""
 
-    def __init__(self, lexicon: dict, context: dict, rules: ToxicityRules):
-        self.trie = Trie(lexicon, rules.fuzzy_length)
+    def __init__(self, lexicon: dict, learned: dict, context: dict, rules: ToxicityRules):
+        self.trie = Trie(lexicon, rules.fuzzy_length, learned)
         self.context, self.rules, self.known = context, rules, {}
 
     def lookup(self, word: str) -> tuple[float, int]:
@@ -125,7 +122,7 @@ class Scorer:
         if found is None:
             weight, length = self.trie.exact(word)
             kind = 1 if length else 0
-            if not length and (near := self.trie.fuzzy(word)):
+            if not length and (near := self.trie.misspelled(word)):
                 weight, kind = near, 2
             if len(self.known) >= KEPT_WORDS:
                 self.known.clear()
@@ -214,11 +211,13 @@ def _lexicon(rows: DataFrame, sizes: dict, rules: ToxicityRules) -> dict[str, fl
         counted.filter(F.col("p") >= rules.min_documents).withColumn("odds", odds)
         .filter((F.col("odds") >= rules.min_odds) & (F.length("term") >= rules.min_stem))
         .withColumn("worth", F.round(F.col("odds") * F.sqrt("p"), 6))
-        .orderBy(F.col("worth").desc(), F.length("term").desc(), "term").limit(rules.lexicon)
+        .select("term", "odds", "worth")
     )
     chosen: dict[str, float] = {}
     inside: set[str] = set()  # beginnings of chosen terms
-    for r in best.collect():
+    for r in stage(best, "toxic-terms").orderBy(F.col("worth").desc(), F.length("term").desc(), "term").toLocalIterator():
+        if len(chosen) >= rules.lexicon:
+            break
         term = r["term"]
         above = any(term[:k] in chosen for k in range(rules.min_stem, len(term)))
         if not above and term not in inside:
@@ -227,12 +226,61 @@ def _lexicon(rows: DataFrame, sizes: dict, rules: ToxicityRules) -> dict[str, fl
     return chosen
 
 
-def _context(rows: DataFrame, lexicon: dict, sizes: dict, rules: ToxicityRules) -> dict[str, float]:
-    """Log-odds of words beside hits, toxic documents against others."""
+def _misspelled(rows: DataFrame, lexicon: dict, sizes: dict, rules: ToxicityRules) -> dict[str, float]:
+    """Weights of the misspelled forms seen in training; 0 for what is no telling form.
+
+    A form starts at its term's log-odds, worth one document, and its own documents move
+    it: a form that stands in other documents, too, sinks below the limit for terms. The
+    lexicon's neighbourhood bounds the forms.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches):
-        scorer = Scorer(shared.value, {}, rules)
+        trie, known = Trie(shared.value, rules.fuzzy_length), {}
+
+        def forms(word: str) -> dict[str, float]:
+            found = known.get(word)
+            if found is None:
+                if len(known) >= KEPT_WORDS:
+                    known.clear()
+                found = known[word] = {} if trie.exact(word)[1] else trie.forms(word)
+            return found
+
+        for batch in batches:
+            counts: dict = {}
+            for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                met: dict[str, float] = {}
+                for word in set(_WORD.findall(text.lower())):
+                    met.update(forms(word))
+                for form, weight in met.items():
+                    n = counts.setdefault(form, [0, 0, weight])
+                    n[toxic] += 1
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(list(counts), pa.string()),
+                    pa.array([n[1] for n in counts.values()], pa.int64()),
+                    pa.array([n[0] for n in counts.values()], pa.int64()),
+                    pa.array([n[2] for n in counts.values()], pa.float64()),
+                ],
+                names=["form", "p", "q", "weight"],
+            )
+
+    counted = rows.select("_text", "toxic").mapInArrow(run, "form string, p long, q long, weight double")
+    counted = counted.groupBy("form").agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.max("weight").alias("weight"))
+    learned = {}
+    one = 1 / (sizes[0] + sizes[1])
+    for r in counted.collect():
+        odds = math.log((r["p"] / sizes[1] + one * math.exp(r["weight"])) / (r["q"] / sizes[0] + one))
+        learned[r["form"]] = min(odds, r["weight"]) if odds >= rules.min_odds else 0.0
+    return learned
+
+
+def _context(rows: DataFrame, lexicon: dict, learned: dict, rules: ToxicityRules) -> dict[str, float]:
+    """Log-odds of words beside hits, toxic documents against others."""
+    shared = rows.sparkSession.sparkContext.broadcast((lexicon, learned))
+
+    def run(batches):
+        scorer = Scorer(*shared.value, {}, rules)
         for batch in batches:
             counts: dict = {}
             for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -291,8 +339,9 @@ def score_toxicity(
     sizes = {0: 0, 1: 0} | {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if sizes[0] and sizes[1]:
         lexicon = _lexicon(rows, sizes, rules)
-        context = _context(rows, lexicon, sizes, rules)
-        model = sc.broadcast((lexicon, context))
+        learned = _misspelled(rows, lexicon, sizes, rules)
+        context = _context(rows, lexicon, learned, rules)
+        model = sc.broadcast((lexicon, learned, context))
         sample = rows.orderBy(F.xxhash64("_id"), "_id").limit(rules.sample).select("_text", "toxic")
 
         def features(batches):
@@ -306,7 +355,7 @@ def score_toxicity(
         found = sample.mapInArrow(features, "x array<double>, toxic int").collect()
         weights = _fit(np.array([r["x"] for r in found]), np.array([r["toxic"] for r in found], float))
     else:
-        model = sc.broadcast(({}, {}))
+        model = sc.broadcast(({}, {}, {}))
         share = sizes[1] / max(1, sizes[0] + sizes[1])
         bias = 30.0 if share == 1 else -30.0
         weights = np.array([0.0] * FEATURES + [bias])

@@ -164,6 +164,25 @@ def test_trie_finds_one_wrong_letter():
     assert trie.exact("stupidly") == (3.0, 6)
 
 
+def test_short_terms_and_stems_are_found_misspelled(spark):
+    trie = Trie({"stupid": 3.0, "scum": 2.5}, toxicity.ToxicityRules().fuzzy_length, {"scam": 0.0})
+    assert all(trie.misspelled(w) == 3.0 for w in ["stuppidly", "stupd", "stupdness"])
+    assert all(trie.misspelled(w) == 2.5 for w in ["scvm", "skum", "skumbag"])
+    assert trie.misspelled("scams") == trie.misspelled("table") == 0.0
+    texts = [(f"you scum n{i}", 1) for i in range(20)] + [(f"a scam of m{i}", 0) for i in range(20)] + [("skum", 1)]
+    rows = spark.createDataFrame(texts, "_text string, toxic int")
+    learned = toxicity._misspelled(rows, {"scum": 3.5}, {0: 20, 1: 21}, toxicity.ToxicityRules())
+    assert learned["scam"] == 0.0 and learned["skum"] >= 2.0
+
+
+def test_beginnings_use_up_no_places(spark):
+    words = ["abominable", "detestable", "miserable"]
+    texts = [(f"{' '.join(words)} n{i}", 1) for i in range(20)] + [(f"fine m{i}", 0) for i in range(60)]
+    rows = spark.createDataFrame(texts, "_text string, toxic int")
+    found = toxicity._lexicon(rows, {0: 60, 1: 20}, toxicity.ToxicityRules(lexicon=3))
+    assert sorted(found) == words
+
+
 def test_toxicity_learns_and_bears_odd_rows(spark):
     toxic = [(i, f"you are a vile{'xyz'[i % 3]} person number n{i} of m{i * 7}", 1) for i in range(30)]
     clean = [(100 + i, f"you are a good person number n{i} of m{i * 5}", 0) for i in range(90)]
