@@ -29,6 +29,17 @@ def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(column, F.lit(""))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name`` with underscores added until no column of ``taken`` has it.
+
+    Spark resolves names without regard to case.
+    """
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """``body`` of ``value``, computed once for each row.
 

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import bpe
+from .byte_bpe import byte_bpe_round_trip
 from .decontaminate import decontaminate
 from .html_extract import extract_text
 from .lm_score import read_ranks, score_texts
@@ -150,3 +151,16 @@ def op2_lm_score(spark, folder):
     held_out = fold("doc_id", 5) == 1
     scored = score_texts(docs, held_out, read_ranks(path, public_tokenizers.PATTERN))
     return scored.withColumn("held_out", held_out)
+
+
+@query
+def op12_byte_bpe(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = byte_bpe_round_trip(docs, path, public_tokenizers.PATTERN, packed=True)
+    return coded.select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
+        sha256("ids").alias("ids_sha256"),
+        sha256("decoded").alias("decoded_sha256"),
+    )
