@@ -16,6 +16,7 @@ from .quality_rules import quality_rules
 from .quality_model import score_quality
 from .toxicity import score_toxicity
 from .url_filters import filter_urls, host_of
+from .whitening import fit_whitening, whiten
 from .common import fold, sha256, table, text_or_empty
 
 QUERIES: dict = {}
@@ -153,6 +154,18 @@ def op2_lm_score(spark, folder):
     return scored.withColumn("held_out", held_out)
 
 
+@query
+def op11_whitening(spark, folder):
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    found = whiten(vectors, fit_whitening(vectors))
+    whole = ["n", "deviation", "identity_error"]
+    return found.select(
+        "vec_id",
+        *[F.col(f"whitening.{f}") for f in whole],
+        F.inline("whitening.components"),
+    )
+
+
 @query
 def op12_byte_bpe(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
