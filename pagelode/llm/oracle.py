@@ -134,3 +134,42 @@ SELECT page.page_id, url, coalesce(list <> 'block', true) AS kept, list, kind, p
 FROM page LEFT JOIN best USING (page_id)
 """
 )
+
+oracle("op13_phrases")(
+    r"""
+WITH piece AS (
+  SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\x0A-\x0D]')) AS p
+    FROM documents)
+), total AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM piece GROUP BY lang
+), counted AS (
+  SELECT lang, m, g, count(*) AS f FROM (
+    SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS g
+    FROM piece, (VALUES (1), (2), (3)) AS size(m), unnest(range(1, len(w) - m + 2)) AS t(i))
+  GROUP BY lang, m, g
+), candidate AS (
+  SELECT lang, m, g, f AS a, string_split(g, ' ') AS w FROM counted WHERE m > 1 AND f >= 10
+), cut AS (
+  SELECT c.lang, c.m, c.g, c.a, k, x.f AS l, y.f AS r,
+    CAST((CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM candidate c, (VALUES (1), (2)) AS cuts(k), counted x, counted y
+  WHERE k < c.m AND x.lang = c.lang AND x.g = array_to_string(c.w[1:k], ' ')
+    AND y.lang = c.lang AND y.g = array_to_string(c.w[k + 1:], ' ')
+), scored AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+), inner_phrase AS (
+  SELECT lang, array_to_string(w[i:i + 1], ' ') AS g, max(a) AS most
+  FROM candidate, (VALUES (1), (2)) AS place(i) WHERE m = 3 GROUP BY ALL
+), best AS (
+  SELECT s.lang, s.g, s.a, s.l, s.r, s.score,
+    row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.g) AS rank
+  FROM scored s LEFT JOIN inner_phrase i ON s.lang = i.lang AND s.g = i.g
+  WHERE NOT coalesce(100 * most >= 50 * s.a, false)
+)
+SELECT lang, rank, g AS phrase, a, l, r, n, score FROM best JOIN total USING (lang)
+WHERE rank <= 2000
+"""
+)

@@ -11,6 +11,7 @@ from .decontaminate import decontaminate
 from .html_extract import extract_text
 from .lm_score import read_ranks, score_texts
 from .ngram_join import ngram_components
+from .phrases import mine_phrases
 from .pii import KINDS, find_pii
 from .quality_rules import quality_rules
 from .quality_model import score_quality
@@ -177,3 +178,8 @@ def op12_byte_bpe(spark, folder):
         sha256("ids").alias("ids_sha256"),
         sha256("decoded").alias("decoded_sha256"),
     )
+
+
+@query
+def op13_phrases(spark, folder):
+    return mine_phrases(table(spark, folder, "documents").select("lang", "text"))
