@@ -152,14 +152,17 @@ WITH piece AS (
   GROUP BY lang, m, g
 ), candidate AS (
   SELECT lang, m, g, f AS a, string_split(g, ' ') AS w FROM counted WHERE m > 1 AND f >= 10
+), known AS (
+  SELECT concat(lang, chr(9), g) AS key, f FROM counted WHERE f >= 10
 ), cut AS (
-  SELECT c.lang, c.m, c.g, c.a, k, x.f AS l, y.f AS r,
-    CAST((CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
-  FROM candidate c, (VALUES (1), (2)) AS cuts(k), counted x, counted y
-  WHERE k < c.m AND x.lang = c.lang AND x.g = array_to_string(c.w[1:k], ' ')
-    AND y.lang = c.lang AND y.g = array_to_string(c.w[k + 1:], ' ')
+  SELECT lang, m, g, a, k, concat(lang, chr(9), array_to_string(w[1:k], ' ')) AS first_key,
+    concat(lang, chr(9), array_to_string(w[k + 1:], ' ')) AS rest_key
+  FROM candidate, (VALUES (1), (2)) AS cuts(k) WHERE k < m
 ), scored AS (
-  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+  SELECT lang, m, g, a, x.f AS l, y.f AS r,
+    CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cut JOIN known x ON x.key = first_key JOIN known y ON y.key = rest_key
+  QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
 ), inner_phrase AS (
   SELECT lang, array_to_string(w[i:i + 1], ' ') AS g, max(a) AS most
   FROM candidate, (VALUES (1), (2)) AS place(i) WHERE m = 3 GROUP BY ALL
