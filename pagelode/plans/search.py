@@ -34,7 +34,7 @@ def search(
     )
     hits = top_k(scored, 2 * limit)
     found = stage(
-        project_hits(index.documents, hits, queries=queries, per_query=2 * limit),
+        project_hits(index.hits, hits, queries=queries, per_query=2 * limit),
         "candidates",
     )
     if not enable_ranking:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..operators.analyze import Analyzer
 from ..operators.parse import parse_pages, to_documents
-from ..sources.document_log import append_documents, batch_for
+from ..plans.index import is_published, newest_per_url, update_index, write_index
+from ..sources.document_log import all_documents, append_documents, batch_for, read_log
 from ..sources.pages import page_records
 
 
@@ -23,6 +25,9 @@ def ingest_stream(
     name: str | None = None,
     options: dict[str, str] | None = None,
     trigger: dict | None = None,
+    index: str | None = None,
+    analyzer: Analyzer = Analyzer(),
+    shards: int = 16,
 ) -> StreamingQuery:
     """Start a query that parses page files and appends them to the log.
 
@@ -31,6 +36,10 @@ def ingest_stream(
     ``name``, by default one made from source and checkpoint, so several sources can
     feed one log, one after the other or at once. Without ``trigger`` the query takes
     all files present and stops.
+
+    With ``index``, a path, each micro-batch also updates the search index there, which
+    the first one writes; only one stream may do so. A batch that is run again finds its
+    name published and leaves the index alone.
     """
     name = name or hashlib.md5(f"{source}\n{checkpoint}".encode()).hexdigest()[:12]
     pages = spark.readStream.schema(schema).options(**(options or {})).parquet(source)
@@ -38,7 +47,16 @@ def ingest_stream(
     def index_batch(batch: DataFrame, batch_id: int) -> None:
         documents = to_documents(parse_pages(page_records(batch, content)))
         stream = f"{name}-{batch_id}"
-        append_documents(documents, log, batch_for(batch.sparkSession, log, stream), stream)
+        session = batch.sparkSession
+        number = batch_for(session, log, stream)
+        append_documents(documents, log, number, stream)
+        if index is None:
+            return
+        written = all_documents(read_log(session, log).filter(F.col("stream") == stream))
+        if is_published(session, index):
+            update_index(session, index, written, analyzer=analyzer, batch=stream)
+        else:
+            write_index(newest_per_url(written), index, analyzer, shards, batch=stream)
 
     return (
         pages.writeStream.foreachBatch(index_batch)
