@@ -112,6 +112,17 @@ def term_stats(postings: DataFrame) -> DataFrame:
     return postings.groupBy("field", "term").agg(F.count("*").alias("df"))
 
 
+def stem_counts(analyzed: DataFrame) -> DataFrame:
+    """How often each stem occurs: (field, stem, n) from unstemmed (field, terms).
+
+    Words are counted first, so only the distinct vocabulary is stemmed.
+    """
+    words = analyzed.select("field", F.explode("terms").alias("term"))
+    counted = words.groupBy("field", "term").agg(F.count("*").alias("n"))
+    stemmed = counted.withColumn("stem", F.get(stem_tokens(F.array("term")), F.lit(0)))
+    return stemmed.groupBy("field", "stem").agg(F.sum("n").alias("n"))
+
+
 def field_terms(postings: DataFrame, field: str) -> DataFrame:
     """Terms of one field with their document frequency."""
     return term_stats(postings.filter(F.col("field") == field)).select("term", "df")

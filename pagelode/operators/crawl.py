@@ -53,20 +53,17 @@ def robots_filter(urls: DataFrame, rules: DataFrame) -> DataFrame:
         F.col("url"), F.length(origin("url")) + 1, F.length("url")
     )
     rooted = F.when(path == "", "/").otherwise(path)
-    located = urls.select(
-        "url", origin("url").alias("origin"), _unquote(rooted).alias("_path")
+    located = urls.withColumns({"_origin": origin("url"), "_path": _unquote(rooted)})
+    # one row per host: its rules in order, as its robots file lists them
+    rule = F.struct("rule_order", "path_prefix", "allow")
+    hosts = rules.groupBy(F.col("origin").alias("_origin")).agg(
+        F.sort_array(F.collect_list(rule)).alias("_rules")
     )
-    known = rules.select("origin", "rule_order", "path_prefix", "allow")
-    matched = join_small(located, known, ["origin"], spread=["url"]).filter(
-        F.startswith("_path", "path_prefix")
-    )
-    # copies of a url meet in the map-side part of the aggregation
-    first = matched.groupBy("url").agg(
-        F.min_by(
-            F.col("allow") | (F.col("path_prefix") == ""), F.col("rule_order")
-        ).alias("allow")
-    )
-    return urls.join(first.filter(~F.col("allow")), "url", "left_anti")
+    judged = join_small(located, hosts, ["_origin"], how="left", spread=["url"])
+    fitting = F.filter("_rules", lambda r: F.startswith(F.col("_path"), r["path_prefix"]))
+    first = F.get(fitting, F.lit(0))
+    allowed = F.coalesce(first["allow"] | (first["path_prefix"] == ""), F.lit(True))
+    return judged.filter(allowed).select(*urls.columns)
 
 
 def link_edges(pages: DataFrame, visited: DataFrame) -> DataFrame:

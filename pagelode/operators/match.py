@@ -9,19 +9,18 @@ over many tasks.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.shards import align_shards
 from ..functions.text import clean_query
+from ..session import stage
 from .analyze import TEXT_FIELDS, Analyzer
 from .joins import join_small
 
 TERM_KEY = ["field", "term"]
-_MASK_BITS = 62
-_FEW_PREFIXES = 16
+MASK_BITS = 62
+#: The last code point: not a character, so no term has it.
+_AFTER_ALL = "\U0010ffff"
 
 
 def with_clean_query(queries: DataFrame) -> DataFrame:
@@ -88,9 +87,9 @@ def covers_all_terms(query_terms: DataFrame) -> tuple[list, object]:
     map-side combining; the number of mask words follows the longest query.
     """
     longest = query_terms.agg(F.max("n_terms")).first()[0] or 1
-    words = (longest + _MASK_BITS - 1) // _MASK_BITS
-    bit = F.expr(f"shiftleft(1L, term_no % {_MASK_BITS})")
-    word = F.expr(f"term_no div {_MASK_BITS}")
+    words = (longest + MASK_BITS - 1) // MASK_BITS
+    bit = F.expr(f"shiftleft(1L, term_no % {MASK_BITS})")
+    word = F.expr(f"term_no div {MASK_BITS}")
     masks = [
         F.bit_or(F.when(word == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"_m{w}")
         for w in range(words)
@@ -118,29 +117,59 @@ def match_exclude(matched: DataFrame, excluded: DataFrame) -> DataFrame:
     )
 
 
-def match_phrase(postings: DataFrame, phrases: DataFrame) -> DataFrame:
+def match_phrase(
+    postings: DataFrame, phrases: DataFrame, term_stats: DataFrame
+) -> DataFrame:
     """Places where all words of a phrase follow each other in one field.
 
     ``phrases``: (query_id, n_terms, field, term_no, term), term_no from 0, words
     may repeat. Result: (query_id, url, field, start).
+
+    The rarest word of a phrase names the candidate documents and the starts they
+    allow; a phrase with a word that ``term_stats`` lacks has none. Every other word is
+    looked up in those documents alone, and its positions are intersected with the
+    starts inside the row. Positions of common words are never laid out as rows.
     """
-    matched = match_terms(postings, phrases)
-    placed = matched.select(
-        "query_id",
-        "n_terms",
-        "url",
-        "field",
-        F.explode(
-            F.transform("positions", lambda p: p - F.col("term_no"))
-        ).alias("start"),
+    known = join_small(
+        phrases, term_stats, TERM_KEY, spread=["query_id", "term_no"], bound=phrases
+    )
+    word = F.struct("term_no", "term")
+    whole = (
+        known.groupBy("query_id", "field", "n_terms")
+        .agg(F.min(F.struct("df", "term_no", "term")).alias("rare"), F.collect_list(word).alias("words"))
+        .filter("size(words) = n_terms")
     )
-    # a word of the phrase gives at most one row per start, so rows count words
-    return (
-        placed.groupBy("query_id", "n_terms", "url", "field", "start")
-        .agg(F.count("*").alias("n"))
-        .filter("n = n_terms")
-        .select("query_id", "url", "field", "start")
+    first = whole.select("query_id", "field", "n_terms", "rare.term", "rare.term_no", "words")
+    shifted = F.transform("positions", lambda p: p - F.col("term_no"))
+    candidates = match_terms(postings, first, bound=phrases).select(
+        "query_id", "field", "n_terms", "url", "words",
+        F.col("term_no").alias("rare_no"),
+        F.filter(shifted, lambda p: p >= 0).alias("starts"),
+    )
+    # the probe and both uses below read them: written once
+    candidates = stage(candidates, "phrase-candidates")
+    wanted = candidates.select(
+        "query_id", "field", "n_terms", "url", "starts",
+        F.inline(F.expr("filter(words, w -> w.term_no <> rare_no)")),
+    )
+    wanted, shard = align_shards(postings, wanted, "term")
+    others = join_small(postings, wanted, [*TERM_KEY, "url", *shard])
+    hits = (
+        others.select(
+            "query_id", "field", "n_terms", "url",
+            F.array_intersect("starts", shifted).alias("starts"),
+        )
+        .filter("size(starts) > 0")
+        .groupBy("query_id", "field", "n_terms", "url")
+        .agg(F.collect_list("starts").alias("all"))
+        .filter("size(all) = n_terms - 1")
+    )
+    common = F.expr("aggregate(all, all[0], (a, b) -> array_intersect(a, b))")
+    several = hits.select("query_id", "url", "field", F.explode(common).alias("start"))
+    single = candidates.filter("n_terms = 1").select(
+        "query_id", "url", "field", F.explode("starts").alias("start")
     )
+    return several.unionByName(single)
 
 
 def phrase_terms(
@@ -165,26 +194,39 @@ def expand_prefixes(terms: DataFrame, prefixes: DataFrame) -> DataFrame:
 
     An equi-join on the leading characters: each term offers its first n
     characters for every prefix length in use, so terms and prefixes are never
-    compared pairwise. Few prefixes also become a filter that the scan can use.
+    compared pairwise. The prefixes' range is a filter that a vocabulary sorted by
+    term can use.
     """
     prefixes = prefixes.filter(F.length("prefix") > 0)
-    lengths = [r[0] for r in prefixes.select(F.length("prefix")).distinct().collect()]
-    few = prefixes.select("prefix").distinct().limit(_FEW_PREFIXES + 1).collect()
-    if 0 < len(few) <= _FEW_PREFIXES:
-        terms = terms.filter(
-            reduce(or_, [F.startswith(F.col("term"), F.lit(r[0])) for r in few])
-        )
-    sizes = F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>")
+    found = prefixes.agg(
+        F.min("prefix").alias("low"),
+        F.max(F.concat("prefix", F.lit(_AFTER_ALL))).alias("high"),
+        F.collect_set(F.length("prefix")).alias("lengths"),
+    ).first()
+    if found["lengths"]:
+        terms = terms.filter(F.col("term").between(found["low"], found["high"]))
+    sizes = F.array(*[F.lit(n) for n in sorted(found["lengths"])]).cast("array<int>")
     offered = F.transform(
         F.filter(sizes, lambda n: n <= F.length("term")),
         lambda n: F.substring(F.col("term"), F.lit(1), n),
     )
     heads = terms.withColumn("prefix", F.explode(offered))
-    spread = ["url"] if "url" in terms.columns else ["term"]
-    return join_small(heads, prefixes, ["prefix"], spread=spread)
+    return join_small(heads, prefixes, ["prefix"], spread=["term"])
 
 
-def match_prefix(postings: DataFrame, prefixes: DataFrame, field: str) -> DataFrame:
-    """Documents with a term of ``field`` that starts with the prefix."""
-    terms = postings.filter(F.col("field") == field).select("term", "url")
-    return match_any(expand_prefixes(terms, prefixes))
+def match_prefix(
+    postings: DataFrame, prefixes: DataFrame, field: str, term_stats: DataFrame
+) -> DataFrame:
+    """Documents with a term of ``field`` that starts with the prefix: (query_id, url).
+
+    Prefixes are looked up in the vocabulary, each distinct one once; the postings see
+    one join on field and term, so only the directories of found terms are read.
+    """
+    vocabulary = term_stats.filter(F.col("field") == field).select("field", "term")
+    found = expand_prefixes(vocabulary, prefixes.select("prefix").distinct())
+    terms, shard = align_shards(postings, found, "term")
+    in_field = postings.filter(F.col("field") == field)
+    matched = join_small(in_field, terms, [*TERM_KEY, *shard], spread=["url"])
+    per_prefix = matched.select("prefix", "url").distinct()
+    asked = prefixes.select("query_id", "prefix")
+    return match_any(join_small(per_prefix, asked, ["prefix"], spread=["url"]))

@@ -12,15 +12,20 @@ from .score import top_k
 
 
 def suggest(
-    documents: DataFrame, postings: DataFrame, prefixes: DataFrame, limit: int = 5
+    documents: DataFrame,
+    postings: DataFrame,
+    term_stats: DataFrame,
+    prefixes: DataFrame,
+    limit: int = 5,
 ) -> DataFrame:
     """Up to ``limit`` title words per prefix: (query_id, word, rank).
 
     The first ``2 * limit`` documents (by url) with a title term of that prefix
     offer the words of their titles that start with the prefix and are longer.
+    ``documents`` needs url and title alone: a ``hit_store`` will do.
     """
     prefixes = prefixes.withColumn("prefix", F.lower("prefix"))
-    found = match_prefix(postings, prefixes, "title")
+    found = match_prefix(postings, prefixes, "title", term_stats)
     first = top_k(found, 2 * limit, [F.col("url")]).drop("rank")
     first, shard = align_shards(documents, first, "url")
     titled = join_small(

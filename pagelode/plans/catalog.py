@@ -16,6 +16,7 @@ from ..sources import document_log as L
 from ..sources.pages import page_records, seeds_from_text
 from ..streaming.ingest import ingest_stream
 from . import views
+from .index import update_index, write_index
 from .search import search as run_search
 from .views import AS_OF, PLAIN
 
@@ -56,7 +57,7 @@ def _candidates(spark, folder):
     """The candidates that a search for any term ranks: twice the limit per query."""
     hits = B.top_k(_bm25(spark, folder, require_all=False), 2 * LIMIT)
     found = B.project_hits(
-        views.text_index(spark, folder).documents, hits,
+        views.text_index(spark, folder).hits, hits,
         queries=views.queries(spark, folder), per_query=2 * LIMIT,
     )
     return stage(found.select("query_id", "score", *B.HIT_FIELDS), "candidates")
@@ -231,11 +232,8 @@ def tokenize(spark, folder):
 
 @query
 def stem_terms(spark, folder):
-    docs = A.analyze_fields(
-        views.text_documents(spark, folder), A.Analyzer(), ["title", "content"]
-    )
-    terms = docs.select("field", F.explode("terms").alias("stem"))
-    return terms.groupBy("field", "stem").agg(F.count("*").alias("n"))
+    docs = A.analyze_fields(views.text_documents(spark, folder), PLAIN, ["title", "content"])
+    return A.stem_counts(docs)
 
 
 @query
@@ -333,13 +331,15 @@ def match_exclude(spark, folder):
 @query
 def match_phrase(spark, folder):
     phrases = M.phrase_terms(views.queries(spark, folder), PLAIN)
-    return M.match_phrase(_postings(spark, folder), phrases)
+    index = views.text_index(spark, folder)
+    return M.match_phrase(index.postings, phrases, index.term_stats)
 
 
 @query
 def match_prefix(spark, folder):
-    index = _postings(spark, folder, ["content"])
-    return M.match_prefix(index, views.prefixes(spark, folder), "content")
+    index = views.text_index(spark, folder)
+    asked = views.prefixes(spark, folder)
+    return M.match_prefix(index.postings, asked, "content", index.term_stats)
 
 
 @query
@@ -347,6 +347,13 @@ def bm25_score(spark, folder):
     return _bm25(spark, folder)
 
 
+@query
+def scored_matches(spark, folder):
+    index = views.text_index(spark, folder)
+    asked = views.clauses(spark, folder)
+    return B.scored_matches(index.postings, asked, index.term_stats, index.field_stats, PLAIN)
+
+
 @query
 def search_topk(spark, folder):
     return B.top_k(_bm25(spark, folder, require_all=False), 10)
@@ -355,8 +362,8 @@ def search_topk(spark, folder):
 @query
 def hit_projection(spark, folder):
     hits = B.top_k(_bm25(spark, folder, require_all=False), 10)
-    docs = views.text_index(spark, folder).documents
-    found = B.project_hits(docs, hits, views.queries(spark, folder), 10)
+    store = views.text_index(spark, folder).hits
+    found = B.project_hits(store, hits, views.queries(spark, folder), 10)
     return found.withColumn("crawl_time", _seconds()).withColumnRenamed(
         "crawl_time", "crawl_seconds"
     )
@@ -365,7 +372,8 @@ def hit_projection(spark, folder):
 @query
 def suggest(spark, folder):
     index = views.text_index(spark, folder)
-    return G.suggest(index.documents, index.postings, views.prefixes(spark, folder), 5)
+    asked = views.prefixes(spark, folder)
+    return G.suggest(index.hits, index.postings, index.term_stats, asked, 5)
 
 
 @query
@@ -388,6 +396,28 @@ def search(spark, folder):
     return _with_parts(run_search(index, views.queries(spark, folder), AS_OF, 10))
 
 
+def _updated_index(spark, folder):
+    """An index of its own: written, then updated, then some urls removed."""
+    path = scratch_path(spark, "updated-index")
+    write_index(views.text_documents(spark, folder), path, PLAIN)
+    update_index(spark, path, views.updates(spark, folder), analyzer=PLAIN, batch="new")
+    gone = views.removed_urls(spark, folder)
+    return update_index(spark, path, deletes=gone, analyzer=PLAIN, batch="gone")
+
+
+@query
+def search_updated(spark, folder):
+    index = _updated_index(spark, folder)
+    return _with_parts(run_search(index, views.queries(spark, folder), AS_OF, 10))
+
+
+@query
+def updated_term_stats(spark, folder):
+    index = _updated_index(spark, folder)
+    lengths = index.field_stats.select("field", "n_docs", _six(F.col("avg_len"), "avg_len"))
+    return index.term_stats.join(lengths, "field")
+
+
 # --- ranking ---------------------------------------------------------------------
 
 

@@ -493,3 +493,54 @@ ORACLES = {
 ORACLES["stream_ingest"] = f"""SELECT url, title, content, length(content) AS content_length,
     0 AS depth, 0 AS crawl_seconds FROM (SELECT url, {_title('html')} AS title,
     {_body('html')} AS content FROM pages)"""
+
+
+def _updated(sql: str) -> str:
+    """The same query over the documents after an update and a removal."""
+    old = "text_docs AS ("
+    updates = _CTES["updates"].replace("text_docs", "old_docs")
+    body = _CTES["text_docs"]
+    merged = """SELECT * FROM (SELECT * FROM old_docs WHERE url NOT IN (SELECT url FROM updates)
+        UNION ALL SELECT * FROM updates) WHERE NOT contains(url, '/de/')"""
+    return sql.replace(
+        f"{old}{body})",
+        f"old_docs AS ({body}),\nupdates AS ({updates}),\n{old}{merged})",
+    )
+
+
+# words of the queries in clauses: see views.clauses
+ORACLES["scored_matches"] = _sql(
+    "postings tokens term_df field_len query_words",
+    """SELECT query_id, url, round(score + 1, 6) AS score FROM (
+        SELECT query_id, url, sum(share) AS score FROM scored GROUP BY query_id, url
+        HAVING bool_or(must)) SEMI JOIN headed USING (query_id, url)
+        ANTI JOIN unwanted USING (query_id, url)""",
+    """worded AS (SELECT query_id, coalesce(words[1], '') AS a, substr(words[2], 1, 4) AS b,
+          words[3] AS c, words[4] AS d, words[len(words)] AS e FROM query_words),
+        share AS (SELECT p.field, p.term, url, (ln(n_docs / (df + 1)) + 1) * tf * 2.2
+          / (tf + 1.2 * (0.25 + 0.75 * p.field_len / avg_len)) AS share
+          FROM postings p JOIN term_df d ON p.field = d.field AND p.term = d.term
+          JOIN field_len f ON f.field = p.field),
+        paired AS (SELECT DISTINCT query_id, x.field, x.url, c, d FROM worded
+          JOIN tokens x ON x.term = c JOIN tokens y ON y.term = d AND y.field = x.field
+            AND y.url = x.url AND y.pos = x.pos + 1),
+        scored AS (
+          SELECT query_id, url, share, true AS must FROM worded JOIN share ON term = a
+          UNION ALL SELECT query_id, p.url, share, false FROM paired p JOIN share s
+            ON s.term = c AND s.field = p.field AND s.url = p.url
+          UNION ALL SELECT query_id, p.url, share, false FROM paired p JOIN share s
+            ON s.term = d AND s.field = p.field AND s.url = p.url),
+        headed AS (SELECT DISTINCT query_id, url FROM worded
+          JOIN (SELECT DISTINCT term FROM term_df) t ON starts_with(t.term, b) AND b <> ''
+          JOIN postings p ON p.term = t.term),
+        unwanted AS (SELECT DISTINCT query_id, url FROM worded JOIN postings ON term = e)""",
+)
+
+ORACLES["search_updated"] = _updated(ORACLES["search"])
+ORACLES["updated_term_stats"] = _updated(
+    _sql(
+        "term_df field_len",
+        """SELECT d.field, term, df, n_docs, round(avg_len, 6) AS avg_len
+        FROM term_df d JOIN field_len f ON d.field = f.field""",
+    )
+)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.text import clean_text
+from ..functions.text import clean_query, clean_text
 from ..functions.urls import origin
 from ..operators.analyze import Analyzer
 from ..operators.parse import parse_pages, to_documents
@@ -97,6 +97,29 @@ def queries(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def clauses(spark: SparkSession, folder: str) -> DataFrame:
+    """A query of clauses from the words of each benchmark text: the first must occur,
+    a word that begins like the second too; the next two should stand side by side; the
+    last must not occur."""
+    words = PLAIN.tokens(clean_query("query"))
+    found = queries(spark, folder).select("query_id", words.alias("w"))
+
+    def clause(number, occur, kind, text):
+        return F.struct(
+            F.lit(number).alias("clause_no"), F.lit(occur).alias("occur"),
+            F.lit(kind).alias("kind"), text.alias("text"),
+        )
+
+    word = lambda i: F.coalesce(F.get("w", F.lit(i)), F.lit(""))
+    rows = F.array(
+        clause(0, "must", "term", word(0)),
+        clause(1, "must", "prefix", F.substring(word(1), 1, 4)),
+        clause(2, "should", "phrase", F.concat_ws(" ", word(2), word(3))),
+        clause(3, "must_not", "term", F.coalesce(F.try_element_at("w", F.lit(-1)), F.lit(""))),
+    )
+    return found.select("query_id", F.inline(rows))
+
+
 def prefixes(spark: SparkSession, folder: str) -> DataFrame:
     """First three letters of each benchmark text."""
     return table(spark, folder, "benchmark").select(

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagelode.operators import joins
-from pagelode.operators.analyze import Analyzer, build_postings, tokenize
+from pagelode.operators.analyze import Analyzer, build_postings, term_stats, tokenize
 from pagelode.operators.match import (
     analyze_queries,
     match_all,
@@ -20,7 +20,7 @@ from pagelode.operators.match import (
     match_terms,
     phrase_terms,
 )
-from pagelode.operators.score import bm25, project_hits, top_k
+from pagelode.operators.score import bm25, hit_store, project_hits, scored_matches, top_k
 from pagelode.operators.suggest import popular_terms, suggest
 from pagelode.plans.index import build_index, read_index, write_index
 from pagelode.plans.search import search
@@ -126,7 +126,7 @@ def test_single_field(spark, postings):
 
 def test_phrases(spark, postings):
     phrases = phrase_terms(ask(spark, '"red fox"', '"fox red"', "quick quick", "red fox red"), PLAIN)
-    rows = match_phrase(postings, phrases).filter("field = 'content'").collect()
+    rows = match_phrase(postings, phrases, term_stats(postings)).filter("field = 'content'").collect()
     got = sorted((r.query_id, r.url, r.start) for r in rows)
     assert [g for g in got if g[0] != 2] == [
         (0, "d1", 1), (0, "d1", 3), (0, "d3", 2), (0, "d5", 31),
@@ -139,11 +139,91 @@ def test_prefixes(spark, postings):
     wanted = spark.createDataFrame(
         [(0, "re"), (1, "redd"), (2, ""), (3, "zz"), (4, "f")], "query_id long, prefix string"
     )
-    assert pairs(match_prefix(postings, wanted, "title")) == {
+    assert pairs(match_prefix(postings, wanted, "title", term_stats(postings))) == {
         (0, "d1"), (0, "d5"), (1, "d5"), (4, "d1"), (4, "d2"),
     }
 
 
+def test_prefixes_beside_shorter_ones(spark, postings):
+    """The range of all prefixes ends behind what the shortest of them covers."""
+    wanted = spark.createDataFrame(
+        [(0, "re"), (1, "red fox"), (2, "quz")], "query_id long, prefix string"
+    )
+    found = match_prefix(postings, wanted, "title", term_stats(postings))
+    assert pairs(found) == {(0, "d1"), (0, "d5")}
+
+
+def clause_rows(spark, *rows):
+    return spark.createDataFrame(
+        list(rows), "query_id long, clause_no int, occur string, kind string, text string"
+    )
+
+
+def brute_clauses(docs, clauses, analyzer=PLAIN):
+    """Clause by clause over plain token lists."""
+    tokens = {}
+    for r in tokenize(docs, analyzer).collect():
+        tokens.setdefault((r.field, r.url), {})[r.pos] = r.term
+    texts = {k: [v[i] for i in sorted(v)] for k, v in tokens.items()}
+    fields = {f for f, _ in texts}
+    urls = [r.url for r in docs.select("url").collect()]
+    out = {}
+    for query in {c[0] for c in clauses}:
+        for url in urls:
+            score, needed, met, bad, hit = 0.0, 0, 0, False, False
+            for _, _, occur, kind, text in (c for c in clauses if c[0] == query):
+                words = text.lower().split()
+                groups = [[w] for w in words] if kind == "term" else [words] if words else []
+                for unit in groups:
+                    found, add = False, 0.0
+                    for f in fields:
+                        t = texts.get((f, url), [])
+                        if kind == "prefix":
+                            here = any(w.startswith(unit[-1]) for w in t)
+                            add = 1.0 if here or found else 0.0
+                        else:
+                            n = len(unit)
+                            here = any(t[i : i + n] == unit for i in range(len(t) - n + 1))
+                            if here:
+                                lens = [len(texts.get((f, u), [])) for u in urls]
+                                for w in unit:
+                                    df = sum(w in texts.get((f, u), []) for u in urls)
+                                    tf = t.count(w)
+                                    norm = 0.25 + 0.75 * len(t) / (sum(lens) / len(urls))
+                                    add += (math.log(len(urls) / (df + 1)) + 1) * tf * 2.2 / (tf + 1.2 * norm)
+                        found |= here
+                    needed += occur == "must"
+                    met += occur == "must" and found
+                    bad |= occur == "must_not" and found
+                    hit |= occur != "must_not" and found
+                    score += add if occur != "must_not" else 0.0
+            if hit and met == needed and not bad:
+                out[query, url] = score
+    return out
+
+
+def test_scored_matches_equal_plain_clauses(spark, docs, postings):
+    rows = [
+        (0, 0, "must", "term", "red"), (0, 1, "should", "phrase", "fox red"),
+        (1, 0, "must", "phrase", "red fox"), (1, 1, "must_not", "term", "again"),
+        (2, 0, "should", "prefix", "redd"), (2, 1, "should", "prefix", "fox"),
+        (3, 0, "must", "prefix", "re"), (3, 1, "must", "term", "fox car"), (3, 2, "should", "term", "zzz"),
+        (4, 0, "must_not", "term", "red"),
+        (5, 0, "must", "term", ""), (5, 1, "should", "term", "quick"), (5, 2, "must_not", "phrase", "fox running"),
+        (6, 0, "must", "phrase", "quick quick quick"), (6, 1, "must_not", "prefix", "zz"),
+        *[(7, i, "should", "term", w) for i, w in enumerate(["red"] * 70 + ["fox"])],
+    ]
+    index = build_index(docs, PLAIN)
+    found = scored_matches(
+        index.postings, clause_rows(spark, *rows), index.term_stats, index.field_stats, PLAIN
+    )
+    got = {(r.query_id, r.url): r.score for r in found.collect()}
+    wanted = brute_clauses(docs, rows)
+    assert got.keys() == wanted.keys() and len(got) > 8
+    for key, score in wanted.items():
+        assert got[key] == pytest.approx(score, abs=2e-6), key
+
+
 def brute_bm25(word, k1=1.2, b=0.75):
     """Score per document of one word over the content field only."""
     texts = {u: c for u, _, c, _, _ in TITLES}
@@ -194,7 +274,7 @@ def test_suggestions(spark, docs, postings):
     wanted = spark.createDataFrame(
         [(0, "Re"), (1, "fox"), (2, "red fox"), (3, "c")], "query_id long, prefix string"
     )
-    rows = suggest(docs, postings, wanted).collect()
+    rows = suggest(docs, postings, term_stats(postings), wanted).collect()
     assert sorted((r.query_id, r["rank"], r.word) for r in rows) == [
         (0, 1, "red"), (0, 2, "redder"), (0, 3, "reddest"), (1, 1, "foxes"), (3, 1, "car"),
     ]
@@ -237,11 +317,11 @@ def test_results_do_not_depend_on_the_join_strategy(spark, docs, monkeypatch):
         queries = ask(spark, "red fox", "quick")
         terms = analyze_queries(queries, PLAIN)
         scored = bm25(index.postings, terms, index.term_stats, index.field_stats)
-        found = project_hits(docs, top_k(scored, 10), queries, 10)
+        found = project_hits(hit_store(docs), top_k(scored, 10), queries, 10)
         hits = sorted(tuple(r) for r in found.drop("crawl_time").collect())
         prefixes = spark.createDataFrame([(0, "re")], "query_id long, prefix string")
         ranked = search(index, queries, 1e9).drop("crawl_time").collect()
-        return hits, pairs(match_prefix(index.postings, prefixes, "title")), sorted(map(str, ranked))
+        return hits, pairs(match_prefix(index.postings, prefixes, "title", index.term_stats)), sorted(map(str, ranked))
 
     small = answers()
     monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
