@@ -73,6 +73,12 @@ def _ranked(spark, folder, weights=None):
     )
 
 
+def _served(spark, folder, limit):
+    """What a search for any term serves: its best ``limit`` hits per query, ranked."""
+    index, asked = views.text_index(spark, folder), views.queries(spark, folder)
+    return run_search(index, asked, AS_OF, limit, require_all=False)
+
+
 def _six(column, name):
     return F.round(column, 6).alias(name)
 
@@ -104,7 +110,7 @@ def document_append(spark, folder):
 
 @query
 def search_envelope(spark, folder):
-    results = R.best_ranked(_ranked(spark, folder), 10)
+    results = _served(spark, folder, LIMIT)
     envelope = V.to_envelope(results, views.queries(spark, folder))
     urls = F.array_join(F.transform("results", lambda r: r["url"]), " ")
     return envelope.select("query_id", "query", urls.alias("urls"), "total", "error")
@@ -396,6 +402,13 @@ def search(spark, folder):
     return _with_parts(run_search(index, views.queries(spark, folder), AS_OF, 10))
 
 
+@query
+def search_stemmed(spark, folder):
+    """The whole search with the default analyzer: titles and contents are stemmed."""
+    index = views.text_index(spark, folder, A.Analyzer())
+    return _with_parts(run_search(index, views.queries(spark, folder), AS_OF, 10))
+
+
 def _updated_index(spark, folder):
     """An index of its own: written, then updated, then some urls removed."""
     path = scratch_path(spark, "updated-index")
@@ -518,13 +531,14 @@ def rank_reweighted(spark, folder):
 
 @query
 def paginate(spark, folder):
-    page = V.paginate(_ranked(spark, folder), 2)
+    page = V.paginate(_served(spark, folder, 2 * V.PER_PAGE), 2)
     return page.select("query_id", "url", "ranking_score", "rank")
 
 
 @query
 def page_info(spark, folder):
-    return V.page_info(_ranked(spark, folder), 2)
+    """Counts every hit of the search, not those it serves."""
+    return V.page_info(_bm25(spark, folder, require_all=False), 2)
 
 
 @query
@@ -534,7 +548,7 @@ def display_rows(spark, folder):
 
 @query
 def answer_context(spark, folder):
-    return V.answer_context(_ranked(spark, folder), 3)
+    return V.answer_context(_served(spark, folder, V.PER_PAGE), 3)
 
 
 # --- streaming -------------------------------------------------------------------

@@ -7,6 +7,7 @@ table expressions; ``_sql`` puts those a query needs in front of it.
 from __future__ import annotations
 
 from ..functions.scores import DEFAULT_WEIGHTS
+from ..functions.stem import STEP_2, STEP_3, STEP_4
 from ..functions.text import COMMON_ENTITIES, STOP_WORDS, WHITESPACE, WORD
 from .views import AS_OF, FIRST_CRAWL
 
@@ -201,6 +202,8 @@ _CTES = {
         QUALIFY rank <= 10""",
     "cand_any": """SELECT * FROM bm25_any QUALIFY row_number() OVER (
         PARTITION BY query_id ORDER BY score DESC, url) <= 20""",
+    "cand_page": """SELECT * FROM bm25_any QUALIFY row_number() OVER (
+        PARTITION BY query_id ORDER BY score DESC, url) <= 40""",
     "top_all": """SELECT *, row_number() OVER (PARTITION BY query_id
         ORDER BY score DESC, url) AS rank FROM bm25_all
         QUALIFY rank <= 20""",
@@ -267,6 +270,7 @@ _NEEDS = {
     "bm25_all": ["shares"],
     "top_any": ["bm25_any"],
     "cand_any": ["bm25_any"],
+    "cand_page": ["bm25_any"],
     "top_all": ["bm25_all"],
     "raw_words": ["queries"],
 }
@@ -474,9 +478,9 @@ ORACLES = {
         weights={"title_match": 0.5, "freshness": 10.0, "depth_penalty": 2.0}),
     # serving
     "paginate": _rank_sql("""SELECT query_id, url, ranking_score, rank FROM placed
-        WHERE rank BETWEEN 11 AND 20"""),
-    "page_info": _rank_sql("""SELECT query_id, count(*) AS total, true AS has_prev,
-        count(*) > 20 AS has_next FROM ranked GROUP BY query_id"""),
+        WHERE rank BETWEEN 11 AND 20""", "cand_page"),
+    "page_info": _sql("bm25_any", """SELECT query_id, count(*) AS total, true AS has_prev,
+        count(*) > 20 AS has_next FROM bm25_any GROUP BY query_id"""),
     "display_rows": _rank_sql(f"""SELECT query_id, url,
         CASE WHEN title = '' THEN 'Untitled' ELSE title END AS title,
         CASE WHEN {_DESCRIBED} THEN meta_description
@@ -544,3 +548,124 @@ ORACLES["updated_term_stats"] = _updated(
         FROM term_df d JOIN field_len f ON d.field = f.field""",
     )
 )
+
+
+def _shape(w: str) -> str:
+    """Vowels v and consonants c of a word; y is a vowel after a consonant."""
+    return f"""list_reduce(list_prepend('', regexp_extract_all({w}, '(?s).')), lambda a, x: a || CASE
+        WHEN x IN ('a', 'e', 'i', 'o', 'u') OR x = 'y' AND ends_with(a, 'c') THEN 'v' ELSE 'c' END)"""
+
+
+def _measure(part: str) -> str:
+    return f"len(regexp_extract_all({part}, 'v+c+'))"
+
+
+def _cut(suffix: str, x: str = "w") -> str:
+    return f"substr({x}, 1, length(w) - {len(suffix)})"
+
+
+def _replaced(rules: dict[str, str]) -> str:
+    cases = " ".join(
+        f"WHEN ends_with(w, '{s}') THEN CASE WHEN {_measure(_cut(s, 's'))} > 0"
+        f" THEN {_cut(s)} || '{rules[s]}' ELSE w END"
+        for s in sorted(rules, key=len, reverse=True)
+    )
+    return f"CASE {cases} ELSE w END"
+
+
+def _ending_dropped() -> str:
+    cases = " ".join(
+        f"WHEN ends_with(w, '{s}') THEN CASE WHEN {_measure(_cut(s, 's'))} > 1"
+        + (f" AND regexp_matches({_cut(s)}, '[st]$')" if s == "ion" else "")
+        + f" THEN {_cut(s)} ELSE w END"
+        for s in sorted(STEP_4, key=len, reverse=True)
+    )
+    return f"CASE {cases} ELSE w END"
+
+
+def _porter(words: str) -> str:
+    """CTEs that end in ``stems`` (word, stem): the published steps, one after the other."""
+    past = "CASE WHEN ends_with(w, 'ed') THEN substr(w, 1, length(w) - 2) ELSE substr(w, 1, length(w) - 3) END"
+    steps = [
+        # plurals
+        """CASE WHEN ends_with(w, 'sses') OR ends_with(w, 'ies') THEN substr(w, 1, length(w) - 2)
+          WHEN ends_with(w, 'ss') OR NOT ends_with(w, 's') THEN w
+          ELSE substr(w, 1, length(w) - 1) END""",
+        # past forms and gerunds; a stem that lost its ending is mended
+        f"""CASE WHEN ends_with(w, 'eed') THEN
+            CASE WHEN {_measure(_cut('eed', 's'))} > 0 THEN {_cut('d')} ELSE w END
+          WHEN (ends_with(w, 'ed') OR ends_with(w, 'ing'))
+            AND contains(substr(s, 1, length({past})), 'v') THEN
+            CASE WHEN regexp_matches({past}, '(at|bl|iz)$') THEN {past} || 'e'
+              WHEN length({past}) > 1 AND right({past}, 1) = substr({past}, length({past}) - 1, 1)
+                AND substr(s, length({past}), 1) = 'c' THEN
+                CASE WHEN right({past}, 1) IN ('l', 's', 'z')
+                  THEN CASE WHEN {_measure(f'substr(s, 1, length({past}))')} = 1
+                    AND regexp_matches(substr(s, 1, length({past})), 'cvc$')
+                    AND right({past}, 1) NOT IN ('w', 'x', 'y') THEN {past} || 'e' ELSE {past} END
+                  ELSE substr({past}, 1, length({past}) - 1) END
+              WHEN {_measure(f'substr(s, 1, length({past}))')} = 1
+                AND regexp_matches(substr(s, 1, length({past})), 'cvc$')
+                AND right({past}, 1) NOT IN ('w', 'x', 'y') THEN {past} || 'e'
+              ELSE {past} END
+          ELSE w END""",
+        f"CASE WHEN ends_with(w, 'y') AND contains({_cut('y', 's')}, 'v') THEN {_cut('y')} || 'i' ELSE w END",
+        _replaced(STEP_2),
+        _replaced(STEP_3),
+        _ending_dropped(),
+        f"""CASE WHEN ends_with(w, 'e') AND ({_measure(_cut('e', 's'))} > 1
+            OR {_measure(_cut('e', 's'))} = 1 AND NOT (regexp_matches({_cut('e', 's')}, 'cvc$')
+              AND NOT regexp_matches({_cut('e')}, '[wxy]$'))) THEN {_cut('e')} ELSE w END""",
+        f"CASE WHEN ends_with(w, 'll') AND {_measure(_cut('l', 's'))} > 1 THEN {_cut('l')} ELSE w END",
+    ]
+    ctes = [f"porter0 AS (SELECT DISTINCT term AS word, term AS w FROM {words})"]
+    for n, step in enumerate(steps, 1):
+        ctes.append(
+            f"porter{n} AS (SELECT word, CASE WHEN length(word) < 3 THEN word ELSE {step} END AS w"
+            f" FROM (SELECT word, w, {_shape('w')} AS s FROM porter{n - 1}))"
+        )
+    return ",\n".join([*ctes, f"stems AS (SELECT word, w AS stem FROM porter{len(steps)})"])
+
+
+ORACLES["stem_terms"] = _sql(
+    "tokens",
+    "SELECT field, stem, count(*) AS n FROM tokens JOIN stems ON term = word"
+    " WHERE field IN ('title', 'content') GROUP BY field, stem",
+    _porter("tokens"),
+)
+
+
+
+def _stemmed(sql: str) -> str:
+    """A query over an index whose titles and contents are stemmed.
+
+    Query words are stemmed for those fields alone. Coverage counts words as asked, so
+    two words of one stem are two terms.
+    """
+    fields = "field IN ('title', 'content')"
+
+    def cte(name: str, body: str) -> str:
+        stored = "MATERIALIZED " if name in ("postings", "field_tokens") else ""
+        return f"{name} AS {stored}({body})"
+
+    asked = [cte(n, _CTES[n]) for n in ("queries", "query_words", "query_terms")]
+    for part in asked:
+        sql = sql.replace(part + ",\n", "")
+    words = "SELECT term FROM plain_tokens UNION SELECT term FROM query_terms"
+    tokens = f"""SELECT url, field, CASE WHEN {fields} THEN stem ELSE term END AS term, pos,
+        field_len FROM plain_tokens JOIN stems ON word = term"""
+    sql = sql.replace(
+        cte("tokens", _CTES["tokens"]),
+        ",\n".join(
+            [*asked, cte("plain_tokens", _CTES["tokens"]), cte("all_words", words),
+             _porter("all_words"), cte("tokens", tokens)]
+        ),
+    )
+    matches = f"""SELECT q.query_id, q.n_terms, q.term AS asked, p.term, p.field, p.url, p.tf,
+        p.field_len FROM query_terms q JOIN stems ON word = q.term JOIN postings p
+          ON p.term = CASE WHEN {fields} THEN stem ELSE q.term END"""
+    sql = sql.replace(cte("matches", _CTES["matches"]), cte("matches", matches))
+    return sql.replace("SELECT query_id, n_terms, m.term, url,", "SELECT query_id, n_terms, asked AS term, url,")
+
+
+ORACLES["search_stemmed"] = _stemmed(ORACLES["search"])

@@ -202,13 +202,22 @@ def crawl_graph(spark: SparkSession, folder: str) -> dict:
     return {"seeds": seeds, "edges": edges, "pages": pages, "max_pages": total * 2 // 3}
 
 
-_INDEXES: dict[tuple[str, str], SearchIndex] = {}
+_INDEXES: dict[tuple, SearchIndex] = {}
 
 
-def text_index(spark: SparkSession, folder: str) -> SearchIndex:
-    """Stored index of the text documents; a session writes it once per folder."""
-    key = (spark.sparkContext.applicationId, folder)
+def text_index(
+    spark: SparkSession, folder: str, analyzer: Analyzer = PLAIN
+) -> SearchIndex:
+    """Stored index of the text documents.
+
+    A session writes it once per analyzer and state of the table: the names, sizes and
+    times of the table's files are part of the key, so a changed table has a new index.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/documents.parquet")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    state = tuple((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files)
+    key = (spark.sparkContext.applicationId, folder, analyzer, state)
     if key not in _INDEXES:
         docs = text_documents(spark, folder)
-        _INDEXES[key] = write_index(docs, scratch_path(spark, "index"), PLAIN)
+        _INDEXES[key] = write_index(docs, scratch_path(spark, "index"), analyzer)
     return _INDEXES[key]
