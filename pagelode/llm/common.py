@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Words of the contracts: runs of anything but the ASCII white space characters.
@@ -40,6 +42,29 @@ def free_name(name: str, taken: list[str]) -> str:
     return name
 
 
+def own_names(operator):
+    """Let an operator on a frame use names that begin with an underscore for itself.
+
+    Columns of the frame with such names are put aside under other names and come back
+    under their own; names given as arguments follow.
+    """
+
+    @wraps(operator)
+    def run(df: DataFrame, *args, **options):
+        aside: dict[str, str] = {}
+        for c in df.columns:
+            if c.startswith("_"):
+                aside[c] = free_name(f"aside{c}", [*df.columns, *aside.values()])
+        if not aside:
+            return operator(df, *args, **options)
+        follow = lambda x: aside.get(x, x) if isinstance(x, str) else x
+        renamed = df.withColumnsRenamed(aside)
+        out = operator(renamed, *map(follow, args), **{k: follow(v) for k, v in options.items()})
+        return out.withColumnsRenamed({held: c for c, held in aside.items()})
+
+    return run
+
+
 def let(value: Column, body) -> Column:
     """``body`` of ``value``, computed once for each row.
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import stage
-from .common import text_or_empty
+from .common import own_names, text_or_empty
 
 #: Bytes of item words whose windows are broadcast together.
 BLOCK_BYTES = 2 * 1024 * 1024
@@ -164,6 +164,7 @@ def _apply_block(docs: DataFrame, shared, kept: list[str]) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+@own_names
 def decontaminate(
     docs: DataFrame,
     items: DataFrame,

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import text_or_empty
+from .common import free_name, text_or_empty
 
 #: Elements by how they take part.
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"]
@@ -63,7 +63,9 @@ _MARKUP = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",  # quotes that never close
     re.S,
 )
-_NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+_NAMING = frozenset(["class", "id", "role"])
+_PLAIN = re.compile(r"[^>\"']*")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 #: Elements that hold the story: their class, id or role tells nothing against it.
 _KEPT = frozenset(["html", "body", "main", "article"])
@@ -87,6 +89,36 @@ class Block:
     text: str
     links: int
     heading: str = ""  # h1 to h6
+    article: int = 0  # number of the article or main element around it
+
+
+def _naming(attributes: str) -> list[str]:
+    """Values of class, id and role; attributes whose name merely ends so do not count."""
+    if not attributes or "=" not in attributes:
+        return []
+    return ["".join(v) for n, *v in _ATTRIBUTE.findall(attributes) if n.lower() in _NAMING]
+
+
+def _tag_end(page: str, at: int, failed: set[int]) -> int | None:
+    """Where the tag ends whose attributes begin at ``at``; None if a quote never closes.
+
+    For tags beyond the bounds of ``_MARKUP``. ``failed`` has the places of quotes from
+    which no end was reached before, so that all calls for a page take linear time.
+    """
+    seen = []
+    while True:
+        at = _PLAIN.match(page, at).end()
+        if at >= len(page) or at in failed:
+            failed.update(seen)
+            return None
+        if page[at] == ">":
+            return at + 1
+        seen.append(at)
+        close = page.find(page[at], at + 1)
+        if close < 0:
+            failed.update(seen)
+            return None
+        at = close + 1
 
 
 def _excluded(name: str, attributes: str, inside_article: bool) -> bool:
@@ -94,12 +126,15 @@ def _excluded(name: str, attributes: str, inside_article: bool) -> bool:
         return True
     if not attributes:
         return False
-    if _HIDDEN.search(_NAMED.sub("", attributes) if name in _KEPT else attributes):
+    told = attributes
+    if name in _KEPT:  # what its class, id or role says is no hint
+        told = _ATTRIBUTE.sub(lambda m: "" if m[1].lower() in _NAMING else m[0], attributes)
+    if _HIDDEN.search(told):
         return True
     if name in _KEPT:
         return False
-    for kind, *values in _NAMED.findall(attributes):
-        for word in "".join(values).split():
+    for value in _naming(attributes):
+        for word in value.split():
             if word.lower() in _NAMES:
                 return True
             if word.lower() in ("header", "site-header", "page-header") and not inside_article:
@@ -111,8 +146,7 @@ def _suspect(name: str, attributes: str) -> bool:
     """Whether a class, id or role has a part that marks notices, menus and the like."""
     if not attributes or name in _KEPT:
         return False
-    words = (word for _, *values in _NAMED.findall(attributes) for word in values)
-    return any(part.lower() in _NAMES for word in words for part in _PART.findall(word))
+    return any(p.lower() in _NAMES for value in _naming(attributes) for p in _PART.findall(value))
 
 
 class Paths:
@@ -146,6 +180,8 @@ def read_blocks(page: str) -> tuple[list[Block], Paths]:
     open_names: list[str] = []
     dropped: list[bool] = []  # whether the element or one above it is excluded
     at_path: list[int] = []
+    at_article: list[int] = []
+    n_articles = 0
     paths = Paths()
     blocks: list[Block] = []
     pieces: list[str] = []
@@ -157,7 +193,8 @@ def read_blocks(page: str) -> tuple[list[Block], Paths]:
         if text:
             heading = next((n for n in reversed(open_names) if n in _BLOCKS), "")
             heading = heading if heading in HEADINGS else ""
-            blocks.append(Block(at_path[-1] if at_path else 0, text, min(linked, len(text)), heading))
+            path, article = (at_path[-1], at_article[-1]) if at_path else (0, 0)
+            blocks.append(Block(path, text, min(linked, len(text)), heading, article))
         pieces.clear()
         linked = 0
 
@@ -172,6 +209,7 @@ def read_blocks(page: str) -> tuple[list[Block], Paths]:
             open_names.pop()
             dropped.pop()
             at_path.pop()
+            at_article.pop()
 
     def add(text: str) -> None:
         nonlocal linked
@@ -180,6 +218,7 @@ def read_blocks(page: str) -> tuple[list[Block], Paths]:
             if links:
                 linked += len(text.strip())
 
+    failed: set[int] = set()
     at, last = 0, max(page.rfind(">"), page.rfind("<!"))
     while True:
         found = _MARKUP.search(page, at) if at <= last else None
@@ -191,6 +230,10 @@ def read_blocks(page: str) -> tuple[list[Block], Paths]:
         slash, tag, attributes = found[1], found[2], found[3]
         if tag is None:
             slash, tag, attributes = found[4], found[5], found[6]
+            if tag:
+                end = _tag_end(page, found.end(5), failed)
+                if end is not None:
+                    attributes, at = page[found.end(5) : end - 1], end
         name = (tag or "").lower()
         if not name:
             continue
@@ -228,10 +271,15 @@ def read_blocks(page: str) -> tuple[list[Block], Paths]:
         dropped.append(out)
         path = at_path[-1] if at_path else 0
         if name in _BLOCKS:
-            named = _NAMED.search(attributes) if attributes else None
-            label = f"{name}.{''.join(filter(None, named.groups()[1:]))}" if named else name
+            named = _naming(attributes)
+            label = f"{name}.{named[0]}" if named else name
             path = paths.below(path, label, _suspect(name, attributes))
         at_path.append(path)
+        if name in ("article", "main"):
+            n_articles += 1
+            at_article.append(n_articles)
+        else:
+            at_article.append(at_article[-1] if at_article else 0)
     finish()
     close(0)
     return blocks, paths
@@ -265,6 +313,16 @@ def choose(blocks: list[Block], paths: Paths, rules: PathRules) -> list[str]:
         if score >= rules.threshold * best and own[p][2] <= rules.link_share * own[p][0]
     }
     kept = [b.path in good for b in blocks]
+    # what stands between two kept blocks of one article belongs to it, however short
+    ends: dict[int, list[int]] = defaultdict(list)
+    for k, b in enumerate(blocks):
+        if kept[k] and b.article:
+            ends[b.article].append(k)
+    for article, places in ends.items():
+        for k in range(places[0], places[-1]):
+            b = blocks[k]
+            if b.article == article and not paths.suspect[b.path]:
+                kept[k] = kept[k] or b.links <= rules.link_share * len(b.text)
     first = next((k for k, x in enumerate(kept) if x), 0)
     titles = [k for k in range(first) if blocks[k].heading == "h1" and not paths.suspect[blocks[k].path]]
     if titles and not any(blocks[k].heading == "h1" and kept[k] for k in range(len(blocks))):
@@ -297,5 +355,6 @@ def extract_text(
                 [*batch.columns[:-1], pa.array(texts, pa.string())], names=[*kept, out]
             )
 
-    source = pages.select(*kept, text_or_empty(column).alias("_page"))
+    carried = free_name("_page", kept)
+    source = pages.select(*kept, text_or_empty(column).alias(carried))
     return source.mapInArrow(run, schema)

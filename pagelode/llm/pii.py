@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stage
-from .common import text_or_empty
+from .common import own_names, text_or_empty
 
 #: Kinds in the order of the contract; terms come last.
 KINDS = ["email", "ip", "card", "phone"]
@@ -188,6 +188,7 @@ def disclosing_terms(
     return near.join(told, ["unit", "t_class"]).select("unit", "term")
 
 
+@own_names
 def find_pii(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -251,6 +252,7 @@ def find_pii(
     )
 
 
+@own_names
 def sanitise(found: DataFrame, text: str = "text") -> DataFrame:
     """``found`` (of ``find_pii``) with ``text`` changed: spans become their kind's mark.
 

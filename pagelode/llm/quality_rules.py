@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE, let, text_or_empty
+from .common import let, own_names, SPACE, text_or_empty
 
 #: Fixed value of the contract: characters counted as symbols.
 SYMBOLS = "[#*$%&|<>]+"
@@ -128,6 +128,7 @@ def repeated_words(words: Column, window: int) -> Column:
     )
 
 
+@own_names
 def quality_rules(
     df: DataFrame, text: str = "text", rules: LineRules = LineRules()
 ) -> DataFrame:

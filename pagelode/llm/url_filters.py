@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from .common import own_names
+
 #: Kinds of patterns, least specific first.
 KINDS = ["domain", "host", "prefix"]
 
@@ -69,6 +71,7 @@ def _keys(url: str):
     )
 
 
+@own_names
 def filter_urls(
     captures: DataFrame, entries: DataFrame, url: str = "url", time: str = "fetch_time", salts: int = 16
 ) -> DataFrame:
