@@ -20,7 +20,6 @@ word or passage arrives as one row per task.
 
 from __future__ import annotations
 
-import re
 import zlib
 from dataclasses import dataclass
 
@@ -29,11 +28,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..operators.joins import join_small
 from ..session import stage
-from .common import ascii_lower, text_or_empty
+from .common import text_or_empty
 
-#: Fixed value of the contract: where a phrase cannot go on. Blanks and tabs part words.
-ENDS = re.compile("[.,;:!?\n-\r]")
+#: Fixed values of the contract: where a phrase cannot go on, and what parts words.
+ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
+#: A text's bytes with A-Z in lower case, every end as a line feed, every blank as a space.
+_READ = bytes(10 if c in ENDS else 32 if c in BLANKS else c for c in bytes(range(256)).lower())
 
 
 @dataclass(frozen=True)
@@ -41,8 +43,8 @@ class PhraseRules:
     """Phrases of 2 to ``max_words`` words; the first four figures are the contract's.
 
     ``spacing``: mean distance of cuts; ``filter_bits``: size of the field of phrases
-    that may be frequent; ``batch_words``: words that a task handles together. None of
-    the last three changes a result.
+    that may be frequent; ``batch_bytes``: text that a task handles together, a longer
+    row by itself. None of the last three changes a result.
     """
 
     max_words: int = 3
@@ -51,7 +53,7 @@ class PhraseRules:
     per_lang: int = 2000
     spacing: int = 16
     filter_bits: int = 1 << 26
-    batch_words: int = 1 << 20
+    batch_bytes: int = 1 << 23
 
 
 def _hash(words: list[bytes]) -> np.ndarray:
@@ -80,12 +82,68 @@ def _runs(lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(lengths.sum())) - np.repeat(starts, lengths)
 
 
+def _words(column: pa.Array, table: bytes | None = None):
+    """(words, the row of each, the piece of each) of binary values, by whole arrays.
+
+    Words are what spaces and line feeds part; a line feed or a row's end ends a piece.
+    """
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset :][: len(column) + 1]
+    raw = bytes(column.buffers()[2])[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else b""
+    data = np.frombuffer(raw if table is None else raw.translate(table), np.uint8)
+    offsets = offsets - offsets[0]
+    inside = (data != 32) & (data != 10)
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    heads = offsets[:-1][offsets[:-1] < offsets[1:]]
+    begins[heads] = inside[heads]
+    starts = np.flatnonzero(begins)
+    kept = np.cumsum(inside, dtype=np.int32)
+    ends = np.append(kept[starts] - 1, kept[-1] if len(kept) else 0).astype(np.int32)
+    words = pa.Array.from_buffers(
+        pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data[inside])]
+    )
+    row = np.searchsorted(offsets[1:], starts, side="right")
+    breaks = np.flatnonzero(data == 10)
+    return words, row, row + np.searchsorted(breaks, starts)
+
+
 def _coded(words: pa.Array) -> tuple[np.ndarray, list[bytes]]:
     """A number for each word, and the distinct words."""
     coded = words.dictionary_encode()
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
 
 
+def _sizes(groups: np.ndarray) -> np.ndarray:
+    """Lengths of the runs of equal values in a rising array."""
+    edges = np.flatnonzero(np.diff(groups)) + 1
+    return np.diff(np.concatenate([[0], edges, [len(groups)]])) if len(groups) else edges
+
+
+def _together(batches, rules: PhraseRules):
+    """Record batches cut and joined to about ``batch_bytes`` of their last column."""
+    waiting, size = [], 0
+    for batch in batches:
+        text = batch.column(batch.num_columns - 1)
+        ends = np.frombuffer(text.buffers()[1], np.int32)[text.offset :][: len(text) + 1].astype(np.int64)
+        at = 0
+        while at < batch.num_rows:
+            room = max(1, rules.batch_bytes - size)
+            to = int(np.searchsorted(ends, ends[at] + room, side="left"))
+            to = min(max(to, at + 1), batch.num_rows)
+            waiting.append(batch.slice(at, to - at))
+            size += int(ends[to] - ends[at])
+            at = to
+            if size >= rules.batch_bytes:
+                yield pa.Table.from_batches(waiting).combine_chunks()
+                waiting, size = [], 0
+    if size or waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks()
+
+
+def _binary(column: pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks().cast(pa.binary())
+
+
 def _joined(words: pa.Array, begins: np.ndarray, lengths: np.ndarray) -> pa.Array:
     """Words from each begin on, as many as its length, joined by blanks."""
     at = np.repeat(begins, lengths) + _runs(lengths)
@@ -94,15 +152,14 @@ def _joined(words: pa.Array, begins: np.ndarray, lengths: np.ndarray) -> pa.Arra
     return pc.binary_join(lists, b" ")
 
 
-def _chunks(words: list[bytes], sizes: list[int], langs: list[int], rules: PhraseRules):
-    """(lang number, chunk, closed, times) of pieces laid end to end.
+def _chunks(words: pa.Array, pieces: np.ndarray, langs: np.ndarray, rules: PhraseRules):
+    """(lang, chunk, closed, times) from words with the piece and language of each.
 
-    ``sizes`` are the pieces' numbers of words. An unclosed chunk ends its piece.
+    An unclosed chunk ends its piece.
     """
     width = rules.max_words - 1
-    column = pa.array(words, pa.binary())
-    codes, distinct = _coded(column)
-    n = np.array(sizes, dtype=np.int64)
+    codes, distinct = _coded(words)
+    n = _sizes(pieces)
     inside = _runs(n)
     left = np.repeat(n, n) - inside  # words from here to the end of the piece
     hashes = _hash(distinct)[codes]
@@ -114,55 +171,39 @@ def _chunks(words: list[bytes], sizes: list[int], langs: list[int], rules: Phras
     begins = np.flatnonzero(cut)
     lengths = np.diff(np.append(begins, len(codes)))
     closed = left[begins] > lengths  # another chunk of the piece follows
-    lang = np.repeat(np.array(langs, dtype=np.int64), n)[begins]
-    text = _joined(column, begins, lengths + np.where(closed, width, 0))
-    found = pa.table({"lang": lang, "chunk": text, "closed": closed})
+    text = _joined(words, begins, lengths + np.where(closed, width, 0))
+    found = pa.table({"lang": langs[begins], "chunk": text, "closed": closed})
     return found.group_by(["lang", "chunk", "closed"]).aggregate([([], "count_all")])
 
 
 def _dictionary(docs: DataFrame, text: str, lang: str, rules: PhraseRules) -> DataFrame:
-    """Distinct chunks with their frequency: (lang, chunk, closed, times)."""
-    lowered = docs.select(
+    """Distinct chunks with their frequency: (lang, closed, times, chunk)."""
+    whole = docs.select(
         F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"),
-        ascii_lower(text_or_empty(F.col(text))).alias("text"),
+        text_or_empty(F.col(text)).alias("text"),
     )
 
     def parse(batches):
-        numbers: dict[str, int] = {}
-        words: list[bytes] = []
-        sizes: list[int] = []
-        langs: list[int] = []
-
-        def flush():
-            found = _chunks(words, sizes, langs, rules)
-            names = pa.array(list(numbers), pa.string())
-            table = pa.table(
+        for table in _together(batches, rules):
+            names = table["lang"].combine_chunks().dictionary_encode()
+            words, row, pieces = _words(_binary(table["text"]), _READ)
+            if not len(words):
+                continue
+            langs = names.indices.to_numpy(zero_copy_only=False)[row]
+            found = _chunks(words, pieces, langs, rules)
+            out = pa.table(
                 {
-                    "lang": names.take(found["lang"].combine_chunks()),
-                    "chunk": found["chunk"].cast(pa.string()),
+                    "lang": names.dictionary.take(found["lang"].combine_chunks()),
                     "closed": found["closed"],
                     "times": found["count_all"],
+                    "chunk": found["chunk"].cast(pa.string()),
                 }
             )
-            yield from table.to_batches(max_chunksize=100_000)
-            for kept in (words, sizes, langs, numbers):
-                kept.clear()
+            yield from out.to_batches(max_chunksize=100_000)
 
-        for batch in batches:
-            for name, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for piece in ENDS.split(value.as_py()):
-                    found = [w for w in piece.replace("\t", " ").split(" ") if w]
-                    if found:
-                        words += [w.encode() for w in found]
-                        sizes.append(len(found))
-                        langs.append(numbers.setdefault(name, len(numbers)))
-                    if len(words) >= rules.batch_words:
-                        yield from flush()
-        if words:
-            yield from flush()
-
-    parsed = lowered.mapInArrow(parse, "lang string, chunk string, closed boolean, times long")
-    return parsed.groupBy("lang", "chunk", "closed").agg(F.sum("times").alias("times"))
+    parsed = whole.mapInArrow(parse, "lang string, closed boolean, times long, chunk string")
+    found = parsed.groupBy("lang", "chunk", "closed").agg(F.sum("times").alias("times"))
+    return found.select("lang", "closed", "times", "chunk")
 
 
 def _places(lang: np.ndarray, words: list[np.ndarray], bits: int) -> np.ndarray:
@@ -195,70 +236,59 @@ def _may_be_frequent(field: np.ndarray, places: np.ndarray) -> np.ndarray:
     return (field[places >> 6] >> (places & 63)) & 1 == 1
 
 
+def _summed(lang: np.ndarray, codes: list[np.ndarray], size: int, weights: np.ndarray):
+    """Place of the first and the sum of weights for each distinct (lang, codes)."""
+    key, span = lang, int(lang.max()) + 1
+    for code in codes:
+        if span * size >= 2**62:  # number what there is anew, so that keys stay longs
+            found, key = np.unique(key, return_inverse=True)
+            span = len(found)
+        key, span = key * size + code, span * size
+    order = np.argsort(key)
+    ranked = key[order]
+    edges = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    return order[edges], np.add.reduceat(weights[order], edges)
+
+
 def _counts(dictionary: DataFrame, length: int, field, rules: PhraseRules) -> DataFrame:
     """Frequent phrases of ``length`` words: (lang, phrase, f); for words, all of them."""
     shared = dictionary.sparkSession.sparkContext.broadcast(field)
     width = rules.max_words - 1
 
     def count(batches):
-        langs: list[str] = []
-        chunks: list[bytes] = []
-        closed: list[bool] = []
-        times: list[int] = []
-        size = 0
-
-        def flush():
-            lists = [c.split(b" ") for c in chunks]
-            n = np.array([len(x) for x in lists], dtype=np.int64)
-            column = pa.array([w for x in lists for w in x], pa.binary())
-            codes, distinct = _coded(column)
-            own = n - np.where(np.array(closed), width, 0)  # phrases begin in these words
-            lang_codes, names = _coded(pa.array([x.encode() for x in langs], pa.binary()))
+        for table in _together(batches, rules):
+            names = table["lang"].combine_chunks().dictionary_encode()
+            words, row, _ = _words(_binary(table["chunk"]))
+            codes, distinct = _coded(words)
+            n = np.bincount(row, minlength=table.num_rows)  # every chunk has a word
+            shut = table["closed"].to_numpy()
+            own = n - np.where(shut, width, 0)  # phrases begin in these words
             inside = _runs(n)
-            left = np.repeat(n, n) - inside
-            begins = np.flatnonzero((inside < np.repeat(own, n)) & (left >= length))
-            weights = np.repeat(np.array(times, dtype=np.int64), n)[begins]
-            lang = np.repeat(lang_codes, n)[begins]
+            begins = np.flatnonzero((inside < own[row]) & (inside + length <= n[row]))
+            lang = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row[begins]]
             if length > 1:
                 bits, hashes = shared.value, _hash(distinct)[codes]
-                lang_hash = _hash(names)[lang]
+                lang_hash = _hash([x.encode() for x in names.dictionary.to_pylist()])[lang]
                 fits = np.ones(len(begins), dtype=bool)
                 for skip in (0, 1):  # the phrase without its last and its first word
                     inner = [hashes[begins + skip + i] for i in range(length - 1)]
                     fits &= _may_be_frequent(bits, _places(lang_hash, inner, rules.filter_bits))
-                begins, weights, lang = begins[fits], weights[fits], lang[fits]
-            key = lang
-            for i in range(length):  # keys stay below the square of the batch's words
-                key = np.unique(key * len(distinct) + codes[begins + i], return_inverse=True)[1]
-            _, first, group = np.unique(key, return_index=True, return_inverse=True)
-            totals = np.zeros(len(first), dtype=np.int64)
-            np.add.at(totals, group, weights)
-            phrases = _joined(column, begins[first], np.full(len(first), length, dtype=np.int64))
-            table = pa.table(
+                begins, lang = begins[fits], lang[fits]
+            if not len(begins):
+                continue
+            weights = table["times"].to_numpy()[row[begins]]
+            first, totals = _summed(lang, [codes[begins + i] for i in range(length)], len(distinct), weights)
+            phrases = _joined(words, begins[first], np.full(len(first), length, dtype=np.int64))
+            out = pa.table(
                 {
-                    "lang": pa.array(names, pa.binary()).cast(pa.string()).take(pa.array(lang[first])),
+                    "lang": names.dictionary.take(pa.array(lang[first])),
                     "phrase": phrases.cast(pa.string()),
                     "f": totals,
                 }
             )
-            yield from table.to_batches(max_chunksize=100_000)
-            for kept in (langs, chunks, closed, times):
-                kept.clear()
+            yield from out.to_batches(max_chunksize=100_000)
 
-        for batch in batches:
-            for name, chunk, shut, number in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                langs.append(name)
-                chunks.append(chunk.encode())
-                closed.append(shut)
-                times.append(number)
-                size += chunk.count(" ") + 1
-                if size >= rules.batch_words:
-                    yield from flush()
-                    size = 0
-        if chunks:
-            yield from flush()
-
-    columns = dictionary.select("lang", "chunk", "closed", "times")
+    columns = dictionary.select("lang", "closed", "times", "chunk")
     found = columns.mapInArrow(count, "lang string, phrase string, f long")
     return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
@@ -347,11 +377,23 @@ def _not_covered(scored: DataFrame, rules: PhraseRules) -> DataFrame:
 def _best(scored: DataFrame, rules: PhraseRules) -> DataFrame:
     """The first ``per_lang`` of each language with their ``rank``.
 
-    Every part of a language's phrases gives its own first rows before they meet.
+    A coarse count of scores (1,001 steps) tells from which score on a language has
+    enough phrases; what lies below does not reach the ranking. Every part of the rest
+    gives its own first rows before they meet.
     """
+    step = F.expr("score div 1000").alias("step")
+    steps = scored.groupBy("lang", step).agg(F.count("*").alias("n"))
+    above = Window.partitionBy("lang").orderBy(F.col("step").desc())
+    enough = steps.withColumn("n", F.sum("n").over(above)).groupBy("lang").agg(
+        F.coalesce(
+            F.max(F.when(F.col("n") >= rules.per_lang, F.col("step"))), F.lit(0)
+        ).alias("least")
+    )
+    high = join_small(scored, enough, ["lang"], spread=["phrase"])
+    kept = high.filter(F.col("score") >= F.col("least") * 1000).drop("least")
     parts = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    salted = scored.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(parts)))
+    salted = kept.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(parts)))
     for keys in (["lang", "_part"], ["lang"]):
         window = Window.partitionBy(*keys).orderBy(*order)
         salted = salted.withColumn("rank", F.row_number().over(window)).filter(
@@ -373,7 +415,7 @@ def mine_phrases(
     """
     frequent, totals = phrase_counts(docs, text, lang, rules)
     scored = stage(score_phrases(frequent, rules), "scored-phrases")
-    best = _best(_not_covered(scored, rules), rules)
+    best = _best(stage(_not_covered(scored, rules), "ranked-phrases"), rules)
     return best.join(totals, "lang").select(
         "lang", "rank", "phrase", "a", "l", "r", "n", "score"
     )

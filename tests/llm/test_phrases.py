@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,9 +76,9 @@ def sample(seed=0):
     "rules",
     [
         P.PhraseRules(),
-        P.PhraseRules(spacing=1, batch_words=50),
-        P.PhraseRules(spacing=2, per_lang=7, batch_words=300, filter_bits=64),
-        P.PhraseRules(4, 3, covered_percent=80, spacing=3, batch_words=200, filter_bits=1000),
+        P.PhraseRules(spacing=1, batch_bytes=50),
+        P.PhraseRules(spacing=2, per_lang=7, batch_bytes=900, filter_bits=64),
+        P.PhraseRules(4, 3, covered_percent=80, spacing=3, batch_bytes=700, filter_bits=1000),
         P.PhraseRules(2, 5, spacing=4, filter_bits=1 << 10),
     ],
     ids=["contract", "all cut", "full field", "four words", "two words"],
@@ -94,8 +96,10 @@ def test_chunks_count_every_phrase_once(width, spacing):
     r = random.Random(spacing)
     texts = [r.choices("abcde", k=r.randint(1, 40)) for _ in range(60)] + [["z"] * 50]
     rules = P.PhraseRules(max_words=width, spacing=spacing)
-    words = [w.encode() for t in texts for w in t]
-    found = P._chunks(words, [len(t) for t in texts], [0] * len(texts), rules).to_pylist()
+    column = pa.array([" ".join(t).encode() for t in texts], pa.binary())
+    words, row, pieces = P._words(column)
+    assert row.tolist() == pieces.tolist() == [i for i, t in enumerate(texts) for _ in t]
+    found = P._chunks(words, pieces, np.zeros(len(words), dtype=np.int64), rules).to_pylist()
     counted = Counter()
     for row in found:
         chunk = row["chunk"].decode().split(" ")
@@ -108,6 +112,26 @@ def test_chunks_count_every_phrase_once(width, spacing):
     assert counted == Counter({w: n for (_, w), n in wanted.items()})
 
 
+def test_words_of_sliced_columns():
+    texts = ["", "a  b.C d", "\t", "é\nx", "", "No end", "."]
+    words, row, pieces = P._words(pa.array([t.encode() for t in texts], pa.binary())[1:], P._READ)
+    assert words.to_pylist() == [w.encode() for w in ["a", "b", "c", "d", "é", "x", "no", "end"]]
+    assert row.tolist() == [0, 0, 0, 0, 2, 2, 4, 4]
+    assert np.diff(pieces).astype(bool).tolist() == [False, True, False, True, True, True, False]
+    assert len(P._words(pa.array([b"", b" "], pa.binary()))[0]) == 0
+
+
+def test_keys_are_numbered_anew_before_they_overflow():
+    r = np.random.default_rng(1)
+    codes = [r.integers(0, 3, 500) for _ in range(5)]
+    lang, weights = r.integers(0, 2, 500), r.integers(1, 9, 500)
+    first, totals = P._summed(lang, codes, 2**30, weights)
+    wanted = Counter()
+    for i in range(500):
+        wanted[lang[i], *[c[i] for c in codes]] += weights[i]
+    assert {(lang[i], *[c[i] for c in codes]): n for i, n in zip(first, totals)} == wanted
+
+
 def test_large_counts_stay_exact(spark):
     big = 4_000_000_007
     rows = [("en", 1, "a", 3 * big), ("en", 1, "b", big + 1), ("en", 2, "a b", big), ("en", 2, "b a", 3)]
