@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import html as H
+from ..functions.shards import add_shard, align_shards
 from ..functions.urls import origin, resolve_against, url_parts
 from ..session import stage
 from .joins import join_small
@@ -80,28 +81,45 @@ def link_edges(pages: DataFrame, visited: DataFrame) -> DataFrame:
     )
 
 
-def _number_rows(df: DataFrame, order: list[str], start: int, name: str) -> DataFrame:
-    """``df`` written with ``crawl_seq``, a dense number in sort order from ``start``.
+def store_edges(edges: DataFrame, path: str, shards: int = 16) -> DataFrame:
+    """Write ``edges`` (src, pos, dst) clustered by source; return them as a scan.
 
-    Range partitioning sorts the rows over all tasks; the number of a row is its
-    place in its partition plus the sizes of the partitions before. Only those
-    sizes, one per partition, are brought together.
+    Directories by hash of the source, sorted by source inside: a level of the frontier
+    reads the directories of its own pages. A source with very many links spreads over
+    several files of its directory.
+    """
+    rows, shard = add_shard(edges.select("src", "pos", "dst"), "src", shards), f"shard_{shards}"
+    (
+        rows.hint("rebalance", shard)
+        .sortWithinPartitions(shard, "src", "pos")
+        .write.partitionBy(shard)
+        .parquet(path)
+    )
+    return edges.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _number_rows(df: DataFrame, order: list[str], start: int, name: str) -> tuple[DataFrame, int]:
+    """``df`` written with ``crawl_seq``, a dense number in sort order, and its size.
+
+    Numbers begin at ``start``. Range partitioning sorts the rows over all tasks; the
+    number of a row is its place in its partition plus the sizes of the partitions
+    before. Only those sizes, one per partition, are brought together.
     """
     placed = stage(
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_id", F.monotonically_increasing_id())
-        .withColumn("_part", F.shiftright("_id", 33))
+        .withColumn("_part", F.shiftright("_id", 33).cast("int"))
         .withColumn("_at", F.col("_id").bitwiseAND((1 << 33) - 1)),
         name,
     )
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    numbered = placed.join(F.broadcast(offsets), "_part").withColumn(
-        "crawl_seq", F.col("_before") + F.col("_at") + start
-    )
-    return numbered.drop("_id", "_part", "_at", "_n", "_before")
+    sizes = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    before = [0]
+    for part in range(max(sizes, default=-1) + 1):
+        before.append(before[-1] + sizes.get(part, 0))
+    offset = F.get(F.array(*[F.lit(n).cast("long") for n in before]), F.col("_part"))
+    numbered = placed.withColumn("crawl_seq", offset + F.col("_at") + start)
+    return numbered.drop("_id", "_part", "_at"), before[-1]
 
 
 def crawl_frontier(
@@ -119,7 +137,8 @@ def crawl_frontier(
     position. The visit ends after ``max_depth`` levels or ``max_pages`` pages.
 
     A few jobs per level; every level is written to the shared folder, so lineage
-    does not grow with depth. The edges are read once per level.
+    does not grow with depth. Edges from ``store_edges`` are read by a level where its
+    pages' links lie; others are read whole once per level.
     """
     fetchable = pages.select("url")
     found = seeds.groupBy("url").agg(
@@ -132,10 +151,9 @@ def crawl_frontier(
             found = found.join(visited, "url", "left_anti")
         found = stage(found, f"found-{depth}")
         candidates = join_small(fetchable, found, ["url"]).dropDuplicates(["url"])
-        level = _number_rows(
+        level, size = _number_rows(
             candidates, ["_order", "_pos", "url"], count + 1, f"level-{depth}"
         )
-        size = level.count()
         level = level.select(
             "url", F.lit(depth).alias("depth"), F.col("crawl_seq").cast("long")
         ).filter(F.col("crawl_seq") <= max_pages)
@@ -147,7 +165,8 @@ def crawl_frontier(
         visited = reached if visited is None else visited.unionByName(reached)
         # where a page has very many links, adaptive execution splits its edges
         parents = level.select(F.col("url").alias("src"), F.col("crawl_seq").alias("_order"))
-        links = join_small(edges, parents, ["src"], bound=found)
+        parents, shard = align_shards(edges, parents, "src")
+        links = join_small(edges, parents, ["src", *shard], bound=found)
         # a popular target is reduced to its first link before the shuffle
         found = (
             links.groupBy(F.col("dst").alias("url"))

@@ -156,7 +156,9 @@ def link_edges(spark, folder):
 
 @query
 def crawl_frontier(spark, folder):
-    return C.crawl_frontier(**views.crawl_graph(spark, folder), max_depth=3)
+    graph = views.crawl_graph(spark, folder)
+    graph["edges"] = C.store_edges(graph["edges"], scratch_path(spark, "edges"))
+    return C.crawl_frontier(**graph, max_depth=3)
 
 
 # --- page parsing ----------------------------------------------------------------

@@ -20,6 +20,10 @@ LOG_SCHEMA = (
     "deleted boolean, row_id bigint, batch_id bigint, stream string"
 )
 MAIN = "main"
+#: What tells the newest row of a url, most telling first.
+NEWEST = ("batch_id", "stream", "crawl_time", "row_id")
+#: A url with more rows, and more than this share of the log, is hot when it is compacted.
+HOT_ROWS, HOT_SHARE = 1000, 0.001
 
 
 def _append(rows: DataFrame, log: str, batch_id: int, stream: str = MAIN) -> None:
@@ -73,8 +77,7 @@ def latest_documents(log: DataFrame) -> DataFrame:
     The rank limit also works before the shuffle, so a url with very many copies
     sends one row per task.
     """
-    newest = ("batch_id", "stream", "crawl_time", "row_id")
-    last = Window.partitionBy("url").orderBy(*[F.col(c).desc_nulls_last() for c in newest])
+    last = Window.partitionBy("url").orderBy(*[F.col(c).desc_nulls_last() for c in NEWEST])
     return (
         log.withColumn("_n", F.row_number().over(last))
         .filter("_n = 1 AND NOT deleted")
@@ -87,15 +90,31 @@ def all_documents(log: DataFrame) -> DataFrame:
     return log.filter("NOT deleted").select(*DOCUMENT_FIELDS)
 
 
+def _one_row_of_hot_urls(rows: DataFrame) -> DataFrame:
+    """``rows`` without the older copies of urls that hold a large part of the log.
+
+    Only keys travel here, no bodies. At most ``1 / HOT_SHARE`` urls can be hot, so their
+    newest keys are a table of bounded size.
+    """
+    key = F.struct(*NEWEST)
+    counted = rows.groupBy("url").agg(F.count("*").alias("n"), F.max(key).alias("_key"))
+    total = rows.count()
+    hot = counted.filter(F.col("n") > max(HOT_ROWS, total * HOT_SHARE)).select("url", "_key")
+    joined = rows.join(F.broadcast(hot), "url", "left")
+    return joined.filter(F.col("_key").isNull() | (key == F.col("_key"))).drop("_key")
+
+
 def compact_documents(
     spark: SparkSession, log: str, out: str, files: int | None = None
 ) -> DataFrame:
-    """Write the current documents of ``log`` as a new log, sorted by url."""
+    """Write the current documents of ``log`` as a new log, sorted by url.
+
+    Rows are range partitioned by url once, and the newest of each url is chosen inside
+    the sorted partitions.
+    """
     rows = read_log(spark, log)
     batch_id = rows.agg(F.max("batch_id")).first()[0] or 0
-    current = latest_documents(rows)
     keys = ["url"] if files is None else [files, "url"]
-    append_documents(
-        current.repartitionByRange(*keys).sortWithinPartitions("url"), out, batch_id
-    )
+    dealt = _one_row_of_hot_urls(rows).repartitionByRange(*keys)
+    append_documents(latest_documents(dealt), out, batch_id)
     return latest_documents(read_log(spark, out))

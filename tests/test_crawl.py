@@ -4,7 +4,9 @@ import random
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
+from pagelode.functions.shards import align_shards
 from pagelode.operators import crawl as C, joins
 
 
@@ -53,6 +55,22 @@ def test_small_graphs(spark, seeds, max_pages, max_depth, missing):
     assert frontier(spark, *args) == visit(*args)
 
 
+def test_stored_edges_are_pruned_by_level(spark, tmp_path):
+    r = random.Random(5)
+    edges = {str(i): [str(r.randrange(80)) for _ in range(3)] for i in range(80)}
+    rows = [(s, i, d) for s, links in edges.items() for i, d in enumerate(links)]
+    frame = spark.createDataFrame(rows, "src string, pos long, dst string")
+    stored = C.store_edges(frame, str(tmp_path / "edges"), shards=8)
+    seeds = spark.createDataFrame([("3", 0)], "url string, seed_order long")
+    pages = spark.createDataFrame([(u,) for u in edges], "url string")
+    got = C.crawl_frontier(seeds, stored, pages, 60, 3)
+    assert {x.url: (x.depth, x.crawl_seq) for x in got.collect()} == visit(["3"], edges, set(edges), 60, 3)
+    asked = seeds.filter("seed_order >= 0").select(F.col("url").alias("src"))
+    parents, shard = align_shards(stored, asked, "src")
+    plan = joins.join_small(stored, parents, ["src", *shard])._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+
+
 @pytest.mark.parametrize("broadcast_rows", [joins.BROADCAST_ROWS, 0])
 def test_random_graph_with_a_hub(spark, monkeypatch, broadcast_rows):
     """One page holds a third of all links and is the target of another third.

@@ -95,6 +95,25 @@ def test_latest_view_limits_before_the_shuffle(spark, tmp_path):
     assert titles(latest) == [("same", "499")]
 
 
+def test_compaction_moves_bodies_once_and_hot_urls_hardly(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(L, "HOT_ROWS", 50)
+    log = str(tmp_path / "log")
+    urls = F.when(F.col("id") < 300, "hot").otherwise(F.concat(F.lit("u"), F.col("id") % 40))
+    rows = spark.range(500).select(urls.alias("url"), F.col("id").cast("string").alias("title"))
+    others = {f: F.lit(None).cast(t) for f, t in (x.split() for x in DOC.split(", ")[2:])}
+    L.append_documents(rows.withColumns(others).repartition(3), log, 0)
+    L.append_deletions(spark.createDataFrame([("u1",)], "url string"), log, 1)
+    wanted = titles(L.latest_documents(L.read_log(spark, log)))
+    thinned = L._one_row_of_hot_urls(L.read_log(spark, log))
+    assert thinned.filter("url = 'hot'").count() == 1
+    plan = L.latest_documents(thinned.repartitionByRange("url"))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan.split("rangepartitioning")[0]
+    out = str(tmp_path / "compact")
+    assert titles(L.compact_documents(spark, log, out, files=4)) == wanted and len(wanted) == 40
+    for part in spark.read.parquet(out).select(F.input_file_name().alias("f"), "url").groupBy("f").agg(F.collect_list("url").alias("u")).collect():
+        assert part.u == sorted(part.u)
+
+
 def test_upsert_is_idempotent_and_delete_exact(spark):
     current, updates = documents(spark, a="1", b="1"), documents(spark, b="2", c="2")
     once = upsert_documents(current, updates)
