@@ -21,6 +21,16 @@ from pyspark.sql import Column, functions as F
 from .text import RARE_ENTITY, clean_text, decode_common_entities
 from .urls import resolve_against
 
+# Elements of one page that may stay open before the tree reads its main content.
+MOST_OPEN = 500
+
+# Elements without an end tag.
+VOID = {
+    "area", "base", "basefont", "bgsound", "br", "col", "command", "embed", "frame", "hr",
+    "image", "img", "input", "isindex", "keygen", "link", "menuitem", "meta", "nextid",
+    "param", "source", "spacer", "track", "wbr",
+}
+
 # The inside of a tag up to its ">"; a ">" within quotes does not end it.
 _INSIDE = r"""(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+"""
 _END_OF_NAME = r"(?=[\s/>])"
@@ -109,6 +119,88 @@ def body_text(stripped: Column) -> Column:
     return inner_text(body)
 
 
+def _is_content(tag: Column) -> Column:
+    """Whether a start tag opens a main-content element."""
+    named = tag.rlike(rf"(?i)^<(?:main|article|div){_END_OF_NAME}")
+    classes = F.coalesce(attribute(tag, "class"), F.lit(""))
+    return F.when(named, classes.rlike(rf"(?i){'|'.join(CONTENT_CLASSES)}")).otherwise(False)
+
+
+def has_content_class(stripped: Column) -> Column:
+    """Whether any element is of a main-content class."""
+    return F.exists(_all(stripped, rf"(?i)<(?:main|article|div)\s{_INSIDE}>"), _is_content)
+
+
+def content_text(stripped: Column) -> Column:
+    """Text of all main-content elements in order of their start, a space between them.
+
+    A nested one stands in its outer one's text and once more for itself. One scan over
+    the tags keeps the open elements: an end tag closes the last open element of its name
+    and all that were opened inside it; one without such an element closes nothing; what
+    is never closed runs to the end.
+    """
+    tags = _all(stripped, _ANY_TAG)
+    pieces = F.split(stripped, _ANY_TAG)  # one more than tags
+    name = lambda t: F.lower(F.regexp_extract(t, r"^</?([A-Za-z][^\s/>]*)", 1))
+    marks = F.transform(
+        tags,
+        lambda t, i: F.struct(
+            name(t).alias("name"),
+            i.alias("at"),
+            F.startswith(t, F.lit("</")).alias("closing"),
+            F.endswith(t, F.lit("/>")).alias("empty"),
+            _is_content(t).alias("content"),
+        ),
+    )
+    elements = F.filter(
+        marks, lambda m: (m["name"] != "") & ~m["name"].isin(sorted(VOID)) & (m["closing"] | ~m["empty"])
+    )
+    open_type = "array<struct<name:string,at:int,content:boolean>>"
+    span_type = "array<struct<start:int,end:int>>"
+
+    def spans(closed: Column, end: Column) -> Column:
+        return F.transform(
+            F.filter(closed, lambda o: o["content"]),
+            lambda o: F.struct(o["at"].alias("start"), end.cast("int").alias("end")),
+        )
+
+    def step(state: Column, m: Column) -> Column:
+        held = state["open"]
+        from_end = F.array_position(F.reverse(F.transform(held, lambda o: o["name"])), m["name"])
+        opened = F.struct(m["name"].alias("name"), m["at"].alias("at"), m["content"].alias("content"))
+        kept = (F.size(held) - from_end).cast("int")
+
+        return (
+            F.when(
+                ~m["closing"],
+                F.struct(F.concat(held, F.array(opened)).alias("open"), state["spans"].alias("spans")),
+            )
+            .when(from_end == 0, state)
+            .otherwise(
+                F.struct(
+                    F.slice(held, 1, kept).alias("open"),
+                    F.concat(
+                        state["spans"], spans(F.slice(held, kept + 1, F.size(held)), m["at"])
+                    ).alias("spans"),
+                )
+            )
+        )
+
+    start = F.struct(
+        F.array().cast(open_type).alias("open"), F.array().cast(span_type).alias("spans")
+    )
+    found = F.aggregate(
+        elements,
+        start,
+        step,
+        lambda state: F.sort_array(F.concat(state["spans"], spans(state["open"], F.size(tags)))),
+    )
+    texts = F.transform(
+        found, lambda s: F.array_join(F.slice(pieces, s["start"] + 2, s["end"] - s["start"]), "")
+    )
+    return clean_text(decode_common_entities(F.array_join(texts, " ")))
+
+
 def heading_elements(stripped: Column) -> Column:
     """Whole heading elements in document order."""
     return F.regexp_extract_all(
@@ -175,13 +267,13 @@ def needs_tree(
 ) -> Column:
     """True where the patterns above may differ from a real element tree.
 
-    That is: an element of main-content class (its text depends on nesting), a
-    boilerplate tag left over because it is nested or never closed, a heading or
-    anchor that is nested or never closed, an unclosed title, or an entity
-    outside the common ones.
+    That is: a boilerplate tag left over because it is nested or never closed, a
+    heading or anchor that is nested or never closed, an unclosed title, or an entity
+    outside the common ones. Main-content elements are read here, unless so many
+    elements stay open that keeping them would cost more than the tree.
     """
-    sections = _all(stripped, rf"(?i)<(?:main|article|div)\s{_INSIDE}>")
-    content_class = rf"(?is)class\s*=.*(?:{'|'.join(CONTENT_CLASSES)})"
+    starts = F.regexp_count(stripped, F.lit("<[A-Za-z]"))
+    ends = F.regexp_count(stripped, F.lit("</[A-Za-z]"))
     left_over = rf"(?i)</?(?:{'|'.join(BOILERPLATE)})[\s/>]"
     opened = F.regexp_count(stripped, F.lit(r"(?i)<(?:h[1-6]|a)[\s/>]"))
     titles = F.regexp_count(quiet, F.lit(r"(?i)<title[\s/>]"))
@@ -190,6 +282,6 @@ def needs_tree(
         (opened != F.size(headings) + F.size(anchors))
         | (titles != closed_titles)
         | stripped.rlike(left_over)
-        | F.exists(sections, lambda tag: tag.rlike(content_class))
+        | ((starts - ends > MOST_OPEN) & has_content_class(stripped))
         | quiet.rlike(RARE_ENTITY)
     )

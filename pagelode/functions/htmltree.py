@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
-from .html import BOILERPLATE, CONTENT_CLASSES
+from .html import BOILERPLATE, CONTENT_CLASSES, VOID
 
 PARSED = (
     "title string, meta_description string, content string, "
@@ -21,12 +21,6 @@ PARSED = (
     "links array<struct<href:string,text:string,title:string>>"
 )
 
-# Elements without an end tag.
-VOID = {
-    "area", "base", "basefont", "bgsound", "br", "col", "command", "embed", "frame", "hr",
-    "image", "img", "input", "isindex", "keygen", "link", "menuitem", "meta", "nextid",
-    "param", "source", "spacer", "track", "wbr",
-}
 _CONTENT_CLASS = re.compile("|".join(CONTENT_CLASSES), re.I)
 _SPACE = re.compile(r"\s+")
 

@@ -57,6 +57,9 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     def either(name: str, plain):
         return F.when(F.col("_hard"), tree[name]).otherwise(plain)
 
+    main = F.when(H.has_content_class(stripped), H.content_text(stripped)).otherwise(
+        H.body_text(stripped)
+    )
     links = either("links", H.links_from(F.col("_anchors")))
     return staged.select(
         "url",
@@ -64,7 +67,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
         either("meta_description", H.extract_meta_description(quiet)).alias(
             "meta_description"
         ),
-        either("content", H.body_text(stripped)).alias("content"),
+        either("content", main).alias("content"),
         either("headings", H.headings_from(F.col("_heads"))).alias("headings"),
         H.resolve_links(links, F.col("_base")).alias("links"),
         "crawl_time",

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import html as H, scores as S, text as T
 from ..functions.urls import resolve_url
 from ..operators import analyze as A, crawl as C, documents as D, match as M
-from ..operators import rank as R, score as B, serve as V, suggest as G
+from ..operators import parse, rank as R, score as B, serve as V, suggest as G
 from ..session import scratch_path, stage
 from ..sources import document_log as L
 from ..sources.pages import page_records, seeds_from_text
@@ -194,6 +194,12 @@ def main_content(spark, folder):
     return views.parsed_pages(spark, folder).select("url", "content", "content_length")
 
 
+@query
+def classed_content(spark, folder):
+    parsed = parse.parse_pages(page_records(views.classed_pages(spark, folder)))
+    return parsed.select("url", "content", "content_length")
+
+
 @query
 def page_headings(spark, folder):
     parsed = views.parsed_pages(spark, folder)

@@ -583,6 +583,19 @@ def _ending_dropped() -> str:
     return f"CASE {cases} ELSE w END"
 
 
+# the outer element's text, then the inner one's
+_ARTICLE = _inner(
+    f"""array_to_string(list_transform(regexp_extract_all({_stripped('content')},
+      '(?is)<article>(.*?)</article>', 1), lambda a: a || ' ' || a), ' ')"""
+)
+ORACLES["classed_content"] = _sql(
+    "rich",
+    f"""SELECT url, text AS content, length(text) AS content_length FROM (SELECT url,
+      CASE WHEN contains({_stripped('content')}, '<article>') THEN {_ARTICLE}
+        ELSE {_body('content')} END AS text FROM rich)""",
+)
+
+
 def _porter(words: str) -> str:
     """CTEs that end in ``stems`` (word, stem): the published steps, one after the other."""
     past = "CASE WHEN ends_with(w, 'ed') THEN substr(w, 1, length(w) - 2) ELSE substr(w, 1, length(w) - 3) END"

@@ -61,6 +61,14 @@ def rich_pages(spark: SparkSession, folder: str) -> DataFrame:
     return fetches(spark, folder).withColumn("content", html)
 
 
+def classed_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Rich pages whose articles carry main-content classes, one inside the other."""
+    opened = F.lit('<article class="Post-Content"><div class="body">')
+    html = F.replace("content", F.lit("<article>"), opened)
+    html = F.replace(html, F.lit("</article>"), F.lit("</div></article>"))
+    return rich_pages(spark, folder).withColumn("content", html)
+
+
 def parsed_pages(spark: SparkSession, folder: str) -> DataFrame:
     return parse_pages(page_records(rich_pages(spark, folder)))
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from pyspark.sql import functions as F
@@ -115,6 +117,29 @@ def test_patterns_and_tree_agree_on_plain_pages(spark, tiny_dir):
         ]
 
 
+def random_page(seed):
+    """Elements that open, close and stay open in any order, some of main-content class."""
+    r = random.Random(seed)
+    starts = ["<div>", '<div class="Content x">', "<main class=main>", "<article class='post-body'>", "<span>",
+              "<p>", "<br>", "<section class=content>", "<img/>", "<div class=content />", '<DIV CLASS="body">',
+              '<div title="class=content">', '<div class=a class="main">', "<li>", "<!doctype x>"]
+    ends = ["</div>", "</main>", "</article>", "</span>", "</p>", "</section>", "</DIV >", "</li>", "</b>"]
+    parts = [r.choice([r.choice(starts), r.choice(ends), f"t{i} ", "a &amp; b", " "]) for i in range(r.randint(1, 40))]
+    return "<body>" + "".join(parts) + r.choice(["</body>", ""])
+
+
+def test_main_content_needs_no_python(spark):
+    pages = {f"http://t.x/{i}": random_page(i) for i in range(300)}
+    frame = spark.createDataFrame(list(pages.items()), "url string, content string")
+    got = {r.url: r.content for r in parse_pages(frame).collect()}
+    for url, page in pages.items():
+        assert got[url] == read_page(page)["content"], page
+    quiet, stripped = H.quiet_html("content"), H.strip_boilerplate(H.quiet_html("content"))
+    hard = H.needs_tree(quiet, stripped, H.heading_elements(stripped), H.anchor_elements(stripped))
+    assert frame.filter(hard).count() == 0
+    assert frame.filter(H.has_content_class(stripped)).count() > 150
+
+
 def test_documents_have_the_index_fields(spark):
     pages = spark.createDataFrame(
         [("u", "<body><h2>b</h2><h1>a</h1></body>", 3, 86400.0)],
