@@ -126,7 +126,9 @@ def gradient(w: dict[str, np.ndarray], x: np.ndarray) -> dict[str, np.ndarray]:
     g["value"] = mat(e).T @ mat(d_v)
     d_e = d_k @ w["key"].T + d_v @ w["value"].T
     d_e[:, CONTEXT - 1 :] += d_q @ w["query"].T
-    np.add.at(g["embed"], seen, d_e)
+    places = np.argsort(seen.ravel(), kind="stable")
+    kinds, begins = np.unique(seen.ravel()[places], return_index=True)
+    g["embed"][kinds] = np.add.reduceat(mat(d_e)[places], begins, axis=0)
     return g
 
 

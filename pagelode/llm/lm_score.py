@@ -1,13 +1,16 @@
 """Language-model scores of texts.
 
-Words are written as subword ids of a given tokenizer. Three passes over the texts:
-
-1. Count words and ids of all training texts. Words give the base score, ids give the
-   classes of the attention model and each id's share of its class.
-2. Every task trains the model on all windows of its part of the training texts; the
-   tasks' weights are averaged by the tokens they saw.
-3. Every text is scored whole, in batches of overlapping windows. A word's probability
-   is that of its subword ids, mixed with the word's own share of the training words.
+Words are written as subword ids of a given tokenizer. The texts are read twice:
+
+1. The first pass over the training texts counts words, and adds up for every id what
+   stands beside it and in its texts, as a short vector of whole numbers. Ids with like
+   vectors make the classes of the attention model. The pass also keeps the texts' ids.
+2. The model is trained in a few rounds, each on its share of the texts, every window
+   once. A round deals its texts by a hash of id and text to parts of like size, trains
+   every part from the same weights and averages them by tokens. Neither the classes nor
+   the weights depend on how the input is split.
+3. The second pass scores every text whole, in batches of overlapping windows. A word's
+   probability is that of its subword ids, mixed with the word's base probability.
 
 Both scores need the count of each word. Words above a fixed rank travel to the tasks
 as a table of bounded size; all others meet their counts in a shuffle join, as one row
@@ -26,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stage
@@ -33,18 +37,31 @@ from .common import text_or_empty
 from .lm_model import CLASSES, CONTEXT, END, Trainer, log_probs, pack, start_weights, unpack, windows
 
 KEPT_WORDS = 300_000
+#: Ids that a worker adds up together.
+HELD_IDS = 400_000
 #: Words whose counts are broadcast, and their longest length: bounds of that table.
 COMMON_WORDS, COMMON_BYTES = 50_000, 48
-#: Windows of one training step and of one scoring batch.
-STEP, BATCH = 64, 1024
+#: Windows of one scoring batch.
+BATCH = 1024
+#: Entries of an id's vector: half tell its neighbours, half its texts.
+TRAITS = 16
+#: A text's mean is told in this many steps, so that sums are exact.
+STEPS = 256
+#: Rows of the table of vectors that travel together, and states that one task adds up.
+ROWS, FAN_IN = 1024, 64
 
 
 @dataclass(frozen=True)
 class LmRules:
     """Shape of the model's classes and of the mixture."""
 
-    own_classes: int = 96  # ids that are a class of their own
-    word_share: float = 0.5  # of the words' own shares in a word's probability
+    own_classes: int = 30  # ids that are a class of their own
+    word_share: float = 0.65  # of the base probability in a word's probability
+    step: int = 32  # windows of a training step at least
+    steps: int = 256  # of a part in one round at most: larger parts take larger steps
+    rate: float = 0.05  # of the first round's steps
+    rounds: int = 3  # averaged one after the other
+    part_ids: int = 2_000_000  # ids that a part has, all rounds together
 
 
 class Subwords:
@@ -98,110 +115,186 @@ def split_lower(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def _counts(train: DataFrame, coder) -> DataFrame:
-    """Rows (id, word, n): an id's or a word's count; the word of the end is null."""
+def _signs(size: int) -> np.ndarray:
+    """A fixed vector of -1 and 1 for each id, and zeros for a text's border."""
+    r = np.random.default_rng(11)
+    half = r.integers(0, 2, size=(size + 1, TRAITS // 2)) * 2 - 1
+    half[size] = 0
+    return half.astype(np.float64)
 
-    def run(batches):
-        subwords, word_counts = _subwords(coder), Counter()
-        id_counts = np.zeros(0, dtype=np.int64)
-        texts = 0
 
-        def rows(found):
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.nulls(len(found), pa.int32()),
-                    pa.array(list(found), pa.binary()),
-                    pa.array(list(found.values()), pa.int64()),
-                ],
-                names=["id", "word", "n"],
-            )
+def _read(train: DataFrame, coder, size: int) -> DataFrame:
+    """One pass: rows of word counts, of the ids' counts and vectors, and of texts.
+
+    A row has (word, n) or (chunk, part, table) or (key, ids). Table rows hold ``ROWS``
+    ids: texts with the id's count, then its vector; the row after the last id has the
+    number of texts.
+    """
+    schema = "word binary, n long, chunk int, part long, table binary, key long, ids binary"
+    names = ["word", "n", "chunk", "part", "table", "key", "ids"]
+    kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+
+    def rows(**found):
+        n = len(next(iter(found.values())))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(found[k], t) if k in found else pa.nulls(n, t) for k, t in zip(names, kinds)],
+            names=names,
+        )
+
+    def run(batches):
+        subwords, counts, signs = _subwords(coder), Counter(), _signs(size)
+        table = np.zeros((size + 1, TRAITS + 1))
+
+        def add(coded: list[np.ndarray]) -> None:
+            """Counts and vectors of a batch of texts, borders between them."""
+            line = np.concatenate([x for ids in coded for x in (ids, [size])] or [[]]).astype(np.int64)
+            if not len(line):
+                return
+            sign = signs[line]
+            beside = np.zeros_like(sign)
+            beside[1:] += sign[:-1]
+            beside[:-1] += sign[1:]
+            lengths = np.array([len(ids) + 1 for ids in coded])
+            begins = np.cumsum(lengths) - lengths
+            means = np.add.reduceat(sign, begins, axis=0) / np.maximum(1, lengths - 1)[:, None]
+            inside = np.repeat(np.rint(means * STEPS), lengths, axis=0)
+            table[:, 0] += np.bincount(line, minlength=size + 1)
+            for k, column in enumerate(np.hstack([beside, inside]).T, 1):
+                table[:, k] += np.bincount(line, weights=column, minlength=size + 1)
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = split_lower(text)
-                texts += 1
-                word_counts.update(words)
-                more = np.bincount(np.array(subwords(words)[0], dtype=np.int64))
-                if len(more) > len(id_counts):
-                    id_counts = np.pad(id_counts, (0, len(more) - len(id_counts)))
-                id_counts[: len(more)] += more
-            if len(word_counts) > KEPT_WORDS:
-                yield rows(word_counts)
-                word_counts.clear()
-        yield rows(word_counts)
-        ids = np.flatnonzero(id_counts)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([*ids, -1], pa.int32()),
-                pa.nulls(len(ids) + 1, pa.binary()),
-                pa.array([*id_counts[ids], texts], pa.int64()),
-            ],
-            names=["id", "word", "n"],
+            coded, keys, held = [], [], 0
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = split_lower(text.as_py())
+                counts.update(words)
+                coded.append(np.array(subwords(words)[0], dtype=np.int64))
+                keys.append(key)
+                held += len(coded[-1]) + 1
+                if held > HELD_IDS:
+                    add(coded)
+                    yield rows(key=keys, ids=[x.astype("<u4").tobytes() for x in coded])
+                    coded, keys, held = [], [], 0
+            add(coded)
+            yield rows(key=keys, ids=[x.astype("<u4").tobytes() for x in coded])
+            if len(counts) > KEPT_WORDS:
+                yield rows(word=list(counts), n=list(counts.values()))
+                counts.clear()
+        yield rows(word=list(counts), n=list(counts.values()))
+        part = TaskContext.get().partitionId()
+        used = [k for k in range(0, size + 1, ROWS) if table[k : k + ROWS, 0].any()]
+        yield rows(
+            chunk=[k // ROWS for k in used],
+            part=[part] * len(used),
+            table=[table[k : k + ROWS].tobytes() for k in used],
         )
 
-    counted = train.mapInArrow(run, "id int, word binary, n long")
-    return counted.groupBy("id", "word").agg(F.sum("n").alias("n"))
+    return train.mapInArrow(run, schema)
+
+
+def _added(states: DataFrame, key: str, value: str) -> dict[int, np.ndarray]:
+    """Sums of the arrays in ``value`` for each ``key``, in two levels by ``part``."""
+
+    def add(group):
+        order = np.lexsort((group.column("part").to_numpy(),))
+        total = 0.0
+        for i in order:  # always in the same order
+            total = total + np.frombuffer(group.column(value)[int(i)].as_py())
+        return pa.table(
+            {key: group.column(key)[:1], "part": group.column("part")[:1], value: pa.array([total.tobytes()])},
+            schema=group.schema,
+        )
+
+    columns = states.select(F.col(key).cast("int").alias(key), F.col("part").cast("long").alias("part"), value)
+    kind = f"{key} int, part long, {value} binary"
+    near = columns.groupBy(key, F.expr(f"part div {FAN_IN}").alias("_near")).applyInArrow(
+        lambda group: add(group), kind
+    )
+    found = near.groupBy(key).applyInArrow(lambda group: add(group), kind).collect()
+    return {r[key]: np.frombuffer(bytes(r[value])) for r in found}
+
+
+def _clusters(vectors: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
+    """Nearest of ``k`` centres for each vector; the first centres lie far apart."""
+    if k <= 1 or not len(vectors):
+        return np.zeros(len(vectors), dtype=np.int64)
+    heavy = np.argsort(-weight, kind="stable")[:2000]
+    chosen = [heavy[0]]
+    far = ((vectors[heavy] - vectors[chosen[0]]) ** 2).sum(1)
+    while len(chosen) < min(k, len(heavy)):
+        chosen.append(heavy[int(np.argmax(far * np.sqrt(weight[heavy])))])
+        far = np.minimum(far, ((vectors[heavy] - vectors[chosen[-1]]) ** 2).sum(1))
+    centres = vectors[chosen].copy()
+    for _ in range(20):
+        near = np.argmax(vectors @ centres.T - (centres**2).sum(1) / 2, axis=1)
+        total = np.bincount(near, weights=weight, minlength=len(centres))
+        for j in range(vectors.shape[1]):
+            sums = np.bincount(near, weights=weight * vectors[:, j], minlength=len(centres))
+            centres[:, j] = np.where(total > 0, sums / np.maximum(total, 1e-9), centres[:, j])
+    return near
 
 
 class Classes:
     """Class of each id and the log share of the id in its class."""
 
-    def __init__(self, counts: dict[int, int], size: int, texts: int, rules: LmRules):
-        n = np.zeros(size)
-        for i, c in counts.items():
-            n[i] = c
-        order = np.lexsort((np.arange(size), -n))
-        of = np.empty(size, dtype=np.int64)
+    def __init__(self, table: np.ndarray, texts: int, rules: LmRules):
+        """``table`` has an id's count and vector in each row."""
+        n, size = table[:, 0], len(table)
+        order = np.argsort(-n, kind="stable")
         own = min(rules.own_classes, size)
+        of = np.empty(size, dtype=np.int64)
         of[order[:own]] = 2 + np.arange(own)
-        rest = CLASSES - 2 - own
-        of[order[own:]] = 2 + own + np.arange(size - own) % rest
+        rest = order[own:]
+        mean = table[:, 1:] / np.maximum(n, 1)[:, None]
+        mean -= (mean * n[:, None]).sum(0) / max(1.0, n.sum())
+        spread = np.sqrt((mean**2 * n[:, None]).sum(0) / max(1.0, n.sum()))
+        # what few occurrences tell counts less
+        vectors = mean / np.maximum(spread, 1e-9) * (n / (n + 4))[:, None]
+        of[rest] = 2 + own + _clusters(vectors[rest], n[rest] + 1e-3, CLASSES - 2 - own)
         smooth = n + 0.5
         totals = np.bincount(of, weights=smooth, minlength=CLASSES)
         self.of = of
         self.log_share = np.log(smooth / totals[of])
         totals[END] = texts + 0.5
         totals[0] = 1e-9
-        self.log_prior = np.log(totals / totals.sum())
+        self.log_prior = np.log(np.maximum(totals, 1e-9) / totals.sum())
 
 
-def _trained(train: DataFrame, coder, shared, start: dict) -> dict:
-    """Weights that every task trains on its part, averaged by tokens."""
-
-    def run(batches):
-        subwords, classes = _subwords(coder), shared.value
-        trainer = Trainer({k: w.copy() for k, w in start.items()})
-        waiting: list[np.ndarray] = []
-        held = tokens = 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                ids, _ = subwords(split_lower(text))
-                x = windows(np.append(classes.of[ids] if ids else [], END).astype(np.int64))
-                waiting.append(x)
-                held += len(x)
-                if held >= STEP:
-                    x = np.concatenate(waiting)
-                    whole = len(x) - len(x) % STEP  # the rest waits for the next step
-                    for at in range(0, whole, STEP):
-                        trainer.step(x[at : at + STEP])
-                    tokens += whole * CONTEXT
-                    waiting, held = [x[whole:]], len(x) - whole
-        if held:
-            trainer.step(np.concatenate(waiting))
-            tokens += held * CONTEXT
-        flat = pack(trainer.w) * tokens
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(len(flat) + 1), pa.int32()), pa.array(np.append(flat, tokens), pa.float64())],
-            names=["k", "x"],
-        )
+def _trained(texts: DataFrame, classes, start: dict, ids: int, rules: LmRules) -> dict:
+    """Weights after all rounds; ``texts`` has (key, ids) of the training texts."""
+    parts = max(1, -(-ids // rules.part_ids))
+    spark = texts.sparkSession
+    dealt = texts.withColumn("part", F.pmod("key", F.lit(parts))).withColumn(
+        "round", F.pmod(F.shiftright("key", 32), F.lit(rules.rounds))
+    )
 
-    sums = train.mapInArrow(run, "k int, x double").groupBy("k").agg(F.sum("x").alias("x"))
-    found = {r["k"]: r["x"] for r in sums.collect()}  # as many rows as the model has weights
-    flat = pack(start)
-    tokens = found.get(len(flat), 0.0)
-    if tokens:
-        flat = np.array([found[k] for k in range(len(flat))]) / tokens
-    return unpack(flat, start)
+    def trainer_of(shared, rate: float):
+        def train(key, group):
+            of, begin = shared.value
+            order = np.lexsort((group.column("key").to_numpy(),))
+            lines = [np.frombuffer(group.column("ids")[int(i)].as_py(), "<u4") for i in order]
+            trainer = Trainer({k: w.copy() for k, w in begin.items()}, rate)
+            x = np.concatenate([windows(np.append(of[line], END)) for line in lines])
+            size = max(rules.step, -(-len(x) // rules.steps))
+            for at in range(0, len(x), size):
+                trainer.step(x[at : at + size])
+            tokens = len(x) * CONTEXT
+            state = np.append(pack(trainer.w) * tokens, tokens)
+            return pa.table(
+                {"all": pa.array([0], pa.int32()), "part": pa.array([key[0].as_py()], pa.int64()),
+                 "state": pa.array([state.tobytes()])}
+            )
+
+        return train
+
+    weights = start
+    for number in range(rules.rounds):
+        train = trainer_of(spark.sparkContext.broadcast((classes.value.of, weights)), rules.rate / (1 + number))
+        own = dealt.filter(F.col("round") == number).select("part", "key", "ids")
+        states = own.groupBy("part").applyInArrow(train, "all int, part long, state binary")
+        total = _added(stage(states, f"lm-round-{number}"), "all", "state").get(0)
+        if total is not None:
+            weights = unpack(total[:-1] / total[-1], start)
+    return weights
 
 
 def score_texts(
@@ -227,16 +320,22 @@ def score_texts(
     texts = docs.select(
         F.col(doc_id).alias("doc_id"), text_or_empty(text).cast("binary").alias("_text"), held_out.alias("_out")
     )
-    train = texts.filter("not _out").select("_text")
-
-    counted = stage(_counts(train, coder), "lm-counts")
-    ids = {r["id"]: r["n"] for r in counted.filter("id is not null").collect()}  # the vocabulary
-    ends = ids.pop(-1, 0)
-    words = counted.filter("word is not null").select("word", F.col("n").alias("c"))
     size = 1 + max(vocabulary[1].values())
-    shared = sc.broadcast(Classes(ids, size, ends, rules))
+    key = F.xxhash64("doc_id", "_text").alias("key")
+    train = texts.filter("not _out").select(key, "_text")
+    read = stage(_read(train, coder, size), "lm-read")
+    words = read.filter("word is not null").groupBy("word").agg(F.sum("n").alias("c"))
+    words = stage(words, "lm-words")
+
+    table = np.zeros((-(-(size + 1) // ROWS) * ROWS, TRAITS + 1))
+    for chunk, rows in _added(read.filter("chunk is not null"), "chunk", "table").items():
+        rows = rows.reshape(-1, TRAITS + 1)  # as many rows as the vocabulary has ids
+        table[chunk * ROWS : chunk * ROWS + len(rows)] = rows
+    ends = int(table[size, 0])
+    shared = sc.broadcast(Classes(table[:size], ends, rules))
     start = start_weights(shared.value.log_prior)
-    model = sc.broadcast(_trained(train, coder, shared, start))
+    coded = read.filter("key is not null").select("key", "ids")
+    model = sc.broadcast(_trained(coded, shared, start, int(table[: size, 0].sum()), rules))
 
     sums = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total = (sums["n"] or 0) + ends
@@ -285,8 +384,7 @@ def score_texts(
                 shares = np.append(classes.log_share[ids], 0.0)
                 starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
                 counts = np.array([*map(known.get, words, repeat(0)), ends], dtype=np.float64)
-                with np.errstate(divide="ignore"):
-                    often = np.log(counts / max(1, total))
+                often = np.log(counts + 0.5) - log_total * np.log(10)
                 unmet = {place: word for place, word in enumerate(words) if word not in known}
                 waiting.append((k, c, shares, starts, often, unmet))
                 held += -(-len(c) // CONTEXT)
@@ -324,13 +422,12 @@ def score_texts(
     )
     asked = scored.select("key", F.explode(F.arrays_zip("word", "logs")).alias("a")).select("key", "a.word", "a.logs")
     met = asked.join(words, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    own = F.when(F.col("c") > 0, F.log(F.col("c") / max(1, total)) + log_share)
+    own = F.log(F.col("c") + 0.5) - log_total * float(np.log(10)) + log_share
 
     def mixed(log: Column) -> Column:
-        """Log of the sum of both shares; an unknown word has the model's alone."""
+        """Log of the sum of both shares."""
         model_log = log + log_rest
-        both = F.greatest(model_log, own) + F.log1p(F.exp(-F.abs(model_log - own)))
-        return F.coalesce(both, model_log)
+        return F.greatest(model_log, own) + F.log1p(F.exp(-F.abs(model_log - own)))
 
     k = F.size("logs").cast("long")
     cold = met.groupBy("key").agg(

@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -73,9 +74,42 @@ def test_rare_words_enter_the_score_with_their_counts(spark, vocabulary, monkeyp
 
 
 def test_every_window_trains(spark, vocabulary):
+    rules = lm_score.LmRules(rounds=1)
+
     def scores(third):
         texts = ["one two three"] * 2 + [third] + ["one two three"] * 5 + ["blue red", "red blue"]
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-        return sorted((r.doc_id, r.score) for r in lm_score.score_texts(docs, F.col("doc_id") >= 8, vocabulary).collect())[8:]
+        found = lm_score.score_texts(docs, F.col("doc_id") >= 8, vocabulary, rules=rules)
+        return sorted((r.doc_id, r.score) for r in found.collect())[8:]
 
     assert scores("red blue green") != scores("green blue red")  # equal counts
+
+
+def test_scores_do_not_depend_on_the_split(spark, tiny_dir, vocabulary):
+    docs = spark.read.parquet(f"{tiny_dir}/documents.parquet").select("doc_id", "text")
+    rules = lm_score.LmRules(part_ids=40_000)
+    found = []
+    for parts in (1, 7):
+        scored = lm_score.score_texts(docs.repartition(parts), fold("doc_id", 5) == 1, vocabulary, rules=rules)
+        found.append(sorted((r.doc_id, r.n_tokens, round(r.base_score, 6), round(r.score, 6)) for r in scored.collect()))
+    assert found[0] == found[1]
+
+
+def test_scores_beat_the_base_in_both_folds(spark, tiny_dir, vocabulary):
+    larger = tiny_dir.replace("sf0.001", "sf0.01")  # 1,000 documents
+    docs = spark.read.parquet(f"{larger}/documents.parquet").select("doc_id", "text")
+    held = fold("doc_id", 5) == 1
+    scored = lm_score.score_texts(docs, held, vocabulary).groupBy(held.alias("h"))
+    sums = {r.h: r for r in scored.agg(F.sum("score").alias("model"), F.sum("base_score").alias("base")).collect()}
+    assert sums[True].model > sums[True].base and sums[False].model > sums[False].base
+
+
+def test_classes_follow_what_stands_beside(spark, vocabulary):
+    """Ids of two languages that never meet fall into different classes."""
+    r = np.random.default_rng(0)
+    table = np.zeros((400, lm_score.TRAITS + 1))
+    table[:, 0] = r.integers(5, 500, 400)
+    side = np.where(np.arange(400) % 2, 1, -1)[:, None] * r.integers(1, 3, lm_score.TRAITS)
+    table[:, 1:] = np.rint((side + r.normal(size=(400, lm_score.TRAITS)) * 0.2) * table[:, :1])
+    of = lm_score.Classes(table, 10, lm_score.LmRules(own_classes=4)).of
+    assert not set(of[::2]) & set(of[1::2])
