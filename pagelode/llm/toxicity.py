@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..operators.joins import join_small
 from ..session import stage
-from .common import sha256, text_or_empty
+from .common import free_name, sha256, text_or_empty
 
 _WORD = re.compile(r"[^\W\d_]+")
 _QUOTES = frozenset("\"'“”„«»‘’‹›")
@@ -88,14 +88,21 @@ class Trie:
         and must then agree up to a term's end. What follows there is a longer form.
         """
         found: dict[str, float] = {}
-        node, at = self.root, 0
+        node, at, size = self.root, 0, len(word)
         while node is not None:
-            self._ends(node, word, at + 1, found)
+            here = word[at] if at < size else None
+            after = word[at + 1] if at + 1 < size else None
+            # an error leads on only where a term ends or the next letter goes on
+            if after in node or "" in node:
+                self._ends(node, word, at + 1, found)
             for letter, below in node.items():
                 if letter:
-                    self._ends(below, word, at, found)
-                    self._ends(below, word, at + 1, found)
-            node = node.get(word[at]) if at < len(word) else None
+                    ends = "" in below
+                    if ends or here in below:
+                        self._ends(below, word, at, found)
+                    if ends or after in below:
+                        self._ends(below, word, at + 1, found)
+            node = node.get(here)
             at += 1
         return found
 
@@ -181,12 +188,12 @@ def _training(docs, labels, doc_id, text, fold):
 
 
 def _different(rows: DataFrame) -> DataFrame:
-    """``rows`` with each text once for each label.
+    """``rows`` with each text once for each label, and its digest ``_mark``.
 
     Counted once each, copies of one text cannot make all its words telling; texts that
     differ anywhere all count.
     """
-    return rows.withColumn("_mark", sha256("_text")).dropDuplicates(["_mark", "toxic"]).select("_id", "_text", "toxic")
+    return rows.withColumn("_mark", sha256("_text")).dropDuplicates(["_mark", "toxic"])
 
 
 def _lexicon(rows: DataFrame, sizes: dict, rules: ToxicityRules) -> dict[str, float]:
@@ -342,7 +349,10 @@ def score_toxicity(
         learned = _misspelled(rows, lexicon, sizes, rules)
         context = _context(rows, lexicon, learned, rules)
         model = sc.broadcast((lexicon, learned, context))
-        sample = rows.orderBy(F.xxhash64("_id"), "_id").limit(rules.sample).select("_text", "toxic")
+        # the places of the sample are told apart first: its texts stay spread over tasks
+        places = rows.select("_id", "_mark", "toxic").orderBy(F.xxhash64("_id"), "_id", "_mark", "toxic")
+        chosen = places.limit(rules.sample).select("_mark", "toxic")
+        sample = rows.join(F.broadcast(chosen), ["_mark", "toxic"]).select("_text", "toxic")
 
         def features(batches):
             scorer = Scorer(*model.value, rules)
@@ -373,5 +383,6 @@ def score_toxicity(
                 [*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*kept, "score"]
             )
 
-    scored = docs.select(*kept, text_or_empty(text).alias("_text")).mapInArrow(run, schema)
+    carried = free_name("_text", kept)
+    scored = docs.select(*kept, text_or_empty(text).alias(carried)).mapInArrow(run, schema)
     return scored.withColumn("predicted", (F.col("score") >= rules.threshold).cast("int"))
