@@ -33,11 +33,12 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.joins import join_small
 from ..session import stage
-from .common import text_or_empty
+from .common import free_name, text_or_empty
 
 #: Hashed frequency classes of the first order, and how many travel in one row.
 BUCKET_BITS, CHUNKS = 18, 8
@@ -47,7 +48,11 @@ FAN_IN = 256
 FREQUENT = 32
 #: Percent of a set that the first prefixes hold.
 REACH = 40
-KEPT_HASHES = 400_000
+#: Buckets with this many shingles, and this many times the mean, are full.
+FULL_BUCKET, FULL_TIMES = 1000, 64
+#: Shingles that leave a worker together.
+HELD_SHINGLES = 250_000
+KEPT_HASHES = 300_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -97,52 +102,69 @@ def reach(n: int, percent: int) -> int:
     return max(n - need(n, percent) + 1, -(-REACH * n // 100))
 
 
+def _may_differ(n, percent: int):
+    """True if a set of ``n`` shingles may link with one that differs from it.
+
+    The closest other set has one shingle more, a similarity of n / (n + 1).
+    """
+    return n * (100 - percent) >= percent
+
+
 def _sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    content = text_or_empty(text)
     return docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
-        text_or_empty(text).cast("binary").alias("text"),
+        F.md5(content.cast("binary")).alias("key"),
+        content.cast("binary").alias("text"),
     )
 
 
 def _describe(texts: DataFrame, size: int) -> DataFrame:
-    """One pass: a row (doc_id, n, sig) for each document, and counts by bucket."""
-    schema = "doc_id long, n long, sig binary, class long, task long, chunk int, counts binary"
+    """One pass over the texts, the only one: a row for each document, and counts by bucket.
 
-    names = ["doc_id", "n", "sig", "class", "task", "chunk", "counts"]
+    Of a document: its id, the digest of its text, and its set with size and digest.
+    """
+    schema = (
+        "doc_id long, key string, n long, sig binary, class long, tokens array<long>, "
+        "task long, chunk int, counts binary"
+    )
+    names = ["doc_id", "key", "n", "sig", "class", "tokens", "task", "chunk", "counts"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()),
+             pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches):
         shingler = Shingler(size)
         counts = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
-        shift = np.uint64(64 - BUCKET_BITS)
         for batch in batches:
-            sets = [shingler(t) for t in batch.column("text").to_pylist()]
-            if any(len(s) for s in sets):
-                counts += np.bincount(
-                    (np.concatenate(sets) >> shift).astype(np.int64), minlength=len(counts)
+            begin = 0
+            while begin < batch.num_rows:
+                sets, held = [], 0
+                while begin + len(sets) < batch.num_rows and held < HELD_SHINGLES:
+                    sets.append(shingler(batch.column("text")[begin + len(sets)].as_py()))
+                    held += len(sets[-1])
+                k, part = len(sets), batch.slice(begin, len(sets))
+                whole = np.concatenate(sets)
+                counts += np.bincount(_bucket(whole), minlength=len(counts))
+                sigs = [digest(s) for s in sets]
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(whole.view(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id"),
+                        part.column("key"),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array(sigs, pa.binary()),
+                        pa.array(map(class_of, sigs), pa.int64()),
+                        tokens,
+                        *[pa.nulls(k, kind) for kind in kinds[6:]],
+                    ],
+                    names=names,
                 )
-            k = len(sets)
-            sigs = [digest(s) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(sigs, pa.binary()),
-                    pa.array(map(class_of, sigs), pa.int64()),
-                    pa.nulls(k, pa.int64()),
-                    pa.nulls(k, pa.int32()),
-                    pa.nulls(k, pa.binary()),
-                ],
-                names=names,
-            )
-        from pyspark import TaskContext
-
+                begin += k
         parts = np.split(counts, CHUNKS)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.nulls(CHUNKS, pa.int64()),
-                pa.nulls(CHUNKS, pa.int64()),
-                pa.nulls(CHUNKS, pa.binary()),
-                pa.nulls(CHUNKS, pa.int64()),
+                *[pa.nulls(CHUNKS, kind) for kind in kinds[:6]],
                 pa.array([TaskContext.get().partitionId()] * CHUNKS, pa.int64()),
                 pa.array(range(CHUNKS), pa.int32()),
                 pa.array([p.tobytes() for p in parts], pa.binary()),
@@ -153,6 +175,10 @@ def _describe(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, schema)
 
 
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
 def _bucket_counts(described: DataFrame) -> np.ndarray:
     """Counts of all buckets: a vector of fixed length, added up in two levels."""
 
@@ -171,45 +197,69 @@ def _bucket_counts(described: DataFrame) -> np.ndarray:
     return np.concatenate([found.get(c, empty) for c in range(CHUNKS)])
 
 
-def _prefixes(texts: DataFrame, size: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """Rows (token, class): first prefixes under the order by bucket counts."""
-    shared = texts.sparkSession.sparkContext.broadcast(counts)
-    shift = np.uint64(64 - BUCKET_BITS)
+def _prefixes(rows: DataFrame, percent: int, counts: np.ndarray) -> DataFrame:
+    """Rows (token, class, m): first prefixes under the order by bucket counts.
+
+    Tokens of very full buckets are not looked up at all: they count as shared, m of
+    them in a row without a token. That can only let more classes pass, and no token
+    gathers a large part of all classes in one task.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(counts)
+    full = max(FULL_BUCKET, FULL_TIMES * int(counts.mean()))
+    sets = rows.filter(_may_differ(F.col("n"), percent)).select("class", "tokens")
 
     def run(batches):
-        shingler, order = Shingler(size), shared.value
+        order = shared.value
         for batch in batches:
-            tokens, classes = [], []
-            for text in batch.column("text").to_pylist():
-                s = shingler(text)
-                n = len(s)
-                if need(n, percent) < 4:  # such a set links only with its equals
-                    continue
-                length = reach(n, percent)
-                best = np.lexsort((s, order[(s >> shift).astype(np.int64)]))[:length]
-                tokens.append(s[best])
-                classes.append(np.full(length, class_of(digest(s)), np.int64))
-            if tokens:
+            column = batch.column("tokens")
+            ends = column.offsets.to_numpy()
+            whole = column.values.to_numpy().view(np.uint64)
+            names = batch.column("class").to_numpy()
+            begin = 0
+            while begin < len(names):  # a part of the batch at a time
+                to = int(np.searchsorted(ends, ends[begin] + HELD_SHINGLES, side="right")) - 1
+                to = max(begin + 1, min(to, len(names)))
+                tokens, classes, often = [], [], np.zeros(to - begin, np.int64)
+                for i in range(begin, to):
+                    s = whole[ends[i] : ends[i + 1]]
+                    n = order[_bucket(s)]
+                    # a set is sorted, so equal counts stay in the order of shingles
+                    best = np.argsort(n, kind="stable")[: reach(len(s), percent)]
+                    rare = best[n[best] < full]
+                    tokens.append(s[rare])
+                    classes.append(np.full(len(rare), names[i], np.int64))
+                    often[i - begin] = len(best) - len(rare)
+                token = np.concatenate(tokens).view(np.int64)
+                many = np.flatnonzero(often)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate(tokens).view(np.int64)),
-                        pa.array(np.concatenate(classes)),
+                        pa.array(np.concatenate([token, np.zeros(len(many), np.int64)]),
+                                 mask=np.arange(len(token) + len(many)) >= len(token)),
+                        pa.array(np.concatenate([*classes, names[begin:to][many]])),
+                        pa.array(np.concatenate([np.zeros(len(token), np.int64), often[many]]),
+                                 mask=np.arange(len(token) + len(many)) < len(token)),
                     ],
-                    names=["token", "class"],
-                )
+                    names=["token", "class", "m"],
+                )
+                begin = to
 
-    return texts.mapInArrow(run, "token long, class long")
+    return sets.mapInArrow(run, "token long, class long, m long")
 
 
 def shared_counts(batches):
-    """Rows (class, m) from sorted batches (token, class): shared tokens of each class.
+    """Rows (class, m) from sorted batches (token, class, m): shared tokens of each class.
 
     A run of one token may span batches. Its first class is told as soon as another one
-    turns up; of equal rows one counts. Only the end of a batch is kept.
+    turns up; of equal rows one counts. Only the end of a batch is kept. Rows that have
+    an m already pass through.
     """
     last = (None, None)  # row before this batch
     first, told = None, False  # of the run that the row belongs to
     for batch in batches:
+        done = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+        if done.any():
+            yield batch.filter(pa.array(done)).select(["class", "m"])
+            batch = batch.filter(pa.array(~done))
         t, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if not len(t):
             continue
@@ -234,7 +284,9 @@ def shared_counts(batches):
 
 def _sharing(prefixes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Classes that share enough prefix tokens with others to link with one."""
-    dealt = prefixes.repartition("token").sortWithinPartitions("token", "class")
+    # rows without a token go along by their class and come out as they are
+    spread = prefixes.withColumn("token", F.coalesce("token", "class"))
+    dealt = spread.repartition("token").sortWithinPartitions("token", "class")
     counted = dealt.mapInArrow(shared_counts, "class long, m long")
     counted = counted.groupBy("class").agg(F.sum("m").alias("m"))
     sizes = rows.groupBy("class").agg(F.min("n").alias("n"))
@@ -244,28 +296,11 @@ def _sharing(prefixes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return counted.join(sizes, "class").filter(F.col("m") >= least).select("class")
 
 
-def _candidate_sets(texts: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
+def _candidate_sets(rows: DataFrame, percent: int, wanted: DataFrame) -> DataFrame:
     """Rows (sig, n, tokens) of the candidate classes, each once."""
-
-    def run(batches):
-        shingler = Shingler(size)
-        for batch in batches:
-            sets = [s for s in map(shingler, batch.column("text").to_pylist()) if len(s) >= 4]
-            sigs = [digest(s) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(map(class_of, sigs), pa.int64()),
-                    pa.array(sigs, pa.binary()),
-                    pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-                ],
-                names=["class", "sig", "tokens"],
-            )
-
-    sets = texts.mapInArrow(run, "class long, sig binary, tokens array<long>")
+    sets = rows.filter(_may_differ(F.col("n"), percent))
     found = join_small(sets, wanted, ["class"], "left_semi")
-    return found.dropDuplicates(["sig"]).select(
-        "sig", F.size("tokens").cast("long").alias("n"), "tokens"
-    )
+    return found.dropDuplicates(["sig"]).select("sig", "n", "tokens")
 
 
 def _index(sets: DataFrame, percent: int) -> DataFrame:
@@ -400,6 +435,25 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
     return links.union(_verified(left, sets, percent))
 
 
+def _components(
+    docs: DataFrame, doc_id: str, text: str, size: int, percent: int
+) -> tuple[DataFrame, DataFrame]:
+    """Written rows (doc_id, key, n, sig) of all documents and (sig, root) of their sets."""
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be above 50, at most 100")
+    described = stage(_describe(_sets(docs, doc_id, text), size), "ngram-sets")
+    rows = described.filter("sig is not null")
+    prefixes = _prefixes(rows, percent, _bucket_counts(described))
+    wanted = stage(_sharing(prefixes, rows, percent), "ngram-candidates")
+    sets = stage(_candidate_sets(rows, percent, wanted), "candidate-sets")
+    roots = stage(components(class_links(sets, percent)), "ngram-components")
+    classes = rows.filter("n > 0").select("sig").distinct()
+    named = classes.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn(
+        "root", F.coalesce("root", "sig")
+    )
+    return rows.select("doc_id", "key", "n", "sig"), stage(named, "ngram-classes")
+
+
 def ngram_components(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -412,25 +466,16 @@ def ngram_components(
     Words are runs without ASCII white space, A-Z in lower case. A text of fewer than
     ``size`` words is one shingle. Null and empty texts have none and link with
     nothing: their component is their own id. The component of others is the smallest
-    id that links reach; equal sets link, so repeated rows share a component. Null ids
-    take part but never name a component; the id is null only where all are.
+    id that links reach; equal sets link, so repeated rows share a component. Ids are
+    whole numbers. Null ids take part but never name a component; the id is null only
+    where all are. ``percent`` is above 50, up to 100: two linked sets that differ then
+    share two shingles at least, which combinations rely on.
     """
-    texts = _sets(docs, doc_id, text)
-    described = stage(_describe(texts, size), "ngram-sets")
-    rows = described.filter("sig is not null").select("doc_id", "n", "sig", "class")
-    counts = _bucket_counts(described)
-    prefixes = _prefixes(texts, size, percent, counts)
-    wanted = stage(_sharing(prefixes, rows, percent), "ngram-candidates")
-    sets = stage(_candidate_sets(texts, size, wanted), "candidate-sets")
-    roots = stage(components(class_links(sets, percent)), "ngram-components")
-
-    classes = rows.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("low"))
-    named = classes.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn(
-        "root", F.coalesce("root", "sig")
-    )
-    named = stage(named, "ngram-classes")
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    final = named.join(lowest, "root").select("sig", "component_id")
+    rows, final = _components(docs, doc_id, text, size, percent)
+    # copies meet in one row for each set before sets meet their component
+    low = rows.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("low"))
+    lowest = low.join(final, "sig").groupBy("root").agg(F.min("low").alias("component_id"))
+    final = final.join(lowest, "root").select("sig", "component_id")
     linked = rows.filter("n > 0").join(final, "sig").select("doc_id", "n", "component_id")
     alone = rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return linked.union(alone).withColumnRenamed("n", "n_shingles")
@@ -439,14 +484,32 @@ def ngram_components(
 def one_of_each(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80
 ) -> DataFrame:
-    """``docs`` with one row of each component: that with the component's id.
+    """``docs`` with one row of each component: the smallest id, nulls last.
 
-    Rows that link with nothing stay, empty texts too. Of repeated rows with the
-    component's id, one stays. Rows without an id stay unless they link to one with.
+    Of rows with that id the smallest digest of the text counts, of equal rows any one.
+    Rows without a word link with nothing and all stay, repeated ones too.
     """
-    found = ngram_components(docs, doc_id, text, size, percent)
-    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_ngram_id")).distinct()
-    numbered = docs.withColumn("_ngram_id", F.col(doc_id).cast("long"))
-    named = numbered.join(keep, "_ngram_id", "left_semi").dropDuplicates(["_ngram_id"])
-    unnamed = numbered.filter("_ngram_id is null")
-    return named.unionByName(unnamed).drop("_ngram_id")
+    rows, final = _components(docs, doc_id, text, size, percent)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    low = rows.filter("n > 0").groupBy("sig").agg(F.min(order).alias("low"))
+    first = low.join(final, "sig").groupBy("root").agg(F.min("low").alias("first"))
+    number = free_name("_number", docs.columns)
+    key = free_name("_key", docs.columns)
+    chosen = first.select(
+        F.coalesce("first.doc_id", F.lit(0)).alias(number),
+        F.when(F.col("first.doc_id").isNull(), F.concat(F.lit("-"), "first.key"))
+        .otherwise(F.col("first.key")).alias(key),
+    )
+    content = text_or_empty(text)
+    digest_of = F.md5(content.cast("binary"))
+    given = F.col(doc_id).cast("long")
+    marked = docs.withColumns(
+        {
+            number: F.coalesce(given, F.lit(0)),
+            key: F.when(given.isNull(), F.concat(F.lit("-"), digest_of)).otherwise(digest_of),
+        }
+    )
+    worded = content.rlike(r"[^\x20\x09-\x0D]")
+    linked = marked.filter(worded).join(chosen, [number, key], "left_semi")
+    one = linked.dropDuplicates([number, key])
+    return one.unionByName(marked.filter(~worded)).drop(number, key)

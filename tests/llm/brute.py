@@ -48,7 +48,7 @@ def shingles(text: str | None) -> set[tuple]:
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
 
 
-def components(texts: dict[int, str | None]) -> dict[int, int]:
+def components(texts: dict[int, str | None], percent: int = 80) -> dict[int, int]:
     """Smallest id reachable by links, comparing all pairs."""
     sets = {k: shingles(t) for k, t in texts.items()}
     parent = {k: k for k in texts}
@@ -62,7 +62,7 @@ def components(texts: dict[int, str | None]) -> dict[int, int]:
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return {k: find(k) for k in ids}

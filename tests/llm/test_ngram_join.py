@@ -2,7 +2,9 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from pagelode.llm import ngram_join as N
 from pagelode.llm.ngram_join import components, ngram_components, one_of_each, shared_counts
 
 from .brute import components as brute_components, shingles
@@ -31,11 +33,22 @@ def corpus(seed):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_equal_all_pairs(spark, seed):
-    rows = corpus(seed)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_components(frame(spark, rows)).collect()}
-    wanted = brute_components(dict(rows))
+def short_sets(percent):
+    """Sets of few shingles around the bound, of words of their own."""
+    texts = []
+    for n in range(1, 9):
+        words = [f"p{n}w{i}" for i in range(n + 4)]
+        texts += [" ".join(words), " ".join(words + ["x"]), " ".join(words[1:]), " ".join(words + ["y", "z"])]
+    return [(1000 + i, t) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("percent, full", [(80, 1000), (60, 1000), (75, 3), (90, 1000)])
+def test_components_equal_all_pairs(spark, monkeypatch, percent, full):
+    monkeypatch.setattr(N, "FULL_BUCKET", full)  # shared by many: not looked up
+    rows = corpus(percent) + short_sets(percent)
+    found = ngram_components(frame(spark, rows), percent=percent)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()}
+    wanted = brute_components(dict(rows), percent)
     assert got == {i: (len(shingles(t)), wanted[i]) for i, t in rows}
 
 
@@ -55,7 +68,24 @@ def test_nulls_repeated_rows_and_empty_tables(spark):
         f"Row(doc_id={i}, n_shingles={n}, component_id={c})"
         for i, n, c in [(None, 2, 3), (3, 2, 3), (3, 2, 3), (None, 0, None), (7, 1, 7)]
     )
-    assert sorted(str(r.doc_id) for r in one_of_each(frame(spark, rows)).collect()) == ["3", "7", "None", "None"]
+    assert sorted(str(r.doc_id) for r in one_of_each(frame(spark, rows)).collect()) == ["3", "7", "None"]
+
+
+def test_one_of_each_tells_equal_ids_and_null_ids_apart(spark):
+    one, two = "one two three four five six", "other words stand in this text"
+    rows = [(7, one), (7, two), (7, two), (None, one), (None, "no id but words of its own"),
+            (None, "no id but words of its own"), (9, two), (7, ""), (7, ""), (None, None)]
+    docs = frame(spark, rows).withColumn("_number", F.lit("a")).withColumn("_key", F.lit(1))
+    kept = one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted(
+        [("7", one), ("7", two), ("None", "no id but words of its own"), ("7", ""), ("7", ""), ("None", "None")]
+    )
+
+
+def test_percent_has_bounds(spark):
+    with pytest.raises(ValueError):
+        ngram_components(frame(spark, [(1, "a b")]), percent=50)
 
 
 def test_components_of_a_long_chain(spark):
@@ -68,11 +98,19 @@ def test_components_of_a_long_chain(spark):
 def test_shared_counts_over_batches(cut):
     r = random.Random(cut)
     rows = sorted((r.randint(0, 9), r.randint(0, 4)) for _ in range(60))
+    done = [(r.randint(0, 9), r.randint(0, 4), r.randint(1, 5)) for _ in range(9)]
+    mixed = sorted([(t, c, -1) for t, c in rows] + done)
     batches = [
-        pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[i : i + cut])], names=["token", "class"])
-        for i in range(0, len(rows), cut)
-    ]
+        pa.RecordBatch.from_arrays(
+            [pa.array([x[0] for x in part]), pa.array([x[1] for x in part]),
+             pa.array([None if x[2] < 0 else x[2] for x in part], pa.int64())],
+            names=["token", "class", "m"],
+        )
+        for part in (mixed[i : i + cut] for i in range(0, len(mixed), cut))
+    ]
     got = {}
+    for _, c, m in done:
+        got[c] = got.get(c, 0) - m
     for batch in shared_counts(iter(batches)):
         for c, m in zip(*(x.to_pylist() for x in batch.columns)):
             got[c] = got.get(c, 0) + m
@@ -83,4 +121,4 @@ def test_shared_counts_over_batches(cut):
     for found in by_token.values():
         for c in found if len(found) > 1 else ():
             wanted[c] = wanted.get(c, 0) + 1
-    assert got == wanted
+    assert {c: m for c, m in got.items() if m} == wanted
