@@ -567,9 +567,10 @@ def stream_ingest(spark, folder):
     """All pages through the stream into a log, read back as current documents."""
     schema = views.table(spark, folder, "pages").schema
     log = scratch_path(spark, "log")
+    # a pattern, as a stream takes no path of one file; a folder of part files matches too
     ingest_stream(
-        spark, folder, schema, log, scratch_path(spark, "stream"),
-        content="html", options={"pathGlobFilter": "pages.parquet"},
+        spark, f"{folder}/pages.parque[t]", schema, log, scratch_path(spark, "stream"),
+        content="html",
     ).awaitTermination()
     docs = L.latest_documents(L.read_log(spark, log))
     return docs.select(

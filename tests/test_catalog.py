@@ -67,3 +67,11 @@ def test_entry_registers_all(spark):
 
 def test_entry_runs(spark):
     assert importlib.reload(entry_point).entry(spark).columns
+
+
+def test_a_table_of_part_files_is_streamed_whole(spark, tmp_path):
+    rows = [(n, f"https://h{n}.example/", f"<title>T{n}</title><p>Text {n}</p>") for n in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    found = QUERIES["stream_ingest"](spark, str(tmp_path))
+    assert sorted(r["url"] for r in found.collect()) == sorted(url for _, url, _ in rows)
