@@ -11,9 +11,13 @@ from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.shards import shard_column
+
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
+#: Bytes of a stored table behind one task of what is dealt out from it.
+TASK_BYTES = 8 * 1024 * 1024
 
 
 _SIZES: WeakKeyDictionary = WeakKeyDictionary()
@@ -78,3 +82,16 @@ def shuffle_join(
         "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
     )
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def deal_by(df: DataFrame, key: str, stored: DataFrame) -> DataFrame:
+    """``df`` dealt by ``key``, in parts whose number grows with the table it stems from.
+
+    What is then grouped by ``key`` and other columns needs no further shuffle, and a
+    task holds about as much on a large table as on a small one.
+    """
+    if shard_column(stored) is None:  # not a stored table: its size is not known
+        return df.repartition(key)
+    size = int(str(stored._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, size // TASK_BYTES + 1), key)

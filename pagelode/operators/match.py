@@ -15,7 +15,7 @@ from ..functions.shards import align_shards
 from ..functions.text import clean_query
 from ..session import stage
 from .analyze import TEXT_FIELDS, Analyzer
-from .joins import join_small
+from .joins import deal_by, fits_broadcast, join_small, shuffle_join
 
 TERM_KEY = ["field", "term"]
 MASK_BITS = 62
@@ -62,10 +62,46 @@ def match_terms(
     return join_small(postings, wanted, TERM_KEY + shard, spread=["url"], bound=bound)
 
 
+def match_by_document(
+    postings: DataFrame, query_terms: DataFrame, bound: DataFrame | None = None
+) -> DataFrame:
+    """``match_terms`` without positions, all rows of a url in one task.
+
+    The postings of the terms asked for are dealt by url, each once; only then do the
+    queries join that ask for them. A word of very many queries costs no shuffle for
+    each, and what groups by query and url runs inside the parts.
+    """
+    wanted = query_terms.filter(F.length("term") > 0)
+    aligned, shard = align_shards(postings, wanted, "term")
+    narrow = postings.drop("positions", *shard)
+    if not fits_broadcast(wanted if bound is None else bound):
+        return shuffle_join(postings, aligned, TERM_KEY + shard, spread=["url"]).select(
+            *narrow.columns, *[c for c in wanted.columns if c not in TERM_KEY]
+        )
+    terms = aligned.select(*TERM_KEY, *shard).distinct()
+    found = postings.join(F.broadcast(terms), TERM_KEY + shard, "left_semi")
+    dealt = deal_by(found.select(*narrow.columns), "url", postings)
+    return dealt.join(F.broadcast(wanted), TERM_KEY)
+
+
+def look_up(postings: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Postings joined with the (field, term, url) of ``wanted``.
+
+    If those are too many for a broadcast, only the postings of their terms travel.
+    """
+    wanted, shard = align_shards(postings, wanted, "term")
+    on = [*TERM_KEY, "url", *shard]
+    if fits_broadcast(wanted):
+        return postings.join(F.broadcast(wanted), on)
+    terms = wanted.select(*TERM_KEY, *shard).distinct()
+    few = join_small(postings, terms, [*TERM_KEY, *shard], "left_semi")
+    return few.join(wanted, on)
+
+
 def match_field(postings: DataFrame, query_terms: DataFrame, field: str) -> DataFrame:
     """Documents whose ``field`` holds a term: (query_id, term_no, url, tf)."""
     one_field = postings.filter(F.col("field") == field)
-    matched = match_terms(one_field, query_terms.filter(F.col("field") == field))
+    matched = match_by_document(one_field, query_terms.filter(F.col("field") == field))
     return matched.select("query_id", "n_terms", "term_no", "field", "url", "tf")
 
 
@@ -74,7 +110,7 @@ def match_multi(
 ) -> DataFrame:
     """Documents holding a term in any of ``fields``: (query_id, term_no, url)."""
     chosen = F.col("field").isin(fields)
-    matched = match_terms(postings.filter(chosen), query_terms.filter(chosen))
+    matched = match_by_document(postings.filter(chosen), query_terms.filter(chosen))
     return matched.groupBy("query_id", "n_terms", "term_no", "url").agg(
         F.count("*").alias("n_fields")
     )
@@ -126,44 +162,39 @@ def match_phrase(
     may repeat. Result: (query_id, url, field, start).
 
     The rarest word of a phrase names the candidate documents and the starts they
-    allow; a phrase with a word that ``term_stats`` lacks has none. Every other word is
-    looked up in those documents alone, and its positions are intersected with the
-    starts inside the row. Positions of common words are never laid out as rows.
+    allow; a phrase with a word that ``term_stats`` lacks has none. Its next rarest word,
+    looked up in those documents, leaves few; every other word is looked up in what is
+    left, and its positions are intersected with the starts inside the row. Positions of
+    common words are never laid out as rows.
     """
     known = join_small(
         phrases, term_stats, TERM_KEY, spread=["query_id", "term_no"], bound=phrases
     )
-    word = F.struct("term_no", "term")
     whole = (
         known.groupBy("query_id", "field", "n_terms")
-        .agg(F.min(F.struct("df", "term_no", "term")).alias("rare"), F.collect_list(word).alias("words"))
+        .agg(F.sort_array(F.collect_list(F.struct("df", "term_no", "term"))).alias("words"))
         .filter("size(words) = n_terms")
     )
-    first = whole.select("query_id", "field", "n_terms", "rare.term", "rare.term_no", "words")
+    rarest = F.col("words")[0]
+    first = whole.select("query_id", "field", "n_terms", rarest["term"].alias("term"), rarest["term_no"].alias("term_no"), "words")
     shifted = F.transform("positions", lambda p: p - F.col("term_no"))
     candidates = match_terms(postings, first, bound=phrases).select(
         "query_id", "field", "n_terms", "url", "words",
-        F.col("term_no").alias("rare_no"),
         F.filter(shifted, lambda p: p >= 0).alias("starts"),
     )
-    # the probe and both uses below read them: written once
+    # the probes and all uses below read them: written once
     candidates = stage(candidates, "phrase-candidates")
-    wanted = candidates.select(
-        "query_id", "field", "n_terms", "url", "starts",
-        F.inline(F.expr("filter(words, w -> w.term_no <> rare_no)")),
-    )
-    wanted, shard = align_shards(postings, wanted, "term")
-    others = join_small(postings, wanted, [*TERM_KEY, "url", *shard])
+    key = ["query_id", "field", "n_terms", "url"]
+    left = _beside_next_rarest(postings, candidates, key)
+    wanted = left.select(*key, "starts", F.inline(F.expr("slice(words, 2, n_terms - 1)")))
     hits = (
-        others.select(
-            "query_id", "field", "n_terms", "url",
-            F.array_intersect("starts", shifted).alias("starts"),
-        )
+        look_up(postings, wanted)
+        .select(*key, F.array_intersect("starts", shifted).alias("starts"))
         .filter("size(starts) > 0")
-        .groupBy("query_id", "field", "n_terms", "url")
+        .groupBy(*key)
         .agg(F.collect_list("starts").alias("all"))
         .filter("size(all) = n_terms - 1")
-    )
+    )
     common = F.expr("aggregate(all, all[0], (a, b) -> array_intersect(a, b))")
     several = hits.select("query_id", "url", "field", F.explode(common).alias("start"))
     single = candidates.filter("n_terms = 1").select(
@@ -172,6 +203,19 @@ def match_phrase(
     return several.unionByName(single)
 
 
+def _beside_next_rarest(postings: DataFrame, candidates: DataFrame, key: list) -> DataFrame:
+    """Candidates with their phrase's next rarest word where some start allows it."""
+    longer = candidates.filter("n_terms > 1")
+    following = F.col("words")[1]
+    wanted = longer.select(*key, "starts", following["term"].alias("term"), following["term_no"].alias("term_no"))
+    places = F.transform("positions", lambda p: p - F.col("term_no"))
+    beside = look_up(postings, wanted).filter(F.arrays_overlap("starts", places)).select(*key)
+    beside = stage(beside, "phrase-pairs").distinct()
+    same = [longer[c].eqNullSafe(beside[c]) for c in key]
+    few = F.broadcast(beside) if fits_broadcast(beside) else beside
+    return stage(longer.join(few, same, "left_semi"), "phrase-left")
+
+
 def phrase_terms(
     queries: DataFrame, analyzer: Analyzer = Analyzer(), fields: list[str] = TEXT_FIELDS
 ) -> DataFrame:
@@ -220,13 +264,20 @@ def match_prefix(
     """Documents with a term of ``field`` that starts with the prefix: (query_id, url).
 
     Prefixes are looked up in the vocabulary, each distinct one once; the postings see
-    one join on field and term, so only the directories of found terms are read.
+    one join on field and term, so only the directories of found terms are read. If the
+    terms found are too many for a broadcast, the postings offer their own leading
+    characters instead: the prefixes, not the vocabulary, bound that join. What is found
+    is dealt by url once and grouped there.
     """
     vocabulary = term_stats.filter(F.col("field") == field).select("field", "term")
-    found = expand_prefixes(vocabulary, prefixes.select("prefix").distinct())
+    sought = prefixes.select("prefix").distinct()
+    found = expand_prefixes(vocabulary, sought)
     terms, shard = align_shards(postings, found, "term")
     in_field = postings.filter(F.col("field") == field)
-    matched = join_small(in_field, terms, [*TERM_KEY, *shard], spread=["url"])
-    per_prefix = matched.select("prefix", "url").distinct()
+    if fits_broadcast(found):
+        matched = in_field.join(F.broadcast(terms), [*TERM_KEY, *shard])
+    else:
+        matched = expand_prefixes(in_field.select("term", "url"), sought)
+    per_prefix = deal_by(matched.select("prefix", "url"), "url", postings).distinct()
     asked = prefixes.select("query_id", "prefix")
     return match_any(join_small(per_prefix, asked, ["prefix"], spread=["url"]))

@@ -10,8 +10,8 @@ from ..functions.shards import align_shards, shard_column
 from ..functions.text import clean_query, snippet
 from ..session import stage
 from .analyze import TEXT_FIELDS, Analyzer
-from .joins import join_small
-from .match import MASK_BITS, covers_all_terms, match_phrase, match_prefix, match_terms
+from .joins import deal_by, join_small
+from .match import MASK_BITS, covers_all_terms, look_up, match_by_document, match_phrase, match_prefix
 
 # Scores are compared at this many decimals: the order of hits then does not
 # depend on the order in which partial sums arrive.
@@ -69,7 +69,7 @@ def posting_scores(
     postings: DataFrame, weighted: DataFrame, query_terms: DataFrame, k1: float, b: float
 ) -> DataFrame:
     """BM25 share of each matching posting."""
-    return match_terms(postings, weighted, bound=query_terms).select(
+    return match_by_document(postings, weighted, bound=query_terms).select(
         "query_id", "n_terms", "term_no", "url", bm25_share(k1, b).alias("share")
     )
 
@@ -170,9 +170,8 @@ def scored_matches(
     heavy = weigh_terms(phrase_words, term_stats, field_stats)
     # documents that hold a phrase are few beside the postings of its words
     wanted = stage(join_small(holding, heavy, ["query_id", "field"], bound=phrase_words), "phrase-words")
-    wanted, shard = align_shards(postings, wanted, "term")
-    in_phrase = join_small(postings, wanted, ["field", "term", "url", *shard])
-    met.append(in_phrase.select("query_id", "url", bm25_share(k1, b).alias("share")))
+    in_phrase = look_up(postings, wanted).select("query_id", "url", bm25_share(k1, b).alias("share"))
+    met.append(deal_by(in_phrase, "url", postings))
 
     heads = of_kind("prefix").select(
         F.struct("query_id", "unit", "occur").alias("query_id"), F.get("words", F.lit(0)).alias("prefix")

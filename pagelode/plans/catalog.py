@@ -337,8 +337,8 @@ def match_any(spark, folder):
 def match_exclude(spark, folder):
     terms = _query_terms(spark, folder)
     index = _postings(spark, folder)
-    wanted = M.match_any(M.match_terms(index, terms.filter("term_no = 0")))
-    unwanted = M.match_any(M.match_terms(index, terms.filter("term_no > 0")))
+    wanted = M.match_any(M.match_by_document(index, terms.filter("term_no = 0")))
+    unwanted = M.match_any(M.match_by_document(index, terms.filter("term_no > 0")))
     return M.match_exclude(wanted, unwanted)
 
 

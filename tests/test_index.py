@@ -12,6 +12,7 @@ from pagelode.operators.match import (
     analyze_queries,
     match_all,
     match_any,
+    match_by_document,
     match_exclude,
     match_field,
     match_multi,
@@ -352,3 +353,51 @@ def test_a_failed_build_leaves_the_published_index(spark, tmp_path):
     assert [r.url for r in read_index(spark, path).documents.collect()] == ["a"]
     write_index(docs("b", "c"), path, PLAIN, shards=2)
     assert read_index(spark, path).documents.count() == 2
+
+
+def test_scores_group_where_postings_are_dealt_by_url(spark, docs, tmp_path, monkeypatch):
+    """One shuffle of postings, not of (query, url) pairs, in parts that follow the table's size."""
+    index = write_index(docs, str(tmp_path / "index"), PLAIN, shards=2)
+    terms = analyze_queries(ask(spark, "red fox", "fox", "quick fox"), PLAIN)
+    for task_bytes, parts in ((1 << 40, spark.sparkContext.defaultParallelism), (100, None)):
+        monkeypatch.setattr(joins, "TASK_BYTES", task_bytes)
+        scored = bm25(index.postings, terms, index.term_stats, index.field_stats, require_all=False)
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(url" in line]
+        assert len(dealt) == 1 and "hashpartitioning(query_id" not in plan
+        n = int(dealt[0].split(", ")[1].split(")")[0])
+        assert n == parts if parts else n > spark.sparkContext.defaultParallelism
+        every = {(q, u) for q in range(3) for u in ("d1", "d3", "d5")}
+        assert pairs(scored) == every | {(0, "d2")}
+
+
+def test_many_terms_of_a_prefix_are_found_without_the_vocabulary(spark, docs, tmp_path, monkeypatch):
+    index = write_index(docs, str(tmp_path / "index"), PLAIN, shards=2)
+    prefixes = spark.createDataFrame([(0, "re"), (1, "fo"), (2, "redd"), (3, None)], "query_id long, prefix string")
+    wanted = pairs(match_prefix(index.postings, prefixes, "title", index.term_stats))
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 3)  # three prefixes fit, their four terms do not
+    found = match_prefix(index.postings, prefixes.filter("prefix is not null"), "title", index.term_stats)
+    assert pairs(found) == wanted == {(0, "d1"), (0, "d5"), (1, "d1"), (1, "d2"), (2, "d5")}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "term_stats" not in plan and "pmod" not in plan
+
+
+def test_phrases_of_common_words_meet_in_few_documents(spark, docs, tmp_path, monkeypatch):
+    index = write_index(docs, str(tmp_path / "index"), PLAIN, shards=2)
+    asked = ask(spark, "quick red fox", "red fox red", "quick quick fox", "fox", "fox red fox")
+    phrases = phrase_terms(asked, PLAIN, ["content"])
+
+    def places():
+        return sorted((r.query_id, r.url, r.start) for r in match_phrase(index.postings, phrases, index.term_stats).collect())
+
+    small = places()
+    assert (0, "d1", 0) in small and (4, "d5", 30) in small and (2, "d5", 28) in small
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    assert places() == small
+
+
+def test_repeated_urls_match_once(spark, docs, tmp_path):
+    index = write_index(docs.unionByName(docs), str(tmp_path / "index"), PLAIN, shards=2)
+    terms = analyze_queries(ask(spark, "red fox"), PLAIN, ["title"])
+    assert match_by_document(index.postings, terms).count() == match_terms(index.postings, terms).count()
+    assert match_any(match_multi(index.postings, terms, ["title"])).count() == 1
