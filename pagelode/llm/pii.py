@@ -41,6 +41,8 @@ PATTERNS = {
 NEEDED = {"email": "@", "ip": ".", "phone": "+"}
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 TERM = r"\p{L}[\p{L}\p{M}'-]+"
+#: Units of several documents, as many as are broadcast (8 bytes each).
+SHARED_UNITS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -158,6 +160,25 @@ def _classes(rows: DataFrame, name: str, label: str) -> DataFrame:
     return counted.select(name, F.col("n").alias(f"n_{label}"), F.xxhash64("n", "x", "y").alias(f"{label}_class"))
 
 
+def _counted_units(documents: DataFrame) -> DataFrame:
+    """Units with their number of documents: (unit, copies)."""
+    return stage(documents.groupBy("unit").agg(F.count("*").alias("copies")), "pii-units")
+
+
+def _unit_terms(documents: DataFrame, units: DataFrame, exploded) -> DataFrame:
+    """Distinct (unit, term) of all documents.
+
+    The words of a document are distinct, so only units of several documents are shuffled
+    to make them so; the words of the others go on as they are, to be counted in place.
+    """
+    shared = units.filter("copies > 1").select("unit")
+    if shared.count() > SHARED_UNITS:
+        return exploded(documents).distinct()
+    shared = F.broadcast(shared)
+    alone = exploded(documents.join(shared, "unit", "left_anti"))
+    return alone.unionByName(exploded(documents.join(shared, "unit", "left_semi")).distinct())
+
+
 def disclosing_terms(
     entities: DataFrame, own_terms: DataFrame, unit_terms: DataFrame, total: DataFrame, limits: Disclosure
 ) -> DataFrame:
@@ -219,9 +240,10 @@ def find_pii(
     staged = stage(scanned.filter("size(spans) > 0").dropDuplicates(["key"]), "pii-found")
     entity = lambda s: F.concat_ws(":", s["rank"], F.lower(s["value"]))
     entities = staged.select("unit", F.explode(F.transform("spans", entity)).alias("entity")).distinct()
-    worded = lambda df: df.select("unit", F.explode(F.array_distinct(_terms("_text"))).alias("term")).distinct()
-    own_terms, unit_terms = worded(staged), worded(scanned)
-    total = scanned.agg(F.count_distinct("unit").alias("n"))  # one row
+    worded = lambda df: df.select("unit", F.explode(F.array_distinct(_terms("_text"))).alias("term"))
+    units = _counted_units(scanned)
+    own_terms, unit_terms = worded(staged).distinct(), _unit_terms(scanned, units, worded)
+    total = units.agg(F.count("*").alias("n"))  # one row
     told = disclosing_terms(entities, own_terms, unit_terms, total, limits).groupBy("unit").agg(F.collect_set("term").alias("told"))
     hits = F.regexp_extract_all(F.col("_text"), F.lit(TERM), F.lit(0))
     chosen = lambda hit: F.array_contains("told", F.lower(hit))

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from pagelode.llm import pii
 from pagelode.llm.pii import Disclosure, find_pii, sanitise
 
 from .brute import pii_base
@@ -102,3 +103,19 @@ def test_all_entities_of_a_document_meet_its_terms_as_one_class(spark):
     texts = [" ".join(f"m{i}@x.org Name{chr(97 + i)}" for i in range(26))] + [f"plain text {i}" for i in range(120)]
     (row,) = [r for r in find_pii(frame(spark, texts)).collect() if r.doc_id == 0]
     assert sum(s.kind == "term" for s in row.pii) == sum(s.kind == "email" for s in row.pii) == 26
+
+
+def test_only_words_of_copies_are_shuffled_to_be_distinct(spark, monkeypatch):
+    texts = ["call Zorblat at zq@x.org", "some alpha words"] + ["some beta words"] * 3 + [None, ""]
+    docs = frame(spark, texts).select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("unit"), F.coalesce("text", F.lit("")).alias("_text"))
+    worded = lambda df: df.select("unit", F.explode(F.array_distinct(pii._terms("_text"))).alias("term"))
+    wanted = sorted(map(tuple, worded(docs).distinct().collect()))
+    units = pii._counted_units(docs)
+    assert units.agg(F.count("*")).first()[0] == docs.select("unit").distinct().count()
+    found = pii._unit_terms(docs, units, worded)
+    assert sorted(map(tuple, found.collect())) == wanted
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    alone = plan[plan.index("Union") : plan.index("LeftSemi")]
+    assert "LeftAnti" in alone and alone.count("hashpartitioning(unit") == 1
+    monkeypatch.setattr(pii, "SHARED_UNITS", 0)
+    assert sorted(map(tuple, pii._unit_terms(docs, units, worded).collect())) == wanted
