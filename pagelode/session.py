@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Splits of fewer rows are not worth a shuffle; nor are splits whose last task ends at
+#: less than so many times the time that equal ones would take.
+FEW_ROWS, UNEVEN = 1000, 1.3
 
 
 def local_session(cores: str = "8", partitions: int = 8, app: str = "pagelode"):
@@ -60,12 +63,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def use_all_cores(df: DataFrame, key: str) -> DataFrame:
-    """Spread an input that arrives in fewer splits than there are cores.
+    """Spread an input that arrives in too few or too unequal splits for the cores.
 
-    A large input has more splits than cores and is left alone. The check only
-    plans the scan.
+    A file of one row group is one task, whatever number of splits it is cut into: the
+    rows of each split say so, which takes no more than the files' footers. An input
+    whose splits keep all cores busy is left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+    if df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+        return df.repartition(cores, key)
+    counted = df.groupBy(F.spark_partition_id().alias("split")).agg(F.count("*").alias("n"))
+    rows = [r["n"] for r in counted.collect()]
+    rounds = -(-len(rows) // cores)
+    if sum(rows) <= FEW_ROWS * cores or rounds * max(rows) * cores <= UNEVEN * sum(rows):
         return df
-    return df.repartition(cores, key)
+    return df.repartition(4 * cores, key)

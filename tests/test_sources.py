@@ -189,6 +189,24 @@ def test_small_inputs_are_spread_and_large_ones_left(spark):
     assert use_all_cores(large, "id") is large
 
 
+def test_files_of_one_row_group_are_spread(spark, tmp_path):
+    """One file fills one split, whatever the number of splits it is cut into."""
+    cores = spark.sparkContext.defaultParallelism
+    path, rows = str(tmp_path / "t.parquet"), 2000 * cores
+    spark.range(rows).coalesce(1).write.parquet(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 2000)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        cut = spark.read.parquet(path)
+        assert cut.rdd.getNumPartitions() >= cores
+        dealt = use_all_cores(cut, "id")
+        sizes = [len(part) for part in dealt.rdd.glom().collect()]
+        assert sum(sizes) == rows and max(sizes) < rows / (2 * cores)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 @pytest.mark.parametrize("path", ["pagelode", "__spark_entry__.py"])
 def test_no_local_checkpoints(path):
     import pathlib
