@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+
+def shard_number(key: Column | str, shards: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
 
 
 def add_shard(df: DataFrame, key: str, shards: int) -> DataFrame:
-    number = F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
-    return df.withColumn(f"shard_{shards}", number)
+    return df.withColumn(f"shard_{shards}", shard_number(key, shards))
 
 
 def shard_column(df: DataFrame) -> str | None:

@@ -12,6 +12,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
+from ..functions.shards import shard_number
 from ..functions.stem import stem_tokens
 
 TEXT_FIELDS = ["title", "content", "meta_description", "headings"]
@@ -107,6 +108,75 @@ def build_postings(
     )
 
 
+def pack_postings(
+    docs: DataFrame, analyzer: Analyzer, shards: int, fields: list[str] = TEXT_FIELDS
+) -> DataFrame:
+    """The rows of ``build_postings``, packed: one row per document, field and shard.
+
+    ``terms`` are the shard's terms in order, ``firsts`` where the positions of each
+    begin in ``places``. A shuffle of these carries a url once a shard, not once a term.
+    Result: (url, field, field_len, shard_<shards>, terms, firsts, places).
+    """
+    pairs = F.sort_array(
+        F.transform(
+            "terms",
+            lambda t, i: F.struct(
+                shard_number(t, shards).alias("shard"), t.alias("term"), i.alias("pos")
+            ),
+        )
+    )
+    run_starts = F.expr(
+        """if(field_len > 0,
+              filter(sequence(0, field_len - 1),
+                     i -> i = 0 or get(pairs, i).term != get(pairs, i - 1).term),
+              array())"""
+    )
+    part_starts = F.expr(
+        """if(field_len > 0,
+              filter(sequence(0, size(starts) - 1),
+                     j -> j = 0 or get(pairs, get(starts, j)).shard
+                                   != get(pairs, get(starts, j - 1)).shard),
+              array())"""
+    )
+    # runs of each part, and where its pairs begin and end
+    bounds = F.expr(
+        """transform(parts, (a, m) -> named_struct(
+              'runs', slice(starts, a + 1, coalesce(get(parts, m + 1), size(starts)) - a),
+              'low', get(starts, a),
+              'high', coalesce(get(starts, get(parts, m + 1)), field_len)))"""
+    )
+    packed = F.expr(
+        f"""inline(transform(bounds, b -> named_struct(
+              'shard_{shards}', get(pairs, b.low).shard,
+              'terms', transform(b.runs, s -> get(pairs, s).term),
+              'firsts', transform(b.runs, s -> s - b.low),
+              'places', transform(slice(pairs, b.low + 1, b.high - b.low), p -> p.pos))))"""
+    )
+    return (
+        analyze_fields(docs, analyzer, fields)
+        .select("url", "field", F.size("terms").alias("field_len"), pairs.alias("pairs"))
+        .withColumn("starts", run_starts)
+        .withColumn("parts", part_starts)
+        .withColumn("bounds", bounds)
+        .select("url", "field", "field_len", packed)
+    )
+
+
+def unpack_postings(packed: DataFrame) -> DataFrame:
+    """Postings of ``pack_postings``, with its shard column last."""
+    shard = next(c for c in packed.columns if c.startswith("shard_"))
+    rows = F.expr(
+        """inline(transform(terms, (t, j) -> named_struct(
+              'term', t,
+              'tf', coalesce(get(firsts, j + 1), size(places)) - get(firsts, j),
+              'positions', slice(places, get(firsts, j) + 1,
+                  coalesce(get(firsts, j + 1), size(places)) - get(firsts, j)))))"""
+    )
+    return packed.select("field", "url", "field_len", shard, rows).select(
+        "field", "term", "url", "tf", "field_len", "positions", shard
+    )
+
+
 def term_stats(postings: DataFrame) -> DataFrame:
     """Document frequency per (field, term)."""
     return postings.groupBy("field", "term").agg(F.count("*").alias("df"))

@@ -37,7 +37,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.shards import add_shard
-from ..operators.analyze import Analyzer, build_postings, field_stats, term_stats
+from ..operators.analyze import (
+    Analyzer, build_postings, field_stats, pack_postings, term_stats, unpack_postings,
+)
 from ..operators.joins import fits_broadcast, join_small
 from ..operators.score import hit_store
 
@@ -94,7 +96,7 @@ def write_index(
     spark, version = documents.sparkSession, f"version-{uuid.uuid4().hex}"
     folder = f"{path}/{version}"
     stored = _write_documents(documents, folder, shards)
-    _write_postings(build_postings(stored, analyzer), folder, shards)
+    _write_new_postings(stored, analyzer, folder, shards)
     _write_statistics(spark, folder, stored.schema, shards)
     _publish(spark, path, version, [], [] if batch is None else [batch], stored.schema)
     return read_index(spark, path, analyzer)
@@ -133,7 +135,7 @@ def update_index(
     urls = add_shard(urls, "url", shards)
     urls.write.parquet(f"{folder}/gone")
     gone = spark.read.schema(urls.schema).parquet(f"{folder}/gone")
-    _write_postings(build_postings(stored, analyzer), folder, shards)
+    _write_new_postings(stored, analyzer, folder, shards)
     fresh = spark.read.schema(current.postings.schema).parquet(f"{folder}/postings")
     old = join_small(current.documents, gone, [f"shard_{shards}", "url"], "left_semi")
     _write_changes((stored, fresh), (old, build_postings(old, analyzer)), folder)
@@ -268,6 +270,13 @@ def _write_postings(postings: DataFrame, folder: str, shards: int) -> None:
     _write_sharded(rows, ["field", f"shard_{shards}"], ["term"], f"{folder}/postings")
 
 
+def _write_new_postings(documents: DataFrame, analyzer: Analyzer, folder: str, shards: int) -> None:
+    """Write the postings of ``documents``; packed rows are shuffled, not the postings."""
+    directories = ["field", f"shard_{shards}"]
+    packed = pack_postings(documents, analyzer, shards).hint("rebalance", *directories)
+    _write_sorted(unpack_postings(packed), directories, ["term"], f"{folder}/postings")
+
+
 def _write_statistics(
     spark: SparkSession, folder: str, documents: T.StructType, shards: int
 ) -> None:
@@ -342,10 +351,15 @@ def _publish(
 
 def _write_sharded(
     df: DataFrame, directories: list[str], order: list[str], path: str
+) -> None:
+    _write_sorted(df.hint("rebalance", *directories), directories, order, path)
+
+
+def _write_sorted(
+    df: DataFrame, directories: list[str], order: list[str], path: str
 ) -> None:
     (
-        df.hint("rebalance", *directories)
-        .sortWithinPartitions(*directories, *order)
+        df.sortWithinPartitions(*directories, *order)
         .write.mode("overwrite")
         .partitionBy(*directories)
         .parquet(path)

@@ -6,8 +6,11 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from pagelode.functions.shards import add_shard
 from pagelode.operators import joins
-from pagelode.operators.analyze import Analyzer, build_postings, term_stats, tokenize
+from pagelode.operators.analyze import (
+    Analyzer, build_postings, pack_postings, term_stats, tokenize, unpack_postings,
+)
 from pagelode.operators.match import (
     analyze_queries,
     match_all,
@@ -85,6 +88,19 @@ def test_postings_are_built_without_a_shuffle(docs):
     assert "Exchange" not in plan
 
 
+@pytest.mark.parametrize("shards", [1, 3, 16])
+def test_packed_postings_are_the_postings(spark, docs, shards):
+    odd = spark.createDataFrame([("e1", "red fox", "again red", None, "x"), (None, "red", None, "", "a1 a2 a1")], "url string, title string, content string, meta_description string, headings string")
+    both = docs.select(odd.columns).unionByName(odd)
+    packed = pack_postings(both, PLAIN, shards)
+    plan = packed._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert packed.groupBy("url", "field", "field_len", f"shard_{shards}").count().filter("count > 1").count() == 0
+    got, wanted = unpack_postings(packed), add_shard(build_postings(both, PLAIN), "term", shards)
+    assert got.columns == wanted.columns
+    assert got.exceptAll(wanted).count() == wanted.exceptAll(got).count() == 0
+
+
 def test_stems_only_in_stemmed_fields(docs):
     terms = {(r.field, r.term) for r in build_postings(docs).filter("url = 'd2'").collect()}
     assert ("title", "fox") in terms and ("title", "run") in terms
