@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.joins import fits_broadcast
 from ..session import stage
 from .common import own_names, text_or_empty
 
@@ -209,6 +210,23 @@ def disclosing_terms(
     return near.join(told, ["unit", "t_class"]).select("unit", "term")
 
 
+def _beside_spans(docs: DataFrame, whole: DataFrame) -> DataFrame:
+    """All ``docs`` with their row of ``whole``, one for each key; most documents have none.
+
+    If those rows are too many for a broadcast, hashes of their keys are broadcast, and
+    only documents that have one are shuffled; texts without personal data stay in place.
+    """
+    if fits_broadcast(whole):
+        return docs.join(F.broadcast(whole), "_pii_key", "left")
+    if whole.count() > SHARED_UNITS:
+        return docs.join(whole, "_pii_key", "left")
+    marked = F.broadcast(whole.select(F.xxhash64("_pii_key").alias("_pii_hash")).distinct())
+    hashed = docs.withColumn("_pii_hash", F.xxhash64("_pii_key"))
+    some = hashed.join(marked, "_pii_hash", "left_semi").drop("_pii_hash").join(whole, "_pii_key", "left")
+    none = hashed.join(marked, "_pii_hash", "left_anti").drop("_pii_hash")
+    return some.unionByName(none, allowMissingColumns=True)
+
+
 @own_names
 def find_pii(
     docs: DataFrame,
@@ -263,15 +281,12 @@ def find_pii(
         .select(F.col("key").alias("_pii_key"), F.when(F.col("terms").isNull(), F.col("spans")).otherwise(F.concat("spans", extra)).alias("_pii_all"))
     )
     names = F.array(*map(F.lit, [*KINDS, "term"]))
+    whole = stage(whole, "pii-spans")
     listed = F.transform(
         F.coalesce("_pii_all", F.array().cast("array<struct<rank:int,start:int,end:int,value:string>>")),
         lambda s: F.struct(F.get(names, s["rank"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")),
     )
-    return (
-        docs.select(*kept, identity.alias("_pii_key"))
-        .join(whole, "_pii_key", "left")
-        .select(*kept, listed.alias("pii"))
-    )
+    return _beside_spans(docs.select(*kept, identity.alias("_pii_key")), whole).select(*kept, listed.alias("pii"))
 
 
 @own_names

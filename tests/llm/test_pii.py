@@ -119,3 +119,19 @@ def test_only_words_of_copies_are_shuffled_to_be_distinct(spark, monkeypatch):
     assert "LeftAnti" in alone and alone.count("hashpartitioning(unit") == 1
     monkeypatch.setattr(pii, "SHARED_UNITS", 0)
     assert sorted(map(tuple, pii._unit_terms(docs, units, worded).collect())) == wanted
+
+
+def test_texts_without_personal_data_stay_in_place(spark, monkeypatch):
+    texts = ["call Zorblat at zq@x.org", "call Zorblat at zq@x.org", "some words", "some words", None, "", "ip 1.2.3.4"]
+    docs = frame(spark, texts).unionByName(frame(spark, ["call Zorblat at zq@x.org", None]))
+    found = find_pii(docs)
+    wanted = sorted((r.doc_id, str(r.text), r.pii) for r in found.collect())
+    assert len(wanted) == 9 and sum(bool(w[2]) for w in wanted) == 4
+    assert "Exchange hashpartitioning(_pii_key" not in found._jdf.queryExecution().executedPlan().toString()
+    for shared in (pii.SHARED_UNITS, 0):
+        monkeypatch.setattr(pii, "fits_broadcast", lambda df: False)
+        monkeypatch.setattr(pii, "SHARED_UNITS", shared)
+        far = find_pii(docs)
+        assert sorted((r.doc_id, str(r.text), r.pii) for r in far.collect()) == wanted
+        plan = far._jdf.queryExecution().optimizedPlan().toString()
+        assert ("LeftAnti" in plan and "LeftSemi" in plan) == (shared > 0)
