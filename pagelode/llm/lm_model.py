@@ -61,74 +61,140 @@ _POS = np.arange(2 * CONTEXT - 1)
 _ASKS = _POS[CONTEXT - 1 :]  # places whose next token is scored
 _GAP = _ASKS[:, None] - _POS[None, :]
 _FUTURE = _GAP < 0
+_NEAREST = np.where(_FUTURE, 0, _GAP)
+#: Exponents that need no shift: their sums neither overflow nor vanish in 32 bits.
+SAFE = 60
+_ROOMS: dict[tuple, np.ndarray] = {}
 
 
-def forward(w: dict[str, np.ndarray], x: np.ndarray):
-    """Logits [rows, CONTEXT, classes] for the scored half, and what training needs."""
+def _room(name: str, kind: np.dtype, *shape: int) -> np.ndarray:
+    """Memory of a worker for one step's array: new memory for each costs more than the step."""
+    size = int(np.prod(shape))
+    if (name, kind) not in _ROOMS or _ROOMS[name, kind].size < size:
+        _ROOMS[name, kind] = np.empty(size, dtype=kind)
+    return _ROOMS[name, kind][:size].reshape(shape)
+
+
+def _rows(name: str, rows: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """``rows[which]`` in the room of that name."""
+    return rows.take(which, axis=0, out=_room(name, rows.dtype, *which.shape, rows.shape[1]), mode="clip")
+
+
+class Tables:
+    """What each class brings into the products, worked out once for all windows."""
+
+    def __init__(self, w: dict[str, np.ndarray]):
+        embed = w["embed"]
+        self.ask = embed @ w["query"] * embed.dtype.type(WIDTH**-0.5)
+        self.key, self.value = embed @ w["key"], embed @ w["value"]
+        # the ones add up an asking place's weights beside their products
+        self.held = np.hstack([self.key, self.value, np.ones((len(embed), 1), embed.dtype)])
+        self.distance = np.where(_FUTURE, embed.dtype.type(-1e9), w["distance"][_NEAREST])
+        self.far = w["far"]
+        self.next = w["near"] + w["bias"]
+        self.next -= self.next.max(axis=1, keepdims=True)
+        asked = np.abs(self.ask @ self.key.T).max() + np.abs(w["distance"]).max()
+        self.wide = not max(asked, np.abs(self.value @ self.far).max()) < SAFE
+
+
+def attend(t: Tables, x: np.ndarray):
+    """What each scored place attends to, [rows, CONTEXT, WIDTH], and what training needs."""
     seen = x[:, :-1]
-    e = w["embed"][seen]
-    asks = e[:, CONTEXT - 1 :]
-    q, k, v = asks @ w["query"], e @ w["key"], e @ w["value"]
-    a = q @ k.transpose(0, 2, 1)
-    a *= np.float32(WIDTH**-0.5)
-    a += w["distance"][np.where(_FUTURE, 0, _GAP)]
-    a[:, _FUTURE] = -1e9
-    a -= 1e9 * (seen == PAD)[:, None, :].astype(np.float32)
-    a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
-    seen_far = a @ v
     last = seen[:, CONTEXT - 1 :]
-    logits = seen_far @ w["far"]
-    logits += w["near"][last]
-    logits += w["bias"]
-    return logits, (seen, last, e, asks, q, k, v, a, seen_far)
+    q, held = _rows("asked", t.ask, last), _rows("held", t.held, seen)
+    a = _room("shares", q.dtype, *last.shape, seen.shape[1])
+    np.matmul(q, held[:, :, :WIDTH].transpose(0, 2, 1), out=a)
+    a += t.distance
+    if t.wide:
+        a -= a.max(axis=2, keepdims=True)
+    np.exp(a, out=a)
+    a *= (seen != PAD).astype(a.dtype)[:, None, :]
+    # a text's first token has padding alone before it
+    a[last[:, 0] == PAD, 0, :CONTEXT] = 1
+    both = np.matmul(a, held[:, :, WIDTH:], out=_room("both", q.dtype, *last.shape, WIDTH + 1))
+    norm = both[:, :, WIDTH:]
+    seen_far = np.divide(both[:, :, :WIDTH], norm, out=_room("far", q.dtype, *last.shape, WIDTH))
+    return seen_far, (seen, last, q, held, a, norm)
 
 
-def log_probs(w: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+def _logits(t: Tables, seen_far: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Logits up to a number for each row that does not change their shares."""
+    logits = np.matmul(seen_far, t.far, out=_room("logits", t.far.dtype, len(last), CLASSES))
+    logits += _rows("next", t.next, last)
+    if t.wide:
+        logits -= logits.max(axis=1, keepdims=True)
+    return logits
+
+
+def log_probs(w: dict[str, np.ndarray] | Tables, x: np.ndarray) -> np.ndarray:
     """Natural log of each scored token's class probability, [rows, CONTEXT]."""
-    logits, _ = forward(w, x)
-    target = x[:, CONTEXT:]
-    top = logits.max(axis=2)
-    own = np.take_along_axis(logits, target[:, :, None], axis=2)[:, :, 0]
-    logits -= top[:, :, None]
+    t = w if isinstance(w, Tables) else Tables(w)
+    seen_far, (_, last, *_) = attend(t, x)
+    last, target = last.ravel(), x[:, CONTEXT:].ravel()
+    logits = _logits(t, seen_far.reshape(-1, WIDTH), last)
+    own = logits[np.arange(len(target)), target]
     np.exp(logits, out=logits)
-    return own - top - np.log(logits.sum(axis=2))
+    return (own - np.log(logits @ np.ones(CLASSES, logits.dtype))).reshape(-1, CONTEXT)
+
+
+def _runs(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes that occur, and where the run of each begins and ends once they are sorted."""
+    counts = np.bincount(classes, minlength=CLASSES)
+    kinds, ends = np.flatnonzero(counts), np.cumsum(counts)
+    return kinds, (ends - counts)[kinds], ends[kinds]
+
+
+def _by_class(order: np.ndarray, classes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sum of the rows of each class; ``order`` sorts them by class."""
+    total = np.zeros((CLASSES, rows.shape[1]), dtype=rows.dtype)
+    kinds, begins, _ = _runs(classes)
+    total[kinds] = np.add.reduceat(_rows("sorted", rows, order), begins, axis=0)
+    return total
+
+
+def _sorted(classes: np.ndarray) -> np.ndarray:
+    return np.argsort(classes.astype(np.uint8), kind="stable")
 
 
 def gradient(w: dict[str, np.ndarray], x: np.ndarray) -> dict[str, np.ndarray]:
     """Gradient of the mean loss over the scored tokens that are no padding."""
-    logits, (seen, last, e, asks, q, k, v, a, seen_far) = forward(w, x)
-    target = x[:, CONTEXT:]
-    logits -= logits.max(axis=2, keepdims=True)
-    p = np.exp(logits)
-    p /= p.sum(axis=2, keepdims=True)
-    real = (target != PAD).astype(np.float32)
-    np.put_along_axis(p, target[:, :, None], np.take_along_axis(p, target[:, :, None], 2) - 1, 2)
-    d = p * (real / max(1.0, real.sum()))[:, :, None]
-    flat = d.reshape(-1, CLASSES)
+    t = Tables(w)
+    seen_far, (seen, last, q, held, a, norm) = attend(t, x)
+    a /= norm
+    # the logits' rows are kept in the order of the last token's class
+    last, target = last.ravel(), x[:, CONTEXT:].ravel()
+    order = _sorted(last)
+    ranked, goal, what = last[order], target[order], seen_far.reshape(-1, WIDTH)[order]
+    logits = _logits(t, what, ranked)
+    p = np.exp(logits, out=logits)  # not divided by their sums: the weights are
+    share = (goal != PAD).astype(p.dtype)
+    share /= max(1.0, share.sum())
+    weight = share / (p @ np.ones(CLASSES, p.dtype))
     g = {name: np.zeros_like(value) for name, value in w.items()}
-    g["bias"] = flat.sum(0)
-    g["far"] = seen_far.reshape(-1, WIDTH).T @ flat
-    order = np.argsort(last.ravel(), kind="stable")
-    kinds, begins = np.unique(last.ravel()[order], return_index=True)
-    g["near"][kinds] = np.add.reduceat(flat[order], begins, axis=0)
-    d_far = d @ w["far"].T
-    d_a = d_far @ v.transpose(0, 2, 1)
-    d_v = a.transpose(0, 2, 1) @ d_far
-    d_s = a * (d_a - (d_a * a).sum(axis=2, keepdims=True))
-    np.add.at(g["distance"], np.where(_FUTURE, 0, _GAP), np.where(_FUTURE, 0, d_s.sum(0)))
-    d_s *= np.float32(WIDTH**-0.5)
-    d_q, d_k = d_s @ k, d_s.transpose(0, 2, 1) @ q
-    mat = lambda m: m.reshape(-1, WIDTH)
-    g["query"] = mat(asks).T @ mat(d_q)
-    g["key"] = mat(e).T @ mat(d_k)
-    g["value"] = mat(e).T @ mat(d_v)
-    d_e = d_k @ w["key"].T + d_v @ w["value"].T
-    d_e[:, CONTEXT - 1 :] += d_q @ w["query"].T
-    places = np.argsort(seen.ravel(), kind="stable")
-    kinds, begins = np.unique(seen.ravel()[places], return_index=True)
-    g["embed"][kinds] = np.add.reduceat(mat(d_e)[places], begins, axis=0)
+    for kind, low, high in zip(*_runs(last)):
+        g["near"][kind] = weight[low:high] @ p[low:high]
+    pairs = np.bincount(ranked * CLASSES + goal, weights=share, minlength=CLASSES**2)
+    g["near"] -= pairs.reshape(CLASSES, CLASSES).astype(p.dtype)
+    g["bias"] = g["near"].sum(0)
+    g["far"] = (what * weight[:, None]).T @ p - _by_class(_sorted(goal), goal, what * share[:, None]).T
+    d_far = np.empty_like(what)
+    d_far[order] = (p @ t.far.T) * weight[:, None] - w["far"].T[goal] * share[:, None]
+    d_far = d_far.reshape(seen_far.shape)
+
+    d_s = np.matmul(d_far, held[:, :, WIDTH : 2 * WIDTH].transpose(0, 2, 1), out=_room("d_shares", a.dtype, *a.shape))
+    d_s -= (d_far * seen_far).sum(axis=2, keepdims=True)
+    d_s *= a
+    gaps = np.where(_FUTURE, 0, d_s.sum(0))
+    g["distance"] += np.bincount(_NEAREST.ravel(), gaps.ravel(), 2 * CONTEXT).astype(a.dtype)
+    mat = lambda m: m.reshape(-1, m.shape[-1])
+    d_q = _by_class(order, last, mat(np.matmul(d_s, held[:, :, :WIDTH], out=_room("d_asked", a.dtype, *q.shape)))) * a.dtype.type(WIDTH**-0.5)
+    d_held = _room("d_held", a.dtype, *seen.shape, 2 * WIDTH)
+    d_held[:, :, :WIDTH] = np.matmul(d_s.transpose(0, 2, 1), q, out=_room("d_one", a.dtype, *seen.shape, WIDTH))
+    d_held[:, :, WIDTH:] = np.matmul(a.transpose(0, 2, 1), d_far, out=_room("d_one", a.dtype, *seen.shape, WIDTH))
+    seen = seen.ravel()
+    d_k, d_v = np.hsplit(_by_class(_sorted(seen), seen, mat(d_held)), 2)
+    g["query"], g["key"], g["value"] = (w["embed"].T @ d for d in (d_q, d_k, d_v))
+    g["embed"] = d_q @ w["query"].T + d_k @ w["key"].T + d_v @ w["value"].T
     return g
 
 

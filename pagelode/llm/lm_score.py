@@ -21,12 +21,13 @@ Nothing that grows with the corpus reaches the driver.
 from __future__ import annotations
 
 import base64
-from collections import Counter
+from array import array
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 import xxhash
 from pyspark import TaskContext
@@ -34,15 +35,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stage
 from .common import text_or_empty
-from .lm_model import CLASSES, CONTEXT, END, Trainer, log_probs, pack, start_weights, unpack, windows
+from .lm_model import (
+    CLASSES, CONTEXT, END, PAD, Tables, Trainer, log_probs, pack, start_weights, unpack, windows,
+)
 
 KEPT_WORDS = 300_000
-#: Ids that a worker adds up together.
-HELD_IDS = 400_000
+#: Bytes of texts that a worker takes together.
+HELD_BYTES = 1 << 20
 #: Words whose counts are broadcast, and their longest length: bounds of that table.
 COMMON_WORDS, COMMON_BYTES = 50_000, 48
-#: Windows of one scoring batch.
-BATCH = 1024
+#: Windows of one scoring batch: their logits stay in a core's own cache.
+BATCH = 128
 #: Entries of an id's vector: half tell its neighbours, half its texts.
 TRAITS = 16
 #: A text's mean is told in this many steps, so that sums are exact.
@@ -65,30 +68,59 @@ class LmRules:
 
 
 class Subwords:
-    """Subword ids of words; what was looked up stays at hand."""
+    """Subword ids of words; what was looked up stays at hand.
+
+    A word is told by its place among the words met so far; place 0 is the end of a text,
+    which has one id, the first beyond the vocabulary.
+    """
 
     def __init__(self, spec: tuple[str, dict]):
         pattern, ranks = spec
+        self.spec = spec
         self.coder = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[bytes, list[int]] = {}
-
-    def __call__(self, words: list[bytes]) -> tuple[list[int], list[int]]:
-        """Ids of all words in order, each word with a blank before it, and how many
-        ids each word has."""
-        ids: list[int] = []
-        lengths: list[int] = []
+        self.end = 1 + max(ranks.values())
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[bytes | None, int] = {None: 0}
+        self._ids, self._starts, self._sizes = array("i", [self.end]), array("q", [0]), array("i", [1])
+
+    def full(self) -> bool:
+        return len(self.known) > KEPT_WORDS
+
+    def words(self, start: int = 0) -> list[bytes | None]:
+        """Words from a place on, in the order of their places."""
+        return list(islice(self.known, start, None))
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all words, each text's followed by its end, and how many each text has."""
+        words: list[bytes | None] = []
+        counts = []
+        for text in texts:
+            found = split_lower(text)
+            words += found
+            words.append(None)
+            counts.append(len(found) + 1)
         known = self.known
-        for word in words:
-            found = known.get(word)
-            if found is None:
-                text = " " + word.decode("utf-8", "replace")
-                found = self.coder.encode_ordinary(text)
-                if len(known) >= KEPT_WORDS:
-                    known.clear()
-                known[word] = found
-            ids += found
-            lengths.append(len(found))
-        return ids, lengths
+        places = np.array(list(map(known.get, words, repeat(-1))), dtype=np.int64)
+        for i in np.flatnonzero(places < 0).tolist():
+            word = words[i]
+            if word not in known:
+                known[word] = len(known)
+                ids = self.coder.encode_ordinary(" " + word.decode("utf-8", "replace"))
+                self._starts.append(len(self._ids))
+                self._sizes.append(len(ids))
+                self._ids.extend(ids)
+            places[i] = known[word]
+        return places, np.array(counts, dtype=np.int64)
+
+    def ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of those words in order, and how many each word has."""
+        sizes = np.frombuffer(self._sizes, "i4")[places].astype(np.int64)
+        starts = np.frombuffer(self._starts, "i8")[places]
+        at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+        at += np.arange(len(at))
+        return np.frombuffer(self._ids, "i4")[at], sizes
 
 
 def read_ranks(path: str, pattern: str) -> tuple[str, dict]:
@@ -115,12 +147,30 @@ def split_lower(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def _pieces(batch: pa.RecordBatch):
+    """Rows of a batch, so many together that their texts have ``HELD_BYTES`` or a bit more."""
+    sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
+    piece = (np.cumsum(sizes, dtype=np.int64) - sizes) // HELD_BYTES
+    begins = np.flatnonzero(np.diff(piece, prepend=-1))
+    for low, high in zip(begins.tolist(), [*begins[1:].tolist(), batch.num_rows]):
+        yield batch.slice(low, high - low)
+
+
+def _begins(counts: np.ndarray) -> np.ndarray:
+    return np.cumsum(counts) - counts
+
+
 def _signs(size: int) -> np.ndarray:
     """A fixed vector of -1 and 1 for each id, and zeros for a text's border."""
     r = np.random.default_rng(11)
     half = r.integers(0, 2, size=(size + 1, TRAITS // 2)) * 2 - 1
     half[size] = 0
-    return half.astype(np.float64)
+    return half.astype(np.int64)
+
+
+def id_kind(size: int) -> np.dtype:
+    """How ids of a vocabulary of that size are stored."""
+    return np.dtype("<u2" if size <= 1 << 16 else "<u4")
 
 
 def _read(train: DataFrame, coder, size: int) -> DataFrame:
@@ -134,52 +184,62 @@ def _read(train: DataFrame, coder, size: int) -> DataFrame:
     names = ["word", "n", "chunk", "part", "table", "key", "ids"]
     kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
 
+    kind = id_kind(size)
+
     def rows(**found):
         n = len(next(iter(found.values())))
+        as_array = lambda x, t: x if isinstance(x, pa.Array) else pa.array(x, t)
         return pa.RecordBatch.from_arrays(
-            [pa.array(found[k], t) if k in found else pa.nulls(n, t) for k, t in zip(names, kinds)],
+            [as_array(found[k], t) if k in found else pa.nulls(n, t) for k, t in zip(names, kinds)],
             names=names,
         )
 
     def run(batches):
-        subwords, counts, signs = _subwords(coder), Counter(), _signs(size)
+        subwords, signs = _subwords(coder), _signs(size)
         table = np.zeros((size + 1, TRAITS + 1))
+        counts = np.zeros(0, dtype=np.int64)
 
-        def add(coded: list[np.ndarray]) -> None:
-            """Counts and vectors of a batch of texts, borders between them."""
-            line = np.concatenate([x for ids in coded for x in (ids, [size])] or [[]]).astype(np.int64)
-            if not len(line):
-                return
+        def add(line: np.ndarray, lengths: np.ndarray) -> None:
+            """Counts and vectors of texts, each with its border behind it."""
             sign = signs[line]
             beside = np.zeros_like(sign)
             beside[1:] += sign[:-1]
             beside[:-1] += sign[1:]
-            lengths = np.array([len(ids) + 1 for ids in coded])
-            begins = np.cumsum(lengths) - lengths
-            means = np.add.reduceat(sign, begins, axis=0) / np.maximum(1, lengths - 1)[:, None]
-            inside = np.repeat(np.rint(means * STEPS), lengths, axis=0)
-            table[:, 0] += np.bincount(line, minlength=size + 1)
-            for k, column in enumerate(np.hstack([beside, inside]).T, 1):
-                table[:, k] += np.bincount(line, weights=column, minlength=size + 1)
+            means = np.add.reduceat(sign, _begins(lengths), axis=0) / np.maximum(1, lengths - 1)[:, None]
+            inside = np.repeat(np.rint(means * STEPS).astype(np.int64), lengths, axis=0)
+            order = np.argsort(line.astype(np.uint16) if size < 1 << 16 else line, kind="stable")
+            seen = np.bincount(line, minlength=size + 1)
+            used = np.flatnonzero(seen)
+            begins = _begins(seen)[used]
+            table[:, 0] += seen
+            for k, half in ((1, beside), (1 + TRAITS // 2, inside)):
+                table[used, k : k + TRAITS // 2] += np.add.reduceat(half[order], begins, axis=0)
+
+        def word_rows():
+            used = np.flatnonzero(counts[1:]) + 1
+            words = subwords.words()
+            return rows(word=[words[i] for i in used.tolist()], n=counts[used])
 
         for batch in batches:
-            coded, keys, held = [], [], 0
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = split_lower(text.as_py())
-                counts.update(words)
-                coded.append(np.array(subwords(words)[0], dtype=np.int64))
-                keys.append(key)
-                held += len(coded[-1]) + 1
-                if held > HELD_IDS:
-                    add(coded)
-                    yield rows(key=keys, ids=[x.astype("<u4").tobytes() for x in coded])
-                    coded, keys, held = [], [], 0
-            add(coded)
-            yield rows(key=keys, ids=[x.astype("<u4").tobytes() for x in coded])
-            if len(counts) > KEPT_WORDS:
-                yield rows(word=list(counts), n=list(counts.values()))
-                counts.clear()
-        yield rows(word=list(counts), n=list(counts.values()))
+            for piece in _pieces(batch):
+                places, n_words = subwords(piece.column(1).to_pylist())
+                seen = np.bincount(places, minlength=len(subwords.known))
+                seen[: len(counts)] += counts
+                counts = seen
+                line, sizes = subwords.ids(places)
+                lengths = np.add.reduceat(sizes, _begins(n_words))
+                add(line, lengths)
+                ends = np.concatenate([[0], np.cumsum(lengths - 1)]) * kind.itemsize
+                data = line[line != size].astype(kind)
+                ids = pa.Array.from_buffers(
+                    pa.binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)]
+                )
+                yield rows(key=piece.column(0), ids=ids)
+                if subwords.full():
+                    yield word_rows()
+                    subwords.clear()
+                    counts = np.zeros(0, dtype=np.int64)
+        yield word_rows()
         part = TaskContext.get().partitionId()
         used = [k for k in range(0, size + 1, ROWS) if table[k : k + ROWS, 0].any()]
         yield rows(
@@ -259,7 +319,7 @@ class Classes:
         self.log_prior = np.log(np.maximum(totals, 1e-9) / totals.sum())
 
 
-def _trained(texts: DataFrame, classes, start: dict, ids: int, rules: LmRules) -> dict:
+def _trained(texts: DataFrame, classes, start: dict, ids: int, kind: np.dtype, rules: LmRules) -> dict:
     """Weights after all rounds; ``texts`` has (key, ids) of the training texts."""
     parts = max(1, -(-ids // rules.part_ids))
     spark = texts.sparkSession
@@ -271,7 +331,7 @@ def _trained(texts: DataFrame, classes, start: dict, ids: int, rules: LmRules) -
         def train(key, group):
             of, begin = shared.value
             order = np.lexsort((group.column("key").to_numpy(),))
-            lines = [np.frombuffer(group.column("ids")[int(i)].as_py(), "<u4") for i in order]
+            lines = [np.frombuffer(group.column("ids")[int(i)].as_py(), kind) for i in order]
             trainer = Trainer({k: w.copy() for k, w in begin.items()}, rate)
             x = np.concatenate([windows(np.append(of[line], END)) for line in lines])
             size = max(rules.step, -(-len(x) // rules.steps))
@@ -335,7 +395,7 @@ def score_texts(
     shared = sc.broadcast(Classes(table[:size], ends, rules))
     start = start_weights(shared.value.log_prior)
     coded = read.filter("key is not null").select("key", "ids")
-    model = sc.broadcast(_trained(coded, shared, start, int(table[: size, 0].sum()), rules))
+    model = sc.broadcast(_trained(coded, shared, start, int(table[: size, 0].sum()), id_kind(size), rules))
 
     sums = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total = (sums["n"] or 0) + ends
@@ -343,7 +403,6 @@ def score_texts(
     top = words.filter(F.octet_length("word") <= COMMON_BYTES).orderBy(F.col("c").desc(), "word")
     common = sc.broadcast({bytes(r["word"]): r["c"] for r in top.limit(COMMON_WORDS).collect()})
     log_total = float(np.log10(total + 0.5 * (distinct + 1)))
-    log_end = float(np.log10(ends + 0.5))
     log_share, log_rest = float(np.log(rules.word_share)), float(np.log1p(-rules.word_share))
 
     def key_of(number, text) -> int:
@@ -352,63 +411,76 @@ def score_texts(
     def hash_seed(number) -> int:
         return 0 if number is None else xxhash.xxh3_64_intdigest(str(number))
 
+    ln10 = float(np.log(10))
+
     def score(batches):
-        subwords, classes, w, known = _subwords(coder), shared.value, model.value, common.value
+        subwords, classes, tables, known = _subwords(coder), shared.value, Tables(model.value), common.value
+        of, share = np.append(classes.of, END), np.append(classes.log_share, 0.0)
+        counts = np.zeros(0, dtype=np.float64)  # by place; -1 for words that are not common
         for batch in batches:
-            rows, waiting, held = [], [], 0
-            model_score = np.zeros(batch.num_rows)
-            asked: list[dict[bytes, list[float]]] = [{} for _ in range(batch.num_rows)]
-
-            def flush():
-                x = np.concatenate([windows(c) for _, c, *_ in waiting])
-                logs = [log_probs(w, x[at : at + BATCH]) for at in range(0, len(x), BATCH)]
-                logs = np.concatenate(logs).astype(np.float64)
-                row = 0
-                for k, c, shares, starts, seen_often, unmet in waiting:
-                    below = row + -(-len(c) // CONTEXT)
-                    own = logs[row:below].ravel()[: len(c)] + shares
-                    row = below
-                    by_word = np.add.reduceat(own, starts)  # the end is the last word
-                    mixed = np.logaddexp(by_word + log_rest, seen_often + log_share)
-                    mixed[list(unmet)] = 0.0  # mixed below, when they have met their counts
-                    model_score[k] = mixed.sum()
-                    for place, word in unmet.items():
-                        asked[k].setdefault(word, []).append(float(by_word[place]))
-
-            numbers, all_texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for k, (number, text) in enumerate(zip(numbers, all_texts, strict=True)):
-                words = split_lower(text)
-                found, lengths = subwords(words)
-                ids = np.array(found, dtype=np.int64)
-                c = np.append(classes.of[ids], END)
-                shares = np.append(classes.log_share[ids], 0.0)
-                starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-                counts = np.array([*map(known.get, words, repeat(0)), ends], dtype=np.float64)
-                often = np.log(counts + 0.5) - log_total * np.log(10)
-                unmet = {place: word for place, word in enumerate(words) if word not in known}
-                waiting.append((k, c, shares, starts, often, unmet))
-                held += -(-len(c) // CONTEXT)
-                if held >= BATCH:
-                    flush()
-                    waiting, held = [], 0
-                hot = counts[:-1][counts[:-1] > 0]
-                hot_sum = np.log10(hot + 0.5).sum() + log_end
-                rows.append((key_of(number, text), len(words) + 1, len(hot) + (ends > 0), hot_sum))
-            if held:
-                flush()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([r[0] for r in rows], pa.int64()),
-                    pa.array([r[1] for r in rows], pa.int64()),
-                    pa.array([r[2] for r in rows], pa.int64()),
-                    pa.array([float(r[3]) for r in rows], pa.float64()),
-                    pa.array(model_score / np.log(10), pa.float64()),
-                    pa.array([list(a) for a in asked], pa.list_(pa.binary())),
-                    pa.array([list(a.values()) for a in asked], pa.list_(pa.list_(pa.float64()))),
-                ],
-                names=["doc_id", "key", "n_tokens", "hot_known", "hot", "score", "word", "logs"],
-            )
+            for piece in _pieces(batch):
+                if subwords.full():
+                    subwords.clear()
+                    counts = counts[:0]
+                texts = piece.column(1).to_pylist()
+                places, n_words = subwords(texts)
+                fresh = map(known.get, subwords.words(len(counts)), repeat(-1))
+                counts = np.concatenate([counts, np.array(list(fresh), dtype=np.float64)])
+                counts[0] = ends
+                line, sizes = subwords.ids(places)
+                begins = _begins(n_words)
+                lengths = np.add.reduceat(sizes, begins)
+                # a block of padding before each text, and after it up to a whole block
+                blocks = 1 - -lengths // CONTEXT
+                first = _begins(blocks)
+                at = np.repeat((first + 1) * CONTEXT - _begins(lengths), lengths)
+                at += np.arange(len(line))
+                padded = np.full(int(blocks.sum()) * CONTEXT, PAD, dtype=np.int64)
+                padded[at] = of[line]
+                padded = padded.reshape(-1, CONTEXT)
+                logs = np.zeros(padded.shape)
+                scored = np.ones(len(padded), dtype=bool)
+                scored[first] = False
+                scored = np.flatnonzero(scored)
+                for low in range(0, len(scored), BATCH):
+                    some = scored[low : low + BATCH]
+                    logs[some] = log_probs(tables, np.hstack([padded[some - 1], padded[some]]))
+                own = logs.ravel()[at] + share[line]
+                by_word = np.add.reduceat(own, _begins(sizes))
+                count = counts[places]
+                often = np.log(np.maximum(counts, 0) + 0.5)
+                mixed = np.logaddexp(by_word + log_rest, often[places] - log_total * ln10 + log_share)
+                unmet = count < 0
+                mixed[unmet] = 0.0  # mixed below, when they have met their counts
+                hot = np.where(unmet, 0.0, (often / ln10)[places])
+                n_known = np.add.reduceat((count > 0).astype(np.int64), begins)
+
+                # words that are not common: one entry for each text and word
+                where = np.flatnonzero(unmet)
+                text_of = np.repeat(np.arange(len(texts)), n_words)[where]
+                met_as = text_of * len(counts) + places[where]
+                order = np.argsort(met_as, kind="stable")
+                new = np.flatnonzero(np.diff(met_as[order], prepend=-1))
+                asked_by = text_of[order][new]
+                offsets = np.searchsorted(asked_by, np.arange(len(texts) + 1)).astype(np.int32)
+                words = subwords.words()
+                asked = pa.array([words[i] for i in places[where][order][new].tolist()], pa.binary())
+                inner = pa.ListArray.from_arrays(
+                    pa.array(np.append(new, len(where)).astype(np.int32)), pa.array(by_word[where][order])
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        piece.column(0),
+                        pa.array([*map(key_of, piece.column(0).to_pylist(), texts)], pa.int64()),
+                        pa.array(n_words),
+                        pa.array(n_known),
+                        pa.array(np.add.reduceat(hot, begins)),
+                        pa.array(np.add.reduceat(mixed, begins) / ln10),
+                        pa.ListArray.from_arrays(pa.array(offsets), asked),
+                        pa.ListArray.from_arrays(pa.array(offsets), inner),
+                    ],
+                    names=["doc_id", "key", "n_tokens", "hot_known", "hot", "score", "word", "logs"],
+                )
 
     kind = docs.schema[doc_id].dataType.simpleString()
     plain = texts.select("doc_id", "_text")

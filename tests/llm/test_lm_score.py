@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from pagelode.llm import lm_score
+from pagelode.llm import lm_model as M, lm_score
 from pagelode.llm.common import fold
 
 from .brute import WORD, lower_az
@@ -104,6 +104,30 @@ def test_scores_beat_the_base_in_both_folds(spark, tiny_dir, vocabulary):
     assert sums[True].model > sums[True].base and sums[False].model > sums[False].base
 
 
+def test_a_first_token_does_not_know_what_follows():
+    """Nor if training has driven the weights apart."""
+    r = np.random.default_rng(3)
+    w = M.start_weights(np.log(np.full(M.CLASSES, 1 / M.CLASSES)))
+    w = {name: r.normal(size=x.shape).astype(np.float32) for name, x in w.items()}
+    texts = [r.integers(1, M.CLASSES, size=n) for n in (1, 5, 16, 40)]
+    for text in texts:
+        follows = np.append(text[:1], r.integers(1, M.CLASSES, size=9))
+        a, b = (M.log_probs(w, M.windows(z))[0, 0] for z in (text, follows))
+        assert math.isclose(a, b, rel_tol=1e-5)
+
+
+def test_scores_do_not_depend_on_what_is_held(spark, tiny_dir, vocabulary, monkeypatch):
+    """Texts taken one by one, and words forgotten at once, give the same scores."""
+    docs = spark.read.parquet(f"{tiny_dir}/documents.parquet").select("doc_id", "text").limit(60)
+    found = []
+    for held, kept in ((1 << 20, 300_000), (1, 20)):
+        monkeypatch.setattr(lm_score, "HELD_BYTES", held)
+        monkeypatch.setattr(lm_score, "KEPT_WORDS", kept)
+        scored = lm_score.score_texts(docs, fold("doc_id", 5) == 1, vocabulary)
+        found.append(sorted((r.doc_id, r.n_tokens, r.n_known, round(r.score, 5)) for r in scored.collect()))
+    assert found[0] == found[1]
+
+
 def test_classes_follow_what_stands_beside(spark, vocabulary):
     """Ids of two languages that never meet fall into different classes."""
     r = np.random.default_rng(0)
