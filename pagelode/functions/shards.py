@@ -11,6 +11,9 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+#: Seed of Spark's xxhash64; XXH64 of a text's UTF-8 bytes with it is the same number.
+HASH_SEED = 42
+
 
 def shard_number(key: Column | str, shards: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")

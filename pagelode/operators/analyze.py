@@ -2,20 +2,29 @@
 
 Everything up to the postings is a map over documents: each document row turns
 into its own postings, so building them shuffles nothing and no term, however
-common, gathers in one task.
+common, gathers in one task. What a stored index writes is packed and unpacked in
+arrays, a bounded number of terms at a time.
 """
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
-from ..functions.shards import shard_number
+from ..functions.shards import HASH_SEED
 from ..functions.stem import stem_tokens
 
 TEXT_FIELDS = ["title", "content", "meta_description", "headings"]
+#: Terms that a worker takes together, and postings of one batch that it sends.
+HELD_TERMS, SENT_ROWS = 1 << 20, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -117,64 +126,128 @@ def pack_postings(
     begin in ``places``. A shuffle of these carries a url once a shard, not once a term.
     Result: (url, field, field_len, shard_<shards>, terms, firsts, places).
     """
-    pairs = F.sort_array(
-        F.transform(
-            "terms",
-            lambda t, i: F.struct(
-                shard_number(t, shards).alias("shard"), t.alias("term"), i.alias("pos")
-            ),
-        )
-    )
-    run_starts = F.expr(
-        """if(field_len > 0,
-              filter(sequence(0, field_len - 1),
-                     i -> i = 0 or get(pairs, i).term != get(pairs, i - 1).term),
-              array())"""
-    )
-    part_starts = F.expr(
-        """if(field_len > 0,
-              filter(sequence(0, size(starts) - 1),
-                     j -> j = 0 or get(pairs, get(starts, j)).shard
-                                   != get(pairs, get(starts, j - 1)).shard),
-              array())"""
-    )
-    # runs of each part, and where its pairs begin and end
-    bounds = F.expr(
-        """transform(parts, (a, m) -> named_struct(
-              'runs', slice(starts, a + 1, coalesce(get(parts, m + 1), size(starts)) - a),
-              'low', get(starts, a),
-              'high', coalesce(get(starts, get(parts, m + 1)), field_len)))"""
-    )
-    packed = F.expr(
-        f"""inline(transform(bounds, b -> named_struct(
-              'shard_{shards}', get(pairs, b.low).shard,
-              'terms', transform(b.runs, s -> get(pairs, s).term),
-              'firsts', transform(b.runs, s -> s - b.low),
-              'places', transform(slice(pairs, b.low + 1, b.high - b.low), p -> p.pos))))"""
-    )
-    return (
-        analyze_fields(docs, analyzer, fields)
-        .select("url", "field", F.size("terms").alias("field_len"), pairs.alias("pairs"))
-        .withColumn("starts", run_starts)
-        .withColumn("parts", part_starts)
-        .withColumn("bounds", bounds)
-        .select("url", "field", "field_len", packed)
+    kind = (
+        f"url string, field string, field_len int, shard_{shards} int, "
+        "terms array<string>, firsts array<int>, places array<int>"
     )
+    names = [part.split()[0] for part in kind.split(", ")]
+
+    def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
+        url, field, texts = (batch.column(i) for i in range(3))
+        sizes = pc.fill_null(pc.list_value_length(texts), 0).to_numpy().astype(np.int64)
+        words, codes = _ranked(texts.flatten())
+        hashes = [xxhash.xxh64_intdigest(w, HASH_SEED) for w in words.cast(pa.binary()).to_pylist()]
+        shard_of = np.array(hashes, dtype=np.uint64).view(np.int64) % shards
+        # sorted by row, shard and term; what is equal stays in text order
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        part = row * shards + shard_of[codes]
+        order = np.argsort(part * max(1, len(words)) + codes, kind="stable")
+        part, codes = part[order], codes[order]
+        new_part = np.diff(part, prepend=-1) != 0
+        runs = np.flatnonzero(new_part | (np.diff(codes, prepend=-1) != 0))
+        parts = np.flatnonzero(new_part)
+        at = np.searchsorted(runs, np.append(parts, len(order)))
+        places = (np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[order]
+        row, held = row[order][parts], pa.array(np.append(parts, len(order)), pa.int32())
+        as_int = lambda x: pa.array(x, pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [
+                url.take(pa.array(row)),
+                field.take(pa.array(row)),
+                as_int(sizes[row]),
+                as_int(part[parts] % shards),
+                pa.ListArray.from_arrays(as_int(at), words.take(pa.array(codes[runs]))),
+                pa.ListArray.from_arrays(as_int(at), as_int(runs - np.repeat(parts, np.diff(at)))),
+                pa.ListArray.from_arrays(held, as_int(places)),
+            ],
+            names=names,
+        )
+
+    def run(batches):
+        for batch in batches:
+            for piece in _pieces(batch, pc.list_value_length(batch.column(2))):
+                yield pack(piece)
+
+    return analyze_fields(docs, analyzer, fields).select("url", "field", "terms").mapInArrow(run, kind)
 
 
 def unpack_postings(packed: DataFrame) -> DataFrame:
-    """Postings of ``pack_postings``, with its shard column last."""
+    """Postings of ``pack_postings``, with its shard column last.
+
+    They come in runs sorted by field, shard and term: sorting them whole is a merge.
+    """
     shard = next(c for c in packed.columns if c.startswith("shard_"))
-    rows = F.expr(
-        """inline(transform(terms, (t, j) -> named_struct(
-              'term', t,
-              'tf', coalesce(get(firsts, j + 1), size(places)) - get(firsts, j),
-              'positions', slice(places, get(firsts, j) + 1,
-                  coalesce(get(firsts, j + 1), size(places)) - get(firsts, j)))))"""
-    )
-    return packed.select("field", "url", "field_len", shard, rows).select(
-        "field", "term", "url", "tf", "field_len", "positions", shard
+    kind = (
+        "field string, term string, url string, tf int, field_len int, "
+        f"positions array<int>, {shard} int"
     )
+    names = [part.split()[0] for part in kind.split(", ")]
+
+    def unpack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        url, field, field_len, number, terms, firsts, places = rows.columns
+        n_terms = pc.list_value_length(terms).to_numpy().astype(np.int64)
+        n_places = pc.list_value_length(places).to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(len(n_terms)), n_terms)
+        begins = firsts.flatten().to_numpy() + (np.cumsum(n_places) - n_places)[row]
+        words, codes = _ranked(terms.flatten())
+        _, fields = _ranked(field)
+        numbers = number.to_numpy().astype(np.int64)
+        directory = fields * (numbers.max() + 1) + numbers
+        order = np.argsort(directory[row] * len(words) + codes, kind="stable")
+        row = pa.array(row[order])
+        ends = pa.array(np.append(begins, n_places.sum()), pa.int32())
+        positions = pa.ListArray.from_arrays(ends, places.flatten()).take(pa.array(order))
+        return pa.RecordBatch.from_arrays(
+            [
+                field.take(row),
+                words.take(pa.array(codes[order])),
+                url.take(row),
+                pc.list_value_length(positions),
+                field_len.take(row),
+                positions,
+                number.take(row),
+            ],
+            names=names,
+        )
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for piece in _pieces(batch, pc.list_value_length(batch.column(4))):
+                held.append(piece)
+                size += len(piece.column(4).flatten())
+                if size >= HELD_TERMS:
+                    yield from _slices(unpack(held))
+                    held, size = [], 0
+        if size:
+            yield from _slices(unpack(held))
+
+    columns = ["url", "field", "field_len", shard, "terms", "firsts", "places"]
+    return packed.select(*columns).mapInArrow(run, kind)
+
+
+def _ranked(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Distinct texts in order and the place of each text among them."""
+    coded = texts.dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    return coded.dictionary.take(order), rank[coded.indices.to_numpy()]
+
+
+def _pieces(batch: pa.RecordBatch, sizes: pa.Array):
+    """Rows of a batch, so many together that they hold ``HELD_TERMS`` terms or a bit more."""
+    sizes = pc.fill_null(sizes, 0).to_numpy().astype(np.int64)
+    piece = (np.cumsum(sizes) - sizes) // HELD_TERMS
+    begins = np.flatnonzero(np.diff(piece, prepend=-1))
+    for low, high in zip(begins.tolist(), [*begins[1:].tolist(), batch.num_rows]):
+        yield batch.slice(low, high - low)
+
+
+def _slices(batch: pa.RecordBatch):
+    for low in range(0, batch.num_rows, SENT_ROWS):
+        yield batch.slice(low, SENT_ROWS)
 
 
 def term_stats(postings: DataFrame) -> DataFrame:
@@ -207,3 +280,7 @@ def field_stats(
         .groupBy("field")
         .agg(F.count("*").alias("n_docs"), F.avg(F.size("terms")).alias("avg_len"))
     )
+
+
+# Executors get this code inside the task and need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagelode.functions.shards import add_shard
-from pagelode.operators import joins
+from pagelode.operators import analyze, joins
 from pagelode.operators.analyze import (
     Analyzer, build_postings, pack_postings, term_stats, tokenize, unpack_postings,
 )
@@ -101,6 +101,22 @@ def test_packed_postings_are_the_postings(spark, docs, shards):
     assert got.exceptAll(wanted).count() == wanted.exceptAll(got).count() == 0
 
 
+@pytest.mark.parametrize("held, sent", [(1, 1), (7, 2), (1 << 20, 1 << 16)])
+def test_unpacked_postings_come_in_sorted_runs(docs, monkeypatch, held, sent):
+    """Whatever number of terms is held at once; texts without a term give none."""
+    monkeypatch.setattr(analyze, "HELD_TERMS", held)
+    monkeypatch.setattr(analyze, "SENT_ROWS", sent)
+    odd = docs.withColumn("content", F.lit("été été \U0001f600x ﬀa z9 été a.b")).unionByName(docs.limit(2))
+    both = docs.unionByName(odd).unionByName(docs.filter("url = 'd4'")).coalesce(1)
+    got = unpack_postings(pack_postings(both, PLAIN, 5))
+    wanted = add_shard(build_postings(both, PLAIN), "term", 5)
+    assert got.exceptAll(wanted).count() == wanted.exceptAll(got).count() == 0
+    keys = [(r.field, r.shard_5, r.term.encode()) for r in got.collect()]
+    falls = sum(a > b for a, b in zip(keys, keys[1:]))
+    assert falls == 0 if held > 100 else falls > 0
+    assert unpack_postings(pack_postings(docs.filter("url = 'd4'"), PLAIN, 5)).count() == 0
+
+
 def test_stems_only_in_stemmed_fields(docs):
     terms = {(r.field, r.term) for r in build_postings(docs).filter("url = 'd2'").collect()}
     assert ("title", "fox") in terms and ("title", "run") in terms
