@@ -81,8 +81,12 @@ def let(value: Column, body) -> Column:
 
 
 def clean_text(text: Column | str) -> Column:
-    """Collapse each white-space run to one space and strip both ends."""
-    return F.trim(F.regexp_replace(text, rf"[{WHITESPACE}]+", " "))
+    """Collapse each white-space run to one space and strip both ends.
+
+    A run that is one plain space already is not matched.
+    """
+    runs = rf"[^\x{{20}}{NOT_WHITESPACE}][{WHITESPACE}]*+|\x{{20}}[{WHITESPACE}]++"
+    return F.trim(F.regexp_replace(text, runs, " "))
 
 
 def split_words(text: Column | str) -> Column:

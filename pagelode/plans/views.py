@@ -80,7 +80,7 @@ def page_documents(spark: SparkSession, folder: str) -> DataFrame:
 def text_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Text documents as index documents: first line title, second description."""
     doc_id = F.col("doc_id").cast("string")
-    lines = F.split("text", "\n")
+    lines = F.split("text", "\n", 3)  # only the first two are used
     content = clean_text("text")
     return spread_table(spark, folder, "documents", "doc_id").select(
         F.concat(

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from pyspark.sql import functions as F
@@ -79,3 +81,14 @@ def test_tokens_without_stop_words(spark):
 def test_snippet(spark):
     assert one(spark, "x" * 300, T.snippet) == "x" * 300
     assert one(spark, "x" * 301, T.snippet) == "x" * 300 + "..."
+
+
+def test_every_white_space_run_becomes_one_space(spark):
+    listed = re.sub(r"\\x\{(\w+)\}", lambda m: re.escape(chr(int(m[1], 16))), T.WHITESPACE)
+    spaces = [chr(c) for c in range(0x3001) if re.fullmatch(f"[{listed}]", chr(c))]
+    assert " " in spaces and "\u3000" in spaces and len(spaces) > 20
+    runs = ["", *spaces, *[s + " " for s in spaces], *[" " + s for s in spaces], "\n" * 3, " \t \n "]
+    texts = [f"{a}x y{a}é​z{a}" for a in runs]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.clean_text("t").alias("c")).collect()
+    one = re.compile("[" + "".join(spaces) + "]+")
+    assert [r.c for r in rows] == [one.sub(" ", r.t).strip(" ") for r in rows]
