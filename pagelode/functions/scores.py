@@ -48,8 +48,21 @@ def occurrences(lowered: Column, term: Column) -> Column:
 
 def term_frequency(content: Column, term: Column) -> Column:
     """Occurrences per white-space separated word."""
-    words = F.nullif(word_count(content), F.lit(0))
-    return occurrences(F.lower(content), F.lower(term)) / words
+    return F.get(term_frequencies(content, F.array(term)), F.lit(0))
+
+
+def term_frequencies(content: Column, terms: Column) -> Column:
+    """``term_frequency`` of each of ``terms``, in their order; the text is read once."""
+    text = F.struct(
+        F.lower(content).alias("lowered"),
+        F.nullif(word_count(content), F.lit(0)).alias("words"),
+    )
+    return let(
+        text,
+        lambda t: F.transform(
+            terms, lambda w: occurrences(t["lowered"], F.lower(w)) / t["words"]
+        ),
+    )
 
 
 def inverse_document_frequency(n_docs: Column, df: Column) -> Column:

@@ -53,20 +53,20 @@ def _bm25(spark, folder, require_all=True):
     )
 
 
-def _candidates(spark, folder):
-    """The candidates that a search for any term ranks: twice the limit per query."""
+def _candidates(spark, folder, whole=False):
+    """The candidates that a search for any term ranks: twice the limit per query.
+
+    They carry the snippet of a hit or, if ``whole``, the document's whole content.
+    """
     hits = B.top_k(_bm25(spark, folder, require_all=False), 2 * LIMIT)
+    index = views.text_index(spark, folder)
     found = B.project_hits(
-        views.text_index(spark, folder).hits, hits,
+        index.documents if whole else index.hits, hits,
         queries=views.queries(spark, folder), per_query=2 * LIMIT,
     )
     return stage(found.select("query_id", "score", *B.HIT_FIELDS), "candidates")
 
 
-def _worded(spark, folder):
-    return R.with_query_words(_candidates(spark, folder), views.queries(spark, folder))
-
-
 def _ranked(spark, folder, weights=None):
     return R.rank_results(
         _candidates(spark, folder), views.queries(spark, folder), AS_OF, weights
@@ -452,12 +452,17 @@ def _term_figures(spark, folder, *columns):
 
 @query
 def term_frequency(spark, folder):
-    worded = _worded(spark, folder)
-    per_term = worded.select(
-        "query_id", "url", "content", F.explode(F.array_distinct("terms")).alias("term")
+    """Over the whole contents of the candidates."""
+    candidates = _candidates(spark, folder, whole=True)
+    worded = R.with_query_words(candidates, views.queries(spark, folder))
+    terms = F.array_distinct("terms")
+    figures = F.zip_with(
+        terms,
+        S.term_frequencies(F.col("content"), terms),
+        lambda t, tf: F.struct(t.alias("term"), tf.alias("tf")),
     )
-    tf = S.term_frequency(F.col("content"), F.col("term"))
-    return per_term.select("query_id", "url", "term", _six(tf, "tf"))
+    per_term = worded.select("query_id", "url", F.inline(figures))
+    return per_term.select("query_id", "url", "term", _six(F.col("tf"), "tf"))
 
 
 @query

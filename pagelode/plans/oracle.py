@@ -211,12 +211,13 @@ _CTES = {
 }
 
 
-def _ranking(source: str, weights: dict | None = None) -> str:
-    """Ranked candidates of the scored rows in ``source``."""
+def _ranking(source: str, weights: dict | None = None, whole: bool = False) -> str:
+    """Ranked candidates of the scored rows in ``source``, by snippet or whole content."""
+    text = "content" if whole else _snippet("content")
     w = {**DEFAULT_WEIGHTS, **(weights or {})}
     found = "instr(lower(content), t.term) - 1"
     return f"""cands AS (SELECT b.query_id, b.score, d.url, title,
-          {_snippet('content')} AS content, meta_description, content_length,
+          {text} AS content, meta_description, content_length,
           crawl_seconds, depth FROM {source} b JOIN text_docs d ON b.url = d.url),
         worded AS (SELECT c.*, r.terms FROM cands c JOIN raw_words r USING (query_id)),
         per_term AS (SELECT query_id, url, unnest(terms) AS term,
@@ -298,8 +299,10 @@ def _sql(needs: str, select: str, extra: str = "") -> str:
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + select
 
 
-def _rank_sql(select: str, source: str = "cand_any", weights: dict | None = None) -> str:
-    return _sql(f"{source} text_docs raw_words", select, _ranking(source, weights))
+def _rank_sql(
+    select: str, source: str = "cand_any", weights: dict | None = None, whole: bool = False
+) -> str:
+    return _sql(f"{source} text_docs raw_words", select, _ranking(source, weights, whole))
 
 
 _BREAKDOWN = ", ".join(f"round({p}, 6) AS {p}" for p in _PARTS)
@@ -453,7 +456,7 @@ ORACLES = {
         FROM placed WHERE rank <= 10""", "top_all"),
     # ranking
     "term_frequency": _rank_sql("""SELECT DISTINCT query_id, url, term, round(tf, 6) AS tf
-        FROM figures"""),
+        FROM figures""", whole=True),
     "document_frequency": _rank_sql("SELECT DISTINCT query_id, term, df FROM corpus"),
     "inverse_doc_frequency": _rank_sql("""SELECT DISTINCT query_id, term,
         round(ln(n_docs / (df + 1)), 6) AS idf FROM corpus"""),

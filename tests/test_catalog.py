@@ -1,11 +1,13 @@
 """Every registered query beside its SQL on the smallest tables."""
 
 import importlib
+import math
 import os
 import shutil
 import subprocess
 import sys
 
+import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
@@ -75,3 +77,26 @@ def test_a_table_of_part_files_is_streamed_whole(spark, tmp_path):
     pages.repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
     found = QUERIES["stream_ingest"](spark, str(tmp_path))
     assert sorted(r["url"] for r in found.collect()) == sorted(url for _, url, _ in rows)
+
+
+@pytest.mark.parametrize("name", ["term_frequency"])
+def test_terms_are_counted_in_whole_texts(spark, tmp_path, name):
+    """A word that stands past a snippet's end counts, in the text and in the corpus."""
+    filler = "dull " * 99
+    texts = [f"red {filler}Fox fox", f"red {filler}end", "blue", "red fox", "red sky"]
+    docs = [(n, t, "en", "web", len(t)) for n, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        str(tmp_path / "documents.parquet")
+    )
+    asked = spark.createDataFrame([(7, "red Fox")], "item_id long, text string")
+    asked.write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = {(r.url[-1], r.term): r[3] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    red, fox = (math.log(4 / (df + 1)) if name == "tf_idf" else 1 for df in (4, 2))
+    tf = {"0": (1 / 102, 2 / 102), "1": (1 / 101, 0), "3": (1 / 2, 1 / 2), "4": (1 / 2, 0)}
+    wanted = {(d, t): x for d, (a, b) in tf.items() for t, x in (("red", a * red), ("fox", b * fox))}
+    assert found == pytest.approx(wanted, abs=1e-6)
+    tables = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        tables.execute(f"CREATE VIEW {table} AS FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    sql = tables.execute(ORACLES[name]).df()
+    assert compare(QUERIES[name](spark, str(tmp_path)).toPandas(), sql) == ""
