@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scores as S
+from ..functions.text import let
 from .joins import join_small
 from .score import SCORE_DECIMALS, top_k
 
@@ -32,8 +33,9 @@ def corpus_figures(worded: DataFrame, queries: DataFrame) -> DataFrame:
 
     ``dfs`` follows the order of ``terms``; it is as long as the query.
     """
-    found = F.transform(
-        "terms", lambda t: F.contains(F.lower(F.col("content")), t).cast("int")
+    found = let(
+        F.lower(F.col("content")),
+        lambda text: F.transform("terms", lambda t: F.contains(text, t).cast("int")),
     )
     per_term = (
         worded.select("query_id", F.posexplode(found).alias("at", "hit"))
@@ -62,18 +64,21 @@ def term_figures(candidates: DataFrame, queries: DataFrame) -> DataFrame:
     pairs = F.zip_with(
         "terms", "dfs", lambda t, d: F.struct(t.alias("term"), d.alias("df"))
     )
-    per_term = with_corpus(candidates, queries).select(
-        "query_id",
-        "url",
-        "content",
-        "n_docs",
-        # a word repeated in the query has one figure
-        F.inline(F.array_distinct(pairs)),
+    # a word repeated in the query has one figure
+    distinct = F.array_distinct(pairs)
+    tfs = S.term_frequencies(F.col("content"), F.transform(distinct, lambda p: p["term"]))
+    figures = F.zip_with(
+        distinct,
+        tfs,
+        lambda p, tf: F.struct(
+            p["term"].alias("term"), F.coalesce(tf, F.lit(0.0)).alias("tf"), p["df"].alias("df")
+        ),
     )
-    tf = F.coalesce(S.term_frequency(F.col("content"), F.col("term")), F.lit(0.0))
     idf = S.inverse_document_frequency(F.col("n_docs"), F.col("df"))
     return (
-        per_term.select("query_id", "url", "term", tf.alias("tf"), "df", idf.alias("idf"))
+        with_corpus(candidates, queries)
+        .select("query_id", "url", "n_docs", F.inline(figures))
+        .select("query_id", "url", "term", "tf", "df", idf.alias("idf"))
         .withColumn("tf_idf", F.col("tf") * F.col("idf"))
     )
 

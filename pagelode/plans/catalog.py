@@ -442,8 +442,9 @@ def updated_term_stats(spark, folder):
 # --- ranking ---------------------------------------------------------------------
 
 
-def _term_figures(spark, folder, *columns):
-    figures = R.term_figures(_candidates(spark, folder), views.queries(spark, folder))
+def _term_figures(spark, folder, *columns, whole=False):
+    candidates = _candidates(spark, folder, whole)
+    figures = R.term_figures(candidates, views.queries(spark, folder))
     return figures.select(
         "query_id", "url", "term",
         *[_six(F.col(c), c) if c != "df" else F.col(c) for c in columns],
@@ -479,7 +480,8 @@ def inverse_doc_frequency(spark, folder):
 
 @query
 def tf_idf(spark, folder):
-    return _term_figures(spark, folder, "tf_idf")
+    """Over the whole contents of the candidates."""
+    return _term_figures(spark, folder, "tf_idf", whole=True)
 
 
 def _factor(name):

@@ -79,7 +79,7 @@ def test_a_table_of_part_files_is_streamed_whole(spark, tmp_path):
     assert sorted(r["url"] for r in found.collect()) == sorted(url for _, url, _ in rows)
 
 
-@pytest.mark.parametrize("name", ["term_frequency"])
+@pytest.mark.parametrize("name", ["term_frequency", "tf_idf"])
 def test_terms_are_counted_in_whole_texts(spark, tmp_path, name):
     """A word that stands past a snippet's end counts, in the text and in the corpus."""
     filler = "dull " * 99
