@@ -15,6 +15,9 @@ from ..functions.shards import shard_column
 
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
+#: Broadcasts of frames that grow with the corpus, which a query may hold at once: each
+#: gets this part of the bounds.
+HELD_TOGETHER = 8
 SALTS = 32
 #: Bytes of a stored table behind one task of what is dealt out from it.
 TASK_BYTES = 8 * 1024 * 1024

@@ -15,7 +15,7 @@ from ..functions.shards import align_shards
 from ..functions.text import clean_query
 from ..session import stage
 from .analyze import TEXT_FIELDS, Analyzer
-from .joins import deal_by, fits_broadcast, join_small, shuffle_join
+from .joins import HELD_TOGETHER, deal_by, fits_broadcast, join_small, shuffle_join
 
 TERM_KEY = ["field", "term"]
 MASK_BITS = 62
@@ -91,11 +91,12 @@ def look_up(postings: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     wanted, shard = align_shards(postings, wanted, "term")
     on = [*TERM_KEY, "url", *shard]
-    if fits_broadcast(wanted):
+    if fits_broadcast(wanted, HELD_TOGETHER):
         return postings.join(F.broadcast(wanted), on)
     terms = wanted.select(*TERM_KEY, *shard).distinct()
     few = join_small(postings, terms, [*TERM_KEY, *shard], "left_semi")
-    return few.join(wanted, on)
+    # by its size in files Spark would broadcast it after all
+    return few.join(wanted.hint("merge"), on)
 
 
 def match_field(postings: DataFrame, query_terms: DataFrame, field: str) -> DataFrame:
@@ -167,8 +168,11 @@ def match_phrase(
     left, and its positions are intersected with the starts inside the row. Positions of
     common words are never laid out as rows.
     """
+    # the vocabulary grows with the corpus: it is reduced to the phrases' words first
+    asked = phrases.select(*TERM_KEY).distinct()
+    stats = join_small(term_stats, asked, TERM_KEY, "left_semi", bound=phrases)
     known = join_small(
-        phrases, term_stats, TERM_KEY, spread=["query_id", "term_no"], bound=phrases
+        phrases, stats, TERM_KEY, spread=["query_id", "term_no"], bound=phrases
     )
     whole = (
         known.groupBy("query_id", "field", "n_terms")
@@ -212,7 +216,7 @@ def _beside_next_rarest(postings: DataFrame, candidates: DataFrame, key: list) -
     beside = look_up(postings, wanted).filter(F.arrays_overlap("starts", places)).select(*key)
     beside = stage(beside, "phrase-pairs").distinct()
     same = [longer[c].eqNullSafe(beside[c]) for c in key]
-    few = F.broadcast(beside) if fits_broadcast(beside) else beside
+    few = F.broadcast(beside) if fits_broadcast(beside, HELD_TOGETHER) else beside.hint("merge")
     return stage(longer.join(few, same, "left_semi"), "phrase-left")
 
 
@@ -274,7 +278,7 @@ def match_prefix(
     found = expand_prefixes(vocabulary, sought)
     terms, shard = align_shards(postings, found, "term")
     in_field = postings.filter(F.col("field") == field)
-    if fits_broadcast(found):
+    if fits_broadcast(found, HELD_TOGETHER):
         matched = in_field.join(F.broadcast(terms), [*TERM_KEY, *shard])
     else:
         matched = expand_prefixes(in_field.select("term", "url"), sought)

@@ -433,3 +433,23 @@ def test_repeated_urls_match_once(spark, docs, tmp_path):
     terms = analyze_queries(ask(spark, "red fox"), PLAIN, ["title"])
     assert match_by_document(index.postings, terms).count() == match_terms(index.postings, terms).count()
     assert match_any(match_multi(index.postings, terms, ["title"])).count() == 1
+
+
+def test_no_broadcast_grows_with_the_vocabulary(spark, tmp_path, monkeypatch):
+    """What phrases and clauses broadcast is bounded by the queries or by the limits."""
+    rows = [(f"u{i}", "red fox", f"red fox w{i} v{i} red fox", "", "", 9, None, 0) for i in range(60)]
+    index = write_index(spark.createDataFrame(rows, SCHEMA), str(tmp_path / "index"), PLAIN, shards=2)
+    clauses = spark.createDataFrame(
+        [(1, 0, "must", "phrase", "red fox"), (1, 1, "should", "prefix", "w1"), (1, 2, "must_not", "term", "w5")],
+        "query_id long, clause_no int, occur string, kind string, text string",
+    )
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 40)
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df) or broadcast(df))
+    phrases = phrase_terms(ask(spark, "red fox"), PLAIN, ["content"])
+    places = match_phrase(index.postings, phrases, index.term_stats)
+    assert places.count() == 120
+    found = scored_matches(index.postings, clauses, index.term_stats, index.field_stats, PLAIN)
+    assert {r.url for r in found.collect()} == {f"u{i}" for i in range(60) if i != 5}
+    assert index.term_stats.count() > 120
+    assert sent and max(df.count() for df in sent) <= 40
