@@ -95,6 +95,10 @@ def deal_by(df: DataFrame, key: str, stored: DataFrame) -> DataFrame:
     """
     if shard_column(stored) is None:  # not a stored table: its size is not known
         return df.repartition(key)
-    size = int(str(stored._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(cores, size // TASK_BYTES + 1), key)
+    return df.repartition(max(cores, stored_bytes(stored) // TASK_BYTES + 1), key)
+
+
+def stored_bytes(stored: DataFrame) -> int:
+    """Bytes of the files that a scan of a stored table reads."""
+    return int(str(stored._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -436,7 +436,8 @@ def search_updated(spark, folder):
 def updated_term_stats(spark, folder):
     index = _updated_index(spark, folder)
     lengths = index.field_stats.select("field", "n_docs", _six(F.col("avg_len"), "avg_len"))
-    return index.term_stats.join(lengths, "field")
+    # one row per field; by its files' size Spark would broadcast the vocabulary instead
+    return index.term_stats.join(F.broadcast(lengths), "field")
 
 
 # --- ranking ---------------------------------------------------------------------

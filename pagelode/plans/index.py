@@ -38,13 +38,15 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from ..functions.shards import add_shard
 from ..operators.analyze import (
-    Analyzer, build_postings, field_stats, pack_postings, term_stats, unpack_postings,
+    Analyzer, build_postings, bundle_postings, field_stats, term_stats, unbundle_postings,
 )
-from ..operators.joins import fits_broadcast, join_small
+from ..operators.joins import TASK_BYTES, fits_broadcast, join_small, stored_bytes
 from ..operators.score import hit_store
 
 #: Segments beside a version before an update merges them.
 MAX_SEGMENTS = 16
+#: An index is written once and read often; snappy's files are about half as large again.
+CODEC = "zstd"
 _CHANGES = "field string, term string, df long, n_tokens long"
 _PUBLISHED = (
     "number long, version string, segments array<string>, batches array<string>, "
@@ -271,10 +273,19 @@ def _write_postings(postings: DataFrame, folder: str, shards: int) -> None:
 
 
 def _write_new_postings(documents: DataFrame, analyzer: Analyzer, folder: str, shards: int) -> None:
-    """Write the postings of ``documents``; packed rows are shuffled, not the postings."""
-    directories = ["field", f"shard_{shards}"]
-    packed = pack_postings(documents, analyzer, shards).hint("rebalance", *directories)
-    _write_sorted(unpack_postings(packed), directories, ["term"], f"{folder}/postings")
+    """Write the postings of stored ``documents``; bundles are shuffled, not the postings.
+
+    A task unpacks and sorts about what ``TASK_BYTES`` of the documents have; few documents
+    keep all cores busy if they have a megabyte for each.
+    """
+    size = stored_bytes(documents)
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    parts = max(size // TASK_BYTES, min(cores, size >> 20)) + 1
+    bundles = bundle_postings(documents, analyzer, shards, parts)
+    _write_sorted(
+        unbundle_postings(bundles, shards),
+        ["field", f"shard_{shards}"], ["term"], f"{folder}/postings",
+    )
 
 
 def _write_statistics(
@@ -286,7 +297,7 @@ def _write_statistics(
     """
     written = spark.read.schema(_postings_schema(shards)).parquet(f"{folder}/postings")
     by_term = term_stats(written).repartitionByRange("term").sortWithinPartitions("term")
-    by_term.write.parquet(f"{folder}/term_stats")
+    by_term.write.parquet(f"{folder}/term_stats", compression=CODEC)
     n_docs = spark.read.schema(documents).parquet(f"{folder}/documents").count()
     fields = written.groupBy("field").agg(
         F.lit(n_docs).cast("long").alias("n_docs"), F.sum("tf").alias("n_tokens")
@@ -310,7 +321,7 @@ def _write_changes(new: tuple, old: tuple, folder: str) -> None:
         )]))
     signed = reduce(DataFrame.unionByName, parts)
     changes = signed.groupBy("field", "term").agg(F.sum("d").alias("df"), F.sum("n").alias("n_tokens"))
-    changes.write.parquet(f"{folder}/changes")
+    changes.write.parquet(f"{folder}/changes", compression=CODEC)
 
 
 def _published(spark: SparkSession, path: str):
@@ -362,5 +373,5 @@ def _write_sorted(
         df.sortWithinPartitions(*directories, *order)
         .write.mode("overwrite")
         .partitionBy(*directories)
-        .parquet(path)
+        .parquet(path, compression=CODEC)
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pagelode.functions.shards import add_shard
 from pagelode.operators import analyze, joins
 from pagelode.operators.analyze import (
-    Analyzer, build_postings, pack_postings, term_stats, tokenize, unpack_postings,
+    Analyzer, build_postings, bundle_postings, pack_postings, term_stats, tokenize, unbundle_postings, unpack_postings,
 )
 from pagelode.operators.match import (
     analyze_queries,
@@ -117,6 +117,33 @@ def test_unpacked_postings_come_in_sorted_runs(docs, monkeypatch, held, sent):
     assert unpack_postings(pack_postings(docs.filter("url = 'd4'"), PLAIN, 5)).count() == 0
 
 
+@pytest.mark.parametrize("held, shards, parts", [(7, 5, 2), (1 << 20, 3, 7), (1 << 20, 16, 1)])
+def test_bundled_postings_are_the_postings(spark, docs, monkeypatch, held, shards, parts):
+    monkeypatch.setattr(analyze, "HELD_TERMS", held)
+    odd = spark.createDataFrame([("e1", "red fox", "été red " + "z9 " * 300, None, "x"), (None, "red", None, "", "a1 a2 a1")], "url string, title string, content string, meta_description string, headings string")
+    both = docs.select(odd.columns).unionByName(odd).unionByName(odd)
+    bundles = bundle_postings(both, PLAIN, shards, parts)
+    got, wanted = unbundle_postings(bundles, shards), add_shard(build_postings(both, PLAIN), "term", shards)
+    assert got.columns == wanted.columns
+    assert got.exceptAll(wanted).count() == wanted.exceptAll(got).count() == 0
+    # a shard's rows are in its own parts, or in that of its neighbours
+    where = got.select(f"shard_{shards}", F.spark_partition_id()).distinct().collect()
+    n = bundles.rdd.getNumPartitions()
+    assert n >= parts
+    assert all(p * shards // n == shard if n > shards else p == shard // -(-shards // n) for shard, p in where)
+    none = bundle_postings(both.filter("url = 'd4'"), PLAIN, shards, parts)
+    assert unbundle_postings(none, shards).count() == 0
+
+
+def test_bundles_are_small(spark):
+    """What the build shuffles takes less than the terms alone."""
+    rows = [(f"https://web.example.com/en/{i}", " ".join(f"word{i * j % 997}" for j in range(1, 200))) for i in range(400)]
+    texts = spark.createDataFrame(rows, "url string, content string").coalesce(1)
+    terms = pack_postings(texts, PLAIN, 16, ["content"]).select(F.explode("terms").alias("t"))
+    sent = bundle_postings(texts, PLAIN, 16, 1, ["content"]).agg(F.sum(F.octet_length("data"))).first()[0]
+    assert sent < terms.agg(F.sum(F.octet_length("t"))).first()[0] / 2
+
+
 def test_stems_only_in_stemmed_fields(docs):
     terms = {(r.field, r.term) for r in build_postings(docs).filter("url = 'd2'").collect()}
     assert ("title", "fox") in terms and ("title", "run") in terms
