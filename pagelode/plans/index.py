@@ -20,7 +20,7 @@ for the new documents, the urls that are gone with their old rows (``gone``), an
 the statistics change, which takes the old documents of those urls and no postings. Reading
 merges: rows of a url are alive if no later segment lists it. ``merge_index`` makes a
 version of all segments without analysing a text again; updates do so themselves past
-``MAX_SEGMENTS``, or once the urls that are gone no longer fit a broadcast.
+``MAX_SEGMENTS``. Urls that are gone and no longer fit a broadcast meet the rows by shuffle.
 
 One writer at a time; readers need no care. An update may name its batch: a batch that
 is already published changes nothing, so it can be run again after a failure.
@@ -144,7 +144,7 @@ def update_index(
     batches = [*(last["batches"] or []), *([batch] if batch is not None else [])]
     segments = [*(last["segments"] or []), segment]
     _publish(spark, path, last["version"], segments, batches, stored.schema)
-    if len(segments) >= MAX_SEGMENTS or not fits_broadcast(_gone(spark, path, segments)):
+    if len(segments) >= MAX_SEGMENTS:
         return merge_index(spark, path, analyzer)
     return read_index(spark, path, analyzer)
 
@@ -233,9 +233,16 @@ def _alive(parts: list[DataFrame], gone: DataFrame) -> DataFrame:
     """Rows of the version and its segments that no later segment replaced."""
     numbered = [part.withColumn("_part", F.lit(n)) for n, part in enumerate(parts)]
     rows = reduce(DataFrame.unionByName, numbered)
-    later = F.broadcast(gone) if fits_broadcast(gone) else gone
+    fits = fits_broadcast(gone)
+    later = F.broadcast(gone) if fits else gone.hint("merge")
     dead = (rows["url"] == later["url"]) & (rows["_part"] < later["_last"])
-    return rows.join(later, dead, "left_anti").drop("_part")
+    if fits:
+        return rows.join(later, dead, "left_anti").drop("_part")
+    # Spark takes a semi join with wanted terms before an outer join and a generator, but
+    # not before an anti join or a filter: all postings would travel. A url is gone once.
+    met = rows.join(later, dead, "left").select(rows["*"], later["_last"])
+    kept = F.when(F.col("_last").isNull(), F.array(F.lit(True))).otherwise(F.array())
+    return met.withColumn("_kept", F.explode(kept)).drop("_part", "_last", "_kept")
 
 
 def _changed(spark, folders, stats, counts):

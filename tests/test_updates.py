@@ -3,6 +3,7 @@
 import pytest
 
 from pagelode.operators.analyze import Analyzer
+from pagelode.operators import joins
 from pagelode.plans import index as I
 from pagelode.plans.search import search
 from pagelode.sources.document_log import latest_documents, read_log
@@ -96,6 +97,17 @@ def test_segments_merge_past_the_limit(spark, path, tmp_path, monkeypatch):
     assert content(got) == content(want)
 
 
+def test_urls_too_many_to_broadcast_merge_nothing(spark, path, tmp_path, monkeypatch):
+    """An update that replaces many documents does not write the index anew."""
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    I.update_index(spark, path, docs(spark, ("a", "new", "red fox"), ("d", "red", "fox red")), analyzer=PLAIN)
+    got = I.update_index(spark, path, deletes=docs(spark, ("b", "", ""), ("x", "", "")), analyzer=PLAIN)
+    assert len(I._published(spark, path)["segments"]) == 2
+    want = rebuilt(spark, tmp_path, ("a", "new", "red fox"), ("c", "green tree", "red leaves"), ("d", "red", "fox red"))
+    assert content(got) == content(want)
+    assert found(spark, got, "red fox", "fox", "blue") == found(spark, want, "red fox", "fox", "blue")
+
+
 def test_every_document_can_go(spark, path):
     gone = I.read_index(spark, path, PLAIN).documents.select("url")
     left = I.update_index(spark, path, deletes=gone, analyzer=PLAIN)
