@@ -6,9 +6,9 @@ Layout, chosen for reads that touch few terms and few documents:
 * ``hits``: the fields of a hit, with a snippet in place of the content, in the same
   layout. Fetching hits prunes directories at run time and reads no content.
 * ``postings``: directories by field and hash of the term, sorted by term. A
-  query reads the directories of its own terms. Rows are rebalanced before they
-  are written: adaptive execution splits a directory that holds a very common
-  term over several tasks and files.
+  query reads the directories of its own terms. A build deals them by hash in as many
+  tasks as the documents' bytes ask for; a directory then has several files. A merge
+  rebalances them: adaptive execution splits a directory that holds a very common term.
 * ``term_stats``, ``field_stats``: document frequencies, sorted by term, and field lengths.
 
 Every build writes a new version beside the old ones and is published by one row that
